@@ -429,15 +429,11 @@ def attr_defaults(inputs: Inputs) -> DataFrame:
 
 
 def _event_stream(inputs: Inputs) -> DataFrame:
-    """Task states as a stream over the events table."""
-    raw = monitor.event_stream(inputs.spark, f"{inputs.sf_dir}/events.parquet")
-    state = (
-        F.when(F.col("event_type") == "click", "READY").when(F.col("event_type") == "view", "RUNNING")
-        .when(F.col("event_type") == "purchase", "COMPLETED").when(F.col("event_type") == "error", "FAILED")
-        .when(F.col("event_id") % 5 == 0, "CANCEL_REQUESTED").otherwise("CANCELLED")
-    )
-    task = F.concat(F.lit("T"), F.col("user_id").cast("string"))
-    return raw.select("event_id", F.col("ts").alias("timestamp_"), task.alias("task_id"), state.alias("state"))
+    """Task events as files of a folder, taken in about three polls."""
+    files = inputs.spark.sparkContext.defaultParallelism
+    path = fresh_path(inputs.spark, "events")
+    inputs.task_events.repartitionByRange(files, "event_id").write.parquet(path)
+    return monitor.event_stream(inputs.spark, path, files_per_poll=-(-files // 3))
 
 
 @query("stream_status_counts", "SELECT state AS status, count(*) AS n FROM {task_events} GROUP BY state")
@@ -445,7 +441,7 @@ def stream_status_counts(inputs: Inputs) -> DataFrame:
     return monitor.last_counts(monitor.stream_status_counts(_event_stream(inputs), "state"))
 
 
-@query("stream_latest_state", f"SELECT event_id, timestamp_, task_id, state FROM ({LATEST_SQL})")
+@query("stream_latest_state", LATEST_SQL)
 def stream_latest_state(inputs: Inputs) -> DataFrame:
     return monitor.stream_latest_state(_event_stream(inputs), "task_id", ["timestamp_", "event_id"])
 
