@@ -137,7 +137,7 @@ def clip_buffer(px: DataFrame, sides: DataFrame, distance: float, crs: Albers =
     The test runs once per distinct cell; the cells found become runs per grid row, which the observations are
     matched with.
     """
-    cells = px.select("row", "col", "lon", "lat").distinct()
+    cells = materialise(px.select("row", "col", "lon", "lat").distinct(), "cells")
     inside = clip(cells, sides)
     wanted = inside.unionByName(near_cells(cells, sides, distance, crs)).select("row", "col").distinct()
     mask = materialise(runs(wanted), "buffer-mask")
@@ -170,22 +170,28 @@ def _side_meets_box() -> Column:
     return overlap & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
 
 
-def filter_bounds(scenes: DataFrame, sides: DataFrame, tile: float = 1.0) -> DataFrame:
+def filter_bounds(scenes: DataFrame, sides: DataFrame, tiles_across: int = 16) -> DataFrame:
     """Scenes whose footprint intersects the features.
 
     A box intersects a polygon if a side meets the box, or if no side does but a corner of the box is inside.
-    Boxes and sides meet through the tiles they share.
+    Each distinct footprint is tested once. Its part inside the features' bounding box and the sides meet through
+    the tiles they share, at most about ``tiles_across`` squared per footprint.
     """
+    corners = ["west", "south", "east", "north"]
+    box = total_bounds(sides).first()
     near = filter_bbox(scenes, sides)
+    if box.west is None:
+        return near
+    boxes = materialise(near.select(*corners).distinct(), "footprints")
+    tile = max(box.east - box.west, box.north - box.south, 1e-9) / tiles_across
     strips = sides.withColumn("tx", F.explode(_cover(F.least("x1", "x2"), F.greatest("x1", "x2"), tile))).withColumn(
         "ty", F.explode(_cover(F.least("y1", "y2"), F.greatest("y1", "y2"), tile))
     )
-    boxes = near.select("scene_id", "west", "south", "east", "north")
-    tiled = boxes.withColumn("tx", F.explode(_cover(F.col("west"), F.col("east"), tile))).withColumn(
-        "ty", F.explode(_cover(F.col("south"), F.col("north"), tile))
-    )
+    across = _cover(F.greatest("west", F.lit(box.west)), F.least("east", F.lit(box.east)), tile)
+    along = _cover(F.greatest("south", F.lit(box.south)), F.least("north", F.lit(box.north)), tile)
+    tiled = boxes.withColumn("tx", F.explode(across)).withColumn("ty", F.explode(along))
     meets = (tiled["tx"] == strips["tx"]) & (tiled["ty"] == strips["ty"]) & _side_meets_box()
-    touched = tiled.join(strips, meets, "left_semi").select("scene_id")
-    cornered = clip(boxes, sides, "west", "south").select("scene_id")
-    found = touched.unionByName(cornered).distinct()
-    return near.join(found, "scene_id", "left_semi")
+    touched = tiled.join(strips, meets, "left_semi").select(*corners)
+    cornered = clip(boxes, sides, "west", "south").select(*corners)
+    found = materialise(touched.unionByName(cornered).distinct(), "footprints-found")
+    return near.join(found, corners, "left_semi")

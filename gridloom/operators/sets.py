@@ -29,4 +29,4 @@ def family_union(families: dict[str, DataFrame]) -> DataFrame:
 
 def set_difference(required: DataFrame, present: DataFrame) -> DataFrame:
     """Distinct required rows that are not present."""
-    return required.subtract(present.select(*required.columns))
+    return required.subtract(present.select(*required.columns).distinct())

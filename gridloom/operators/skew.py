@@ -69,60 +69,64 @@ def median_by(df: DataFrame, keys: list[str], bands: list[str], hot_rows: int |
     if hot.isEmpty():
         return _median_in_place(needed, keys, bands)
     cold_rows = needed.join(hot, _null_safe(needed, hot, keys), "left_anti")
-    hot_rows_ = needed.join(hot, _null_safe(needed, hot, keys), "left_semi")
-    return _median_in_place(cold_rows, keys, bands).unionByName(_median_of_hot(hot_rows_, keys, bands))
+    hot_values = needed.join(hot, _null_safe(needed, hot, keys), "left_semi")
+    return _median_in_place(cold_rows, keys, bands).unionByName(_median_of_hot(hot_values, hot, keys, bands))
 
 
 def _median_in_place(df: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
     return df.repartition(*keys).groupBy(*keys).agg(*[F.median(band).alias(band) for band in bands])
 
 
-def _median_of_hot(df: DataFrame, keys: list[str], bands: list[str], pieces: int = 256) -> DataFrame:
+def _median_of_hot(df: DataFrame, groups: DataFrame, keys: list[str], bands: list[str], pieces: int = 256) -> DataFrame:
     """Exact medians of large groups without bringing a group together.
 
-    Values are counted per (group, band, value), cut into value ranges by a mergeable quantile sketch, and only
-    the ranges that hold the two middle ranks are ordered.
+    Equal values are counted, which spreads a group over tasks by value. A quantile sketch cuts the distinct
+    values of a group into ranges, and only the ranges that hold the two middle ranks are ordered.
     """
     group = [*keys, "_band"]
     pairs = [F.struct(F.lit(b).alias("_band"), F.col(b).cast("double").alias("_value")) for b in bands]
     values = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("_value").isNotNull())
-    counted = values.groupBy(*group, "_value").agg(F.count("*").alias("_n"))
+    counted = materialise(values.groupBy(*group, "_value").agg(F.count("*").alias("_n")), "value-counts")
     shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     sketch = F.percentile_approx("_value", shares, 10 * pieces).alias("_cuts")
-    cuts = materialise(values.groupBy(*group).agg(sketch), "median-cuts")
-    pieced = (
-        counted.join(cuts, _null_safe(counted, cuts, group))
-        .select(*[counted[name] for name in [*group, "_value", "_n"]], F.size(F.filter("_cuts", lambda cut: cut < F.col("_value"))).alias("_piece"))
-    )
-    sizes = pieced.groupBy(*group, "_piece").agg(F.sum("_n").alias("_size"))
-    total = F.sum("_size").over(Window.partitionBy(*group))
-    before = F.coalesce(F.sum("_size").over(_cumulative_before(group, "_piece")), F.lit(0))
-    ranked = sizes.withColumn("_total", total).withColumn("_before", before)
-    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-    middle = materialise(
-        ranked.withColumn("_low", low)
-        .withColumn("_high", high)
-        .where((F.col("_before") < F.col("_high")) & (F.col("_before") + F.col("_size") >= F.col("_low")))
-        .drop("_size", "_total"),
-        "median-pieces",
+    cuts = materialise(counted.groupBy(*group).agg(sketch), "value-cuts")
+    piece = F.size(F.filter("_cuts", lambda cut: cut < F.col("_value"))).alias("_piece")
+    pieced = counted.join(cuts, _null_safe(counted, cuts, group)).select(
+        *[counted[name] for name in [*group, "_value", "_n"]], piece
     )
+    middle = materialise(_middle_pieces(pieced, group), "middle-pieces")
     near = pieced.join(middle, _null_safe(pieced, middle, [*group, "_piece"])).select(
         *[pieced[name] for name in [*group, "_piece", "_value", "_n"]], "_before", "_low", "_high"
     )
     within = F.coalesce(F.sum("_n").over(_cumulative_before([*group, "_piece"], "_value")), F.lit(0))
-    first = F.col("_before") + within
-    placed = near.withColumn("_first", first).withColumn("_last", F.col("_first") + F.col("_n"))
+    placed = near.withColumn("_first", F.col("_before") + within).withColumn("_last", F.col("_first") + F.col("_n"))
 
     def at(rank: str) -> Column:
         hit = (F.col("_first") < F.col(rank)) & (F.col("_last") >= F.col(rank))
         return F.max(F.when(hit, F.col("_value")))
 
     medians = placed.groupBy(*group).agg(((at("_low") + at("_high")) / 2).alias("_median"))
-    return _bands_wide(df, medians, keys, bands)
+    return _bands_wide(medians, groups, keys, bands)
+
+
+def _middle_pieces(pieced: DataFrame, group: list[str]) -> DataFrame:
+    """Pieces that hold the two middle ranks of their group, with the ranks and the number of rows before."""
+    sizes = pieced.groupBy(*group, "_piece").agg(F.sum("_n").alias("_size"))
+    total = F.sum("_size").over(Window.partitionBy(*group))
+    before = F.coalesce(F.sum("_size").over(_cumulative_before(group, "_piece")), F.lit(0))
+    ranked = sizes.withColumn("_total", total).withColumns(
+        {
+            "_before": before,
+            "_low": F.floor((F.col("_total") + 1) / 2),
+            "_high": F.floor(F.col("_total") / 2) + 1,
+        }
+    )
+    holds = (F.col("_before") < F.col("_high")) & (F.col("_before") + F.col("_size") >= F.col("_low"))
+    return ranked.where(holds).drop("_size", "_total")
 
 
-def _bands_wide(df: DataFrame, medians: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
+def _bands_wide(medians: DataFrame, groups: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
     """One row per group with a column per band; a band without values stays NULL."""
-    every = df.groupBy(*keys).agg(F.lit(None).cast("string").alias("_band"), F.lit(None).cast("double").alias("_median"))
-    both = medians.unionByName(every)
+    bare = groups.select(*keys, F.lit(None).cast("string").alias("_band"), F.lit(None).cast("double").alias("_median"))
+    both = medians.unionByName(bare)
     return both.groupBy(*keys).agg(*[F.max(F.when(F.col("_band") == b, F.col("_median"))).alias(b) for b in bands])

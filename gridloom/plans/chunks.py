@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.names import OUTPUT_PREFIX, output_name, task_label
 from gridloom.schemas import CHUNK
+from gridloom.shared import materialise
 
 DEFAULT_SCALE = 1000
 
@@ -61,11 +62,11 @@ def named_chunks(chunks: DataFrame, prefix: str = OUTPUT_PREFIX) -> DataFrame:
 def join_plan(px: DataFrame, plan: DataFrame) -> DataFrame:
     """Observations with the chunk of their dataset, part and year.
 
-    A chunk is a calendar year, so the period test becomes an equality the join can place rows by; the plan is
-    read from a table and broadcast while it is small.
+    A chunk is a calendar year, so the period test becomes an equality the join can place rows by. The plan is
+    written first: its size is then known, and while small it is broadcast and no observation moves.
     """
     dated = px if "year" in px.columns else px.withColumn("year", F.year("ts"))
-    return dated.join(plan, list(CHUNK))
+    return dated.join(materialise(plan, "plan"), list(CHUNK))
 
 
 def chunk_sizes(px: DataFrame, plan: DataFrame) -> DataFrame:

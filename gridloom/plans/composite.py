@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from gridloom.operators.clip import clip
 from gridloom.operators.composites import yearly_median
 from gridloom.operators.filters import filter_date
-from gridloom.operators.regrid import SourceGrid, MasterGrid, gather_index, master_cells, regrid_nearest
+from gridloom.operators.regrid import MasterGrid, SourceGrid, gather_index, master_cells, regrid_nearest
 from gridloom.plans.chunks import join_plan, named_chunks, year_chunks
-from gridloom.schemas import CHUNK
-from gridloom.sources.pixels import write_composite
+from gridloom.schemas import CELL, CHUNK
+from gridloom.sources.pixels import value_bands, write_composite
 
 
 def composite(px: DataFrame, sides: DataFrame, start: str, end: str) -> DataFrame:
@@ -24,14 +24,14 @@ def named_composite(px: DataFrame, catalog: DataFrame, sides: DataFrame) -> Data
 
     Dataset periods apply before the calendar years, so first and last years may be partial.
     """
-    plan = named_chunks(year_chunks(catalog.where("kind <> 'image'"))).select(*CHUNK, "out_name", "start", "end")
+    chunks = named_chunks(year_chunks(catalog.where("kind <> 'image'")))
+    plan = chunks.withColumn("part", F.col("part").cast("bigint")).select(*CHUNK, "out_name", "start", "end")
     time_type = px.schema["ts"].dataType
     planned = join_plan(px, plan).where(
         (F.col("ts") >= F.col("start").cast(time_type)) & (F.col("ts") < F.col("end").cast(time_type))
     )
     clipped = clip(planned.drop("start", "end"), sides)
-    bands = [name for name in px.columns if name not in ("lon", "lat", "ts", "scene_id", "row", "col", *CHUNK)]
-    return yearly_median(clipped, bands, (*CHUNK, "out_name", "row", "col"))
+    return yearly_median(clipped, value_bands(px), (*CHUNK, "out_name", *CELL))
 
 
 def regridded(composites: DataFrame, source: SourceGrid, target: MasterGrid) -> DataFrame:

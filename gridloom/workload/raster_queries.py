@@ -9,7 +9,7 @@ from gridloom.functions.projection import EPSG_5070, project, snap, unproject
 from gridloom.functions.status import days_since_epoch
 from gridloom.functions.values import from_fill, palette_class, palette_colour, quicklook_byte, to_fill
 from gridloom.operators import axes, clip, composites, filters, regrid
-from gridloom.plans import chunks
+from gridloom.plans import chunks, composite
 from gridloom.sources import boundary, pixels
 from gridloom.workload.registered import Inputs, query
 from gridloom.workload.source_queries import BANDS, GRID_SQL, INSIDE_AOI, stored_boundary
@@ -126,8 +126,8 @@ def reclip_composite(inputs: Inputs) -> DataFrame:
     mask = clip.build_mask(inputs.px_obs, inputs.aoi)
     keys = ("dataset_id", "row", "col", "lon", "lat")
     clipped = clip.apply_mask(inputs.px_obs, mask)
-    composite = composites.period_mean(clipped, START, END, ["band_b"], keys)
-    return clip.apply_mask(composite, mask).drop("lon", "lat")
+    means = composites.period_mean(clipped, START, END, ["band_b"], keys)
+    return clip.apply_mask(means, mask).drop("lon", "lat")
 
 
 ALBERS_SQL = """
@@ -213,9 +213,8 @@ SOURCE = regrid.SourceGrid(lon0=-106.0, lat0=31.68, d_lon=0.2, d_lat=0.24)
     SELECT t.grid_row, t.grid_col, s.dataset_id, s.band_b FROM placed t JOIN composite s
         ON s.col = CAST(floor((t.lon + 106.0) / 0.2) AS BIGINT) AND s.row = CAST(floor((t.lat - 31.68) / 0.24) AS BIGINT)""")
 def regrid_nearest(inputs: Inputs) -> DataFrame:
-    composite = composites.period_mean(inputs.px_obs, START, END, ["band_b"])
-    index = regrid.gather_index(regrid.master_cells(inputs.spark, TARGET), SOURCE)
-    merged = regrid.regrid_nearest(composite, index)
+    means = composites.period_mean(inputs.px_obs, START, END, ["band_b"])
+    merged = composite.regridded(means, SOURCE, TARGET)
     return merged.select("grid_row", "grid_col", "dataset_id", "band_b")
 
 
@@ -237,8 +236,8 @@ PX_PLAN_SQL = """
              (VALUES (0), (1)) AS parts(part) WHERE parts.part <= d.last_part)"""
 
 
-def px_catalog(inputs: Inputs) -> DataFrame:
-    """Catalog of the datasets in the pixel view, their periods widened by a year on both sides."""
+def px_catalog(inputs: Inputs, wider: int) -> DataFrame:
+    """Catalog of the datasets in the pixel view; ``wider`` years before the first and after the last."""
     spans = inputs.px_obs.groupBy("dataset_id").agg(
         F.max("part").alias("last"), F.min(F.year("ts")).alias("y0"), F.max(F.year("ts")).alias("y1")
     )
@@ -246,13 +245,13 @@ def px_catalog(inputs: Inputs) -> DataFrame:
     kind = F.when(F.col("last") > 0, "collection_group").otherwise("collection")
     return spans.select(
         "dataset_id", F.lit("MULTI").alias("vars"), assets.alias("assets"), F.lit(1000).alias("scale"), kind.alias("kind"),
-        F.concat((F.col("y0") - 1).cast("string"), F.lit("-06-01")).alias("start"),
-        F.concat((F.col("y1") + 1).cast("string"), F.lit("-06-30")).alias("end"),
+        F.concat((F.col("y0") - wider).cast("string"), F.lit("-06-01")).alias("start"),
+        F.concat((F.col("y1") + wider).cast("string"), F.lit("-06-30")).alias("end"),
     )
 
 
 def px_plan(inputs: Inputs) -> DataFrame:
-    plan = chunks.named_chunks(chunks.year_chunks(px_catalog(inputs)))
+    plan = chunks.named_chunks(chunks.year_chunks(px_catalog(inputs, wider=1)))
     return plan.withColumn("part", F.col("part").cast("bigint"))
 
 
@@ -265,6 +264,20 @@ def plan_chunk_join(inputs: Inputs) -> DataFrame:
     return chunks.chunk_sizes(inputs.px_obs, plan)
 
 
+@query("planned_composite", f"""WITH {INSIDE_AOI},
+    periods AS (SELECT dataset_id, max(part) + 1 AS n_parts,
+        CAST(CAST(min(year(ts)) AS VARCHAR) || '-06-01' AS TIMESTAMP) AS t0,
+        CAST(CAST(max(year(ts)) AS VARCHAR) || '-06-30' AS TIMESTAMP) AS t1 FROM {{px_obs}} GROUP BY dataset_id)
+    SELECT p.dataset_id, p.part, CAST(year(ts) AS INT) AS year, p.row, p.col,
+           'OG_' || p.dataset_id || '_MULTI' || CASE WHEN n_parts > 1 THEN '_part' || CAST(p.part + 1 AS VARCHAR) ELSE '' END
+           || '_' || CAST(year(ts) AS VARCHAR) || '-01-01_' || CAST(year(ts) AS VARCHAR) || '-12-31_1000m' AS out_name,
+           {MEDIANS}
+    FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col
+        JOIN periods d ON p.dataset_id = d.dataset_id AND ts >= t0 AND ts < t1 GROUP BY ALL""")
+def planned_composite(inputs: Inputs) -> DataFrame:
+    return composite.named_composite(inputs.px_obs, px_catalog(inputs, wider=0), inputs.aoi)
+
+
 @query("days_since_epoch", """
     SELECT scene_id, row, col, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS days FROM {px_obs}""")
 def days_since_epoch_query(inputs: Inputs) -> DataFrame:

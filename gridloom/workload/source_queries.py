@@ -94,11 +94,10 @@ def static_image(inputs: Inputs) -> DataFrame:
 
 @query("collection_group", """
     SELECT row, col, scene_id, band_a, band_b, CAST(NULL AS INT) AS qa, CAST(0 AS BIGINT) AS part, '_part1' AS part_tag
-    FROM {px_obs} WHERE dataset_id = '01b' AND part = 0
-    UNION ALL SELECT row, col, scene_id, NULL, band_b, qa, 1, '_part2' FROM {px_obs}
-    WHERE dataset_id = '01b' AND part = 1""")
+    FROM {px_obs} WHERE part = 0
+    UNION ALL SELECT row, col, scene_id, NULL, band_b, qa, 1, '_part2' FROM {px_obs} WHERE part = 1""")
 def collection_group(inputs: Inputs) -> DataFrame:
-    px = inputs.px_obs.where("dataset_id = '01b'")
+    px = inputs.px_obs
     first = px.where("part = 0").select("row", "col", "scene_id", "band_a", "band_b")
     second = px.where("part = 1").select("row", "col", "scene_id", "band_b", "qa")
     return pixels.collection_group([first, second])
@@ -162,14 +161,13 @@ def registry_scan(inputs: Inputs) -> DataFrame:
 
 @query("registry_append", """
     SELECT notebook_id, task_id_or_file, pathway, status, start_time, n_bytes, error_message, retries,
-           TRUE AS has_timestamp FROM {registry_rows} WHERE event_id % 3 <> 0
-    UNION ALL SELECT notebook_id, task_id_or_file, 'xee', status, NULL, NULL, NULL, NULL, TRUE
-    FROM {registry_rows} WHERE event_id % 3 = 0""")
+           TRUE AS has_timestamp FROM {registry_rows}
+    UNION ALL SELECT notebook_id, task_id_or_file, 'xee', status, NULL, NULL, NULL, NULL, TRUE FROM {registry_rows}""")
 def registry_append(inputs: Inputs) -> DataFrame:
     path = fresh_path(inputs.spark, "registry")
     rows = inputs.registry_rows
-    registry.append_event(rows.where("event_id % 3 <> 0").drop("timestamp"), path)
-    sparse = rows.where("event_id % 3 = 0").select("notebook_id", "task_id_or_file", "status")
+    registry.append_event(rows.drop("timestamp"), path)
+    sparse = rows.select("notebook_id", "task_id_or_file", "status")
     registry.append_event(sparse.withColumn("pathway", F.lit("xee")), path)
     return registry.registry(inputs.spark, path).select(
         "notebook_id", "task_id_or_file", "pathway", "status", naive("start_time").alias("start_time"), "n_bytes",

@@ -12,7 +12,7 @@ from gridloom.shared import fresh_path
 from gridloom.sources import registry
 from gridloom.streaming import monitor
 from gridloom.workload.registered import Inputs, query
-from gridloom.workload.source_queries import catalog_records, naive
+from gridloom.workload.source_queries import catalog_records, rounded
 
 # --- plans and names -------------------------------------------------------------------------------------------
 
@@ -63,6 +63,18 @@ def external_names(inputs: Inputs) -> DataFrame:
     return external.named_external(ready, "2000-01-01", "2024-09-30").select("dataset_id", "out_name")
 
 
+@query("external_ingest", """
+    WITH landed AS (SELECT vars AS var, CAST(CAST(strlen(html) AS FLOAT) AS DOUBLE) AS value
+        FROM {pages} JOIN {catalog} ON dataset_id = '02-' || CAST(page_id AS VARCHAR)
+        WHERE family = 'external' AND endpoint NOT LIKE 'REPLACE%' AND endpoint NOT LIKE 'REQUIRES%')
+    SELECT var, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std,
+           count(value) AS n_valid FROM landed GROUP BY var""")
+def external_ingest(inputs: Inputs) -> DataFrame:
+    dataset = F.concat(F.lit("02-"), F.col("page_id").cast("string"))
+    payloads = inputs.pages.select(dataset.alias("dataset_id"), F.octet_length("html").alias("length"))
+    return rounded(external.ingest_payloads(payloads, catalog_records(inputs), fresh_path(inputs.spark, "ingest")))
+
+
 @query("dry_run_plan", f"""WITH {CHUNK_SQL}
     SELECT dry_run, count(*) AS n_planned, CASE WHEN dry_run THEN 0 ELSE count(*) END AS n_submitted
     FROM chunks, (VALUES (TRUE), (FALSE)) AS runs(dry_run) GROUP BY dry_run""")
@@ -198,19 +210,18 @@ def retry_ladder(inputs: Inputs) -> DataFrame:
 
 @query("poll_merge", f"""
     WITH polls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY timestamp_ DESC, event_id DESC)
-            AS r FROM {{task_events}} WHERE event_id % 3 = 0) WHERE r = 1),
-        rows AS (SELECT * FROM {{registry_rows}} WHERE event_id % 3 <> 0),
+            AS r FROM {{task_events}} ) WHERE r = 1),
         merged AS (SELECT g.*, g.status IN ('STARTED', 'RUNNING') AND p.task_id IS NOT NULL AS polled,
             {STATUS_SQL.replace("state", "p.state")} AS new_status, p.timestamp_ AS polled_at, p.error_message AS new_error
-            FROM rows g LEFT JOIN polls p ON g.task_id_or_file = p.task_id)
+            FROM {{registry_rows}} g LEFT JOIN polls p ON g.task_id_or_file = p.task_id)
     SELECT event_id, task_id_or_file, CASE WHEN polled THEN new_status ELSE status END AS status,
            CASE WHEN NOT polled THEN end_time WHEN new_status IN ('COMPLETED', 'FAILED') THEN polled_at END AS end_time,
            CASE WHEN polled THEN new_error ELSE error_message END AS error_message FROM merged""")
 def poll_merge(inputs: Inputs) -> DataFrame:
     events = inputs.task_events.withColumnsRenamed({"task_id": "task_id_or_file", "timestamp_": "polled_at"})
     merged = tasks.poll_merge(
-        inputs.registry_rows.where("event_id % 3 <> 0"),
-        events.where("event_id % 3 = 0"),
+        inputs.registry_rows,
+        events,
         "task_id_or_file",
         ["polled_at", "event_id"],
     )

@@ -121,8 +121,8 @@ VIEWS: dict[str, str] = {
         FROM {part}""",
     "scales": """
         SELECT (CASE WHEN p_partkey % 14 < 9 THEN '01-' ELSE '02-' END) || CAST(p_partkey AS VARCHAR(20)) AS dataset_id,
-               CAST(CASE WHEN p_partkey % 2 = 0 THEN 30 ELSE 250 END AS INT) AS scale
-        FROM {part} WHERE p_partkey % 3 = 0""",
+               CAST(CASE p_partkey % 6 WHEN 0 THEN 30 WHEN 3 THEN 250 END AS INT) AS scale
+        FROM {part}""",
     "queued": """
         SELECT (CASE WHEN l_partkey % 14 < 9 THEN '01-' ELSE '02-' END) || CAST(l_partkey AS VARCHAR(20)) AS dataset_id
         FROM {lineitem} WHERE l_quantity > 49""",
