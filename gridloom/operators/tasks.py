@@ -44,7 +44,8 @@ def poll_merge(registry: DataFrame, polls: DataFrame, task: str, order: list[str
     ``polls`` has ``task, state, polled_at, error_message``; the latest poll of a task counts. Status is mapped,
     the end time set only by a terminal state (and cleared by any other), the error replaced. Other rows stay.
     """
-    latest = latest_status(polls, task, order).select(
+    needed = polls.select(*dict.fromkeys([task, "state", "polled_at", "error_message", *order]))
+    latest = latest_status(needed, task, order).select(
         task,
         map_status(F.col("state")).alias("_status"),
         F.col("polled_at").alias("_polled_at"),

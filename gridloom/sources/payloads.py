@@ -23,7 +23,10 @@ def dispatch(files: DataFrame) -> DataFrame:
 
 
 def raw_payloads(spark: SparkSession, root: str, name_glob: str = "*") -> DataFrame:
-    """Files below ``root`` with size, suffix and class; contents are not read."""
+    """Files below ``root`` with size, suffix and class; contents are not read.
+
+    As in every Spark file source, empty files and names that begin with a dot or underscore are left out.
+    """
     return dispatch(_listing(spark, root, name_glob))
 
 

@@ -236,7 +236,8 @@ def poll_merge(inputs: Inputs) -> DataFrame:
     SELECT task_id, CAST(slot AS INT) AS slot FROM pending, active WHERE slot <= 500 - n""")
 def admission_list(inputs: Inputs) -> DataFrame:
     plan = inputs.lineitem.select(F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("task_id")).distinct()
-    latest = tasks.latest_status(inputs.task_events, "task_id", ["timestamp_", "event_id"])
+    states = inputs.task_events.select("task_id", "state", "timestamp_", "event_id")
+    latest = tasks.latest_status(states, "task_id", ["timestamp_", "event_id"])
     return tasks.admission_list(plan, latest.withColumnRenamed("state", "status"), "task_id", cap=500)
 
 
