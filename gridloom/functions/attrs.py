@@ -20,6 +20,14 @@ GLOBAL_DEFAULTS = {
 VARIABLE_DEFAULTS = {"units": "1", "_FillValue": "-9999.0", "grid_mapping": "crs", "coordinates": "lat lon"}
 BAND_DEFAULTS = {"units": "1", "standard_name": "unknown"}
 REQUIRED_ATTRS = ("Conventions", "title", "history", "institution", "source", "references", "comment")
+CRS_ATTRS = {
+    "grid_mapping_name": "albers_conical_equal_area",
+    "semi_major_axis": "6378137.0",
+    "inverse_flattening": "298.257222101",
+    "false_easting": "0.0",
+    "false_northing": "0.0",
+    "spatial_ref": "EPSG:5070",
+}
 AXIS_ATTRS = {
     "y": {"standard_name": "projection_y_coordinate", "units": "m", "axis": "Y"},
     "x": {"standard_name": "projection_x_coordinate", "units": "m", "axis": "X"},
@@ -68,5 +76,8 @@ def band_metadata(catalog: DataFrame) -> DataFrame:
     )
 
 
-def axis_attrs(axis: str) -> Column:
-    return literal_map(AXIS_ATTRS[axis])
+def coordinate_attrs(datasets: DataFrame) -> DataFrame:
+    """Attribute rows ``(dataset_id, var, attrs)`` of the axes and the grid mapping, for each dataset."""
+    named = {**AXIS_ATTRS, "crs": CRS_ATTRS}
+    rows = [F.struct(F.lit(name).alias("var"), literal_map(entries).alias("attrs")) for name, entries in named.items()]
+    return datasets.select("dataset_id", F.inline(F.array(*rows)))

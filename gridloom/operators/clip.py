@@ -14,7 +14,7 @@ from gridloom.functions.projection import EPSG_5070, Albers, project
 from gridloom.shared import materialise
 from gridloom.sources.boundary import total_bounds
 
-BAND_DEGREES = 0.25
+MAX_STRIPS = 65_536
 
 
 def crossing_x(level: Column) -> Column:
@@ -28,13 +28,28 @@ def _cover(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
-def spans(levels: DataFrame, sides: DataFrame, band: float = BAND_DEGREES) -> DataFrame:
+def strip_height(sides: DataFrame) -> float:
+    """Height of the strips in which sides and grid lines meet: about the height of an average side.
+
+    Many short sides get low strips that hold few of them; few long sides get high strips, so that a side is
+    not repeated for many.
+    """
+    row = sides.agg(
+        F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("mean"),
+        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("extent"),
+    ).first()
+    return max(row.mean or 0.0, (row.extent or 0.0) / MAX_STRIPS, 1e-9)
+
+
+def spans(levels: DataFrame, sides: DataFrame) -> DataFrame:
     """Inside spans ``(fid, level, x_from, x_to)`` of each feature on each horizontal line ``level``.
 
-    Sides and lines meet through the strips of height ``band`` they share, an equality join.
+    Sides and lines meet through the strips they share, an equality join.
     """
-    strips = sides.where("y1 <> y2").withColumn("strip", F.explode(_cover(F.least("y1", "y2"), F.greatest("y1", "y2"), band)))
-    lines = levels.withColumn("strip", F.floor(F.col("level") / band))
+    height = strip_height(sides)
+    covered = _cover(F.least("y1", "y2"), F.greatest("y1", "y2"), height)
+    strips = sides.where("y1 <> y2").withColumn("strip", F.explode(covered))
+    lines = levels.withColumn("strip", F.floor(F.col("level") / height))
     level = F.col("level")
     crossings = (
         lines.join(strips, "strip")
@@ -46,10 +61,10 @@ def spans(levels: DataFrame, sides: DataFrame, band: float = BAND_DEGREES) -> Da
     return paired.where("nth % 2 = 1 AND x_from < x_to").drop("nth")
 
 
-def build_mask(px: DataFrame, sides: DataFrame, y: str = "lat", band: float = BAND_DEGREES) -> DataFrame:
+def build_mask(px: DataFrame, sides: DataFrame, y: str = "lat") -> DataFrame:
     """Spans on all grid lines that occur in ``px``, written once for reuse."""
     levels = px.select(F.col(y).alias("level")).distinct()
-    return materialise(spans(levels, sides, band), "mask")
+    return materialise(spans(levels, sides), "mask")
 
 
 def apply_mask(px: DataFrame, mask: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
@@ -62,9 +77,9 @@ def apply_mask(px: DataFrame, mask: DataFrame, x: str = "lon", y: str = "lat") -
     return near.join(mask.select("level", "x_from", "x_to"), held, "left_semi")
 
 
-def clip(px: DataFrame, sides: DataFrame, x: str = "lon", y: str = "lat", band: float = BAND_DEGREES) -> DataFrame:
+def clip(px: DataFrame, sides: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """Pixels whose centre is inside any feature (even-odd rule, so holes are outside)."""
-    return apply_mask(px, build_mask(px, sides, y, band), x, y)
+    return apply_mask(px, build_mask(px, sides, y), x, y)
 
 
 def inside_features(points: DataFrame, sides: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from gridloom.functions.values import is_finite
 PLACEHOLDER_PREFIXES = ("REPLACE_", "REQUIRES_")
 
 
-def _instant(df: DataFrame, column: str, value: str | dt.datetime) -> Column:
+def _instant(df: DataFrame, column: str, value: str) -> Column:
     """Literal in the column's own time type, so that the filter reaches the scan."""
     return F.lit(value).cast(df.schema[column].dataType)
 

@@ -27,13 +27,15 @@ def row_number_by(df: DataFrame, keys: list[str], order: list[str], out: str) ->
 
     Piece sizes are counted first; a row's number is its place in its piece plus the rows in earlier pieces.
     """
-    pieces = in_ranges(df, [*keys, *order])
-    sizes = pieces.groupBy(*keys, "_piece").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(_cumulative_before(keys, "_piece")), F.lit(0))
-    offsets = sizes.select(*keys, "_piece", before.alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
-    joined = pieces.join(offsets, [*keys, "_piece"])
-    return joined.withColumn(out, local + F.col("_before")).drop("_before", "_piece").select(*df.columns, out)
+    # A struct equals another also where fields are NULL, so rows without a key are numbered as well.
+    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    pieces = in_ranges(df, [*keys, *order]).withColumn("_key", key)
+    sizes = pieces.groupBy("_key", "_piece").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(_cumulative_before(["_key"], "_piece")), F.lit(0))
+    offsets = sizes.select("_key", "_piece", before.alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_key", "_piece").orderBy(*order))
+    joined = pieces.join(offsets, ["_key", "_piece"])
+    return joined.withColumn(out, local + F.col("_before")).select(*df.columns, out)
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.attrs import global_attrs, variable_attrs
+from gridloom.functions.attrs import coordinate_attrs, global_attrs, variable_attrs
 from gridloom.functions.names import output_name
 from gridloom.functions.status import format_iso
 from gridloom.functions.values import to_fill
@@ -42,7 +42,8 @@ def ingest_payloads(payloads: DataFrame, catalog: DataFrame, path: str) -> DataF
     )
     attrs = ready.select("dataset_id", global_attrs(given, format_iso(F.current_timestamp())).alias("attrs"))
     no_attrs = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    var_attrs = ready.select("dataset_id", F.col("vars").alias("var"), variable_attrs(F.col("vars"), no_attrs).alias("attrs"))
+    own = ready.select("dataset_id", F.col("vars").alias("var"), variable_attrs(F.col("vars"), no_attrs).alias("attrs"))
+    var_attrs = own.unionByName(coordinate_attrs(ready))
     write_grid(grid.withColumn("value", to_fill(F.col("value"))), attrs, var_attrs, path)
     stats = qc_stats(grid)
     write_qc(stats, f"{path}/qc")

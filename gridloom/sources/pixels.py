@@ -6,13 +6,25 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.schemas import PIXEL_KEYS
 
 
-def px_obs(spark: SparkSession, path: str, dataset_id: str | None = None) -> DataFrame:
-    """All pixels of a table partitioned by ``dataset_id`` (and ``year``); one dataset prunes to its folder."""
-    table = spark.read.parquet(path)
+# Types of the columns that folder names carry; left to itself Spark would read an id such as 01d as a number.
+_FOLDER_TYPES = {"dataset_id": T.StringType(), "part": T.LongType(), "year": T.IntegerType()}
+
+
+def read_partitioned(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Table stored by dataset, part and year. Giving the schema saves looking it up."""
+    found = schema or spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, _FOLDER_TYPES.get(f.name, f.dataType)) for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def px_obs(spark: SparkSession, path: str, dataset_id: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """All pixels of a table partitioned by ``dataset_id`` and ``year``; one dataset prunes to its folder."""
+    table = read_partitioned(spark, path, schema)
     return table if dataset_id is None else table.where(F.col("dataset_id") == dataset_id)
 
 

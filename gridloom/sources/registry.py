@@ -26,9 +26,14 @@ def _typed_column(name: str) -> Column:
     return blank_free.alias(name)
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """All events below ``path``, one or many CSV files with the fixed header."""
-    return typed(spark.read.schema(REGISTRY_TEXT).csv(path, header=True, nullValue="", escape='"'))
+def registry(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All events below ``path``, one or many CSV files with the fixed header.
+
+    Error messages may hold line breaks, so each file is read by one task. Appended events come in many files;
+    for one large file without line breaks in its values, ``multi_line=False`` splits it.
+    """
+    options = {"header": True, "nullValue": "", "escape": '"', "multiLine": multi_line}
+    return typed(spark.read.schema(REGISTRY_TEXT).options(**options).csv(path))
 
 
 def event_columns(events: DataFrame) -> DataFrame:

@@ -75,14 +75,14 @@ def bbox_filter(inputs: Inputs) -> DataFrame:
 @query("finite_filter", """
     SELECT col, scene_id, value FROM {px_raw} WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)""")
 def finite_filter(inputs: Inputs) -> DataFrame:
-    return filters.finite(inputs.px_raw, "value")
+    return filters.finite(inputs.px_raw, "value").select("col", "scene_id", "value")
 
 
 @query("fill_roundtrip", """
-    SELECT col, scene_id, CASE WHEN value IS NULL OR isnan(value) THEN -9999.0::DOUBLE ELSE value END AS filled,
-           CASE WHEN isnan(value) THEN NULL ELSE value END AS unfilled FROM {px_raw}""")
+    SELECT col, scene_id, CASE WHEN masked IS NULL OR isnan(masked) THEN -9999.0::DOUBLE ELSE masked END AS filled,
+           CASE WHEN isnan(masked) THEN NULL ELSE masked END AS unfilled FROM {px_raw}""")
 def fill_roundtrip(inputs: Inputs) -> DataFrame:
-    filled = inputs.px_raw.select("col", "scene_id", to_fill(F.col("value")).alias("filled"))
+    filled = inputs.px_raw.select("col", "scene_id", to_fill(F.col("masked")).alias("filled"))
     return filled.withColumn("unfilled", from_fill(F.col("filled")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.attrs import axis_attrs
+from gridloom.functions.attrs import coordinate_attrs, global_attrs
 from gridloom.functions.names import output_name
 from gridloom.functions.paths import url_path
 from gridloom.functions.status import format_iso, parse_iso
@@ -201,8 +201,8 @@ def export_listing(inputs: Inputs) -> DataFrame:
     )
     path = fresh_path(inputs.spark, "composite")
     pixels.write_composite(composite.withColumn("out_name", name), path)
-    stored = inputs.spark.read.parquet(path)
-    return stored.groupBy("dataset_id", F.col("part").cast("bigint").alias("part"), "year", "out_name").agg(
+    stored = pixels.read_partitioned(inputs.spark, path)
+    return stored.groupBy("dataset_id", "part", "year", "out_name").agg(
         F.count("*").alias("n_px"), F.sum("band_b").alias("total")
     )
 
@@ -234,16 +234,21 @@ GRID_SQL = """
 BANDS = ["band_a", "band_b", "qa"]
 
 
-@query("grid_sink", f"WITH {GRID_SQL} SELECT var, time, y, x, value, 'm' AS units FROM grid")
+@query("grid_sink", f"""WITH {GRID_SQL}
+    SELECT var, CAST(time AS VARCHAR) AS time, y, x, value, 'm' AS units, 'CF-1.8' AS conventions FROM grid""")
 def grid_sink(inputs: Inputs) -> DataFrame:
     grid = to_grid(inputs.px_obs, BANDS)
-    attrs = inputs.px_obs.select("dataset_id").distinct().withColumn("attrs", axis_attrs("y"))
-    var_attrs = attrs.select("dataset_id", F.explode(F.array(*[F.lit(b) for b in BANDS])).alias("var"), "attrs")
+    datasets = inputs.px_obs.select("dataset_id").distinct()
+    given = F.create_map(F.lit("title"), F.col("dataset_id"))
+    attrs = datasets.select("dataset_id", global_attrs(given, F.lit("2024-01-01T00:00:00+00:00")).alias("attrs"))
     path = fresh_path(inputs.spark, "grid")
-    sinks.write_grid(grid, attrs, var_attrs, path)
+    sinks.write_grid(grid, attrs, coordinate_attrs(datasets), path)
     stored = sinks.read_grid(inputs.spark, path)
-    units = stored["var_attrs"].groupBy("var").agg(F.max(F.col("attrs")["units"]).alias("units"))
-    return stored["grid"].join(units, "var")
+    units = stored["var_attrs"].where("var = 'y'").agg(F.max(F.col("attrs")["units"])).scalar()
+    convention = stored["attrs"].agg(F.min(F.col("attrs")["Conventions"])).scalar()
+    return stored["grid"].withColumns(
+        {"time": F.col("time").cast("string"), "units": units, "conventions": convention}
+    )
 
 
 @query("file_inventory", """

@@ -39,10 +39,11 @@ def raster_chunks(inputs: Inputs) -> DataFrame:
 
 
 @query("year_chunks", f"""WITH {CHUNK_SQL}
-    SELECT dataset_id, CAST(part AS INT) AS part, year, make_date(year, 1, 1) AS chunk_start,
-           make_date(year + 1, 1, 1) AS chunk_end, CASE WHEN part = 0 THEN asset_1 ELSE asset_2 END AS asset_id FROM chunks""")
+    SELECT dataset_id, CAST(part AS INT) AS part, year, CAST(make_date(year, 1, 1) AS VARCHAR) AS chunk_start,
+           CAST(make_date(year + 1, 1, 1) AS VARCHAR) AS chunk_end, CASE WHEN part = 0 THEN asset_1 ELSE asset_2 END AS asset_id FROM chunks""")
 def year_chunks(inputs: Inputs) -> DataFrame:
-    return raster_chunks(inputs).select("dataset_id", "part", "year", "chunk_start", "chunk_end", "asset_id")
+    days = [F.col(name).cast("string").alias(name) for name in ("chunk_start", "chunk_end")]
+    return raster_chunks(inputs).select("dataset_id", "part", "year", *days, "asset_id")
 
 
 @query("output_names", f"WITH {CHUNK_SQL} SELECT dataset_id, out_name FROM named")

@@ -50,7 +50,9 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_linenumber = 7 THEN CAST('NaN' AS DOUBLE)
                     WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN CAST('Infinity' AS DOUBLE)
                     WHEN l_linenumber = 6 AND l_returnflag = 'N' THEN CAST('-Infinity' AS DOUBLE)
-                    WHEN l_linenumber = 5 THEN NULL ELSE l_quantity END AS value
+                    WHEN l_linenumber = 5 THEN NULL ELSE l_quantity END AS value,
+               CASE WHEN l_linenumber = 7 THEN CAST('NaN' AS DOUBLE)
+                    WHEN l_linenumber = 5 THEN NULL ELSE l_quantity END AS masked
         FROM {lineitem}""",
     "scenes": """
         SELECT o_orderkey AS scene_id, o_orderdate AS acquired,

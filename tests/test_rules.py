@@ -6,6 +6,7 @@ from gridloom.functions.attrs import global_attrs, variable_attrs
 from gridloom.functions.status import is_active, is_retryable, map_status
 from gridloom.functions.values import from_fill, palette_colour, quicklook_byte, to_fill
 from gridloom.operators import filters, rules, sets
+from gridloom.plans import validation
 
 
 def test_token_rules(spark):
@@ -77,6 +78,17 @@ def test_failures_and_pass(spark):
     assert tuple(rules.run_passed(rollup.where("n > 5")).first()) == (0, True)
 
 
+def test_validate_run(spark, tmp_path):
+    datasets = spark.createDataFrame([("a.nc", {"Conventions": "CF-1.6"})], "path STRING, attrs MAP<STRING,STRING>")
+    files = spark.createDataFrame([("a.nc", 10)], "path STRING, length BIGINT")
+    reg = spark.createDataFrame([("FAILED", "m"), ("FAILED", "m"), ("COMPLETED", None)], "status STRING, error_message STRING")
+    result = validation.validate(files, datasets, reg, str(tmp_path / "index"), "run")
+    assert tuple(result.verdict.first()) == (3, False)
+    assert {tuple(r) for r in result.statuses.collect()} == {("FAILED", 2), ("COMPLETED", 1)}
+    lines = [r.value for r in spark.read.text(str(tmp_path / "index")).collect()]
+    assert "- Failures: 3" in lines and "- `a.nc` (10 bytes)" in lines
+
+
 def test_ordered_listing(spark):
     df = spark.createDataFrame([("b", "x"), ("a", "z"), ("a", "y"), ("b", None)], "family STRING, name STRING")
     got = sorted((r.ordinal, r.family, r.name) for r in rules.ordered_listing(df, ["family", "name"]).collect())

@@ -74,6 +74,12 @@ def test_row_number_of_a_hot_key(spark):
         assert [n for *_, n in sorted(members)] == list(range(1, len(members) + 1))
 
 
+def test_rows_without_a_key_are_numbered_too(spark):
+    df = spark.range(10).select(F.when(F.col("id") < 4, "a").alias("k"), F.col("id").alias("t"))
+    rows = row_number_by(df, ["k"], ["t"], "n").collect()
+    assert sorted((r.k or "", r.t, r.n) for r in rows) == [("", t, t - 3) for t in range(4, 10)] + [("a", t, t + 1) for t in range(4)]
+
+
 def test_row_number_spreads_one_key_and_one_time_over_tasks(spark):
     df = spark.range(200_000).select(F.lit("hot").alias("k"), F.lit(0).alias("t"), F.col("id"))
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")

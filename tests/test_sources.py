@@ -90,6 +90,22 @@ def test_append_keeps_earlier_events(spark, tmp_path):
     assert back.where("timestamp IS NULL").count() == 0
 
 
+def test_messages_keep_line_breaks(spark, tmp_path):
+    message = 'first, "quoted"\nsecond\n\nlast'
+    path = str(tmp_path / "reg")
+    registry.append_event(spark.createDataFrame([("t", message)], "task_id_or_file STRING, error_message STRING"), path)
+    assert [(r.task_id_or_file, r.error_message) for r in registry.registry(spark, path).collect()] == [("t", message)]
+
+
+def test_ids_that_look_like_numbers_stay_text(spark, tmp_path):
+    rows = [(i, 0, 2001, 1.0) for i in ("01d", "01f", "02")]
+    path = str(tmp_path / "composite")
+    pixels.write_composite(spark.createDataFrame(rows, "dataset_id STRING, part BIGINT, year INT, v DOUBLE"), path)
+    back = pixels.read_partitioned(spark, path)
+    assert sorted(tuple(r) for r in back.select("dataset_id", "part", "year", "v").collect()) == rows
+    assert dict(back.dtypes)["dataset_id"] == "string" and dict(back.dtypes)["part"] == "bigint"
+
+
 def test_iso_round_trip(spark):
     df = spark.createDataFrame([("2026-07-26T10:08:44.749321+00:00",), ("2026-07-26T10:08:44-05:30",), ("",), (None,)], "t STRING")
     back = [r[0] for r in df.select(format_iso(parse_iso(F.col("t")))).collect()]
