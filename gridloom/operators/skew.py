@@ -12,30 +12,34 @@ def _cumulative_before(keys: list[str], order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
-    """Table with a ``_piece`` number that does not decrease along ``order``; pieces hold about equally many rows.
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """Table sorted along ``order`` in pieces of about equal size, with ``_piece`` and the place ``_nth`` in it.
 
-    Range partitioning on the whole sort key splits a large key as well. The pieces are written down, because
-    their bounds come from a sample and later stages must all see the same ones.
+    Range partitioning on the whole sort key splits a large key as well. The table is written down, because
+    piece bounds come from a sample and later stages must all see the same ones.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_piece", F.spark_partition_id())
-    return materialise(ranged, "ranges")
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The generated id holds the partition number above 33 bits of row number.
+    placed = ordered.withColumn("_id", F.monotonically_increasing_id())
+    numbered = placed.withColumns(
+        {"_piece": F.shiftright("_id", 33), "_nth": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    return materialise(numbered.drop("_id"), "ordered")
 
 
 def row_number_by(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """1-based row number within ``keys`` along ``order``, without bringing all rows of a key together.
 
-    Piece sizes are counted first; a row's number is its place in its piece plus the rows in earlier pieces.
+    Each key is a run of places in one or more pieces. A row's number is its place, less the place where the run
+    begins, plus the key's rows in earlier pieces; these corrections are one small row per run.
     """
-    # A struct equals another also where fields are NULL, so rows without a key are numbered as well.
-    key = F.struct(*keys) if keys else F.struct(F.lit(0))
-    pieces = in_ranges(df, [*keys, *order]).withColumn("_key", key)
-    sizes = pieces.groupBy("_key", "_piece").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(_cumulative_before(["_key"], "_piece")), F.lit(0))
-    offsets = sizes.select("_key", "_piece", before.alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_key", "_piece").orderBy(*order))
-    joined = pieces.join(offsets, ["_key", "_piece"])
-    return joined.withColumn(out, local + F.col("_before")).select(*df.columns, out)
+    pieces = in_order(df, [*keys, *order])
+    placed = [*keys, "_piece"]
+    runs = pieces.groupBy(*placed).agg(F.min("_nth").alias("_first"), F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(_cumulative_before(keys, "_piece")), F.lit(0))
+    shifts = materialise(runs.select(*placed, (before - F.col("_first") + 1).alias("_shift")), "run-shifts")
+    joined = pieces.join(shifts, _null_safe(pieces, shifts, placed))
+    return joined.select(*[pieces[name] for name in df.columns], (F.col("_nth") + F.col("_shift")).alias(out))
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
@@ -60,9 +64,9 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 def median_by(df: DataFrame, keys: list[str], bands: list[str], hot_rows: int | None = 1_000_000) -> DataFrame:
     """Exact median of each band per group, NULLs ignored; an even count averages the two middle values.
 
-    Rows are placed by group key before aggregating, because a median cannot be combined from partial results
-    that are smaller than the values. Groups too large for one task are set aside and solved by
-    ``_median_of_hot``; ``hot_rows=None`` skips the search for them.
+    Rows are placed by group, because a median cannot be combined from partial results that are smaller than the
+    values. Groups too large for one task are set aside and solved by ``_median_of_hot``; ``hot_rows=None`` skips
+    the search for them.
     """
     needed = df.select(*keys, *bands)
     if hot_rows is None:
@@ -76,7 +80,12 @@ def median_by(df: DataFrame, keys: list[str], bands: list[str], hot_rows: int |
 
 
 def _median_in_place(df: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
-    return df.repartition(*keys).groupBy(*keys).agg(*[F.median(band).alias(band) for band in bands])
+    """Medians of groups that fit a task: one shuffle and one sort by group, shared by all bands.
+
+    A window is used because the plain aggregate would build and serialise every group's values twice.
+    """
+    group = Window.partitionBy(*keys)
+    return df.select(*keys, *[F.median(band).over(group).alias(band) for band in bands]).dropDuplicates(keys)
 
 
 def _median_of_hot(df: DataFrame, groups: DataFrame, keys: list[str], bands: list[str], pieces: int = 256) -> DataFrame:
