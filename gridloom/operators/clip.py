@@ -7,7 +7,7 @@ a shuffle while the span table is small enough to broadcast, and by a join on th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.projection import EPSG_5070, Albers, project
@@ -160,14 +160,17 @@ def clip_buffer(px: DataFrame, sides: DataFrame, distance: float, crs: Albers =
     return px.join(mask, held, "left_semi")
 
 
-def filter_bbox(scenes: DataFrame, sides: DataFrame) -> DataFrame:
-    """Scenes whose footprint box overlaps the bounding box of the features."""
-    box = total_bounds(sides).first()
+def _overlapping(scenes: DataFrame, box: Row) -> DataFrame:
+    """Scenes whose footprint box overlaps a bounding box; none where there is no box."""
     if box.west is None:
         return scenes.where(F.lit(False))
-    return scenes.where(
-        (F.col("west") <= box.east) & (F.col("east") >= box.west) & (F.col("south") <= box.north) & (F.col("north") >= box.south)
-    )
+    in_x = (F.col("west") <= box.east) & (F.col("east") >= box.west)
+    return scenes.where(in_x & (F.col("south") <= box.north) & (F.col("north") >= box.south))
+
+
+def filter_bbox(scenes: DataFrame, sides: DataFrame) -> DataFrame:
+    """Scenes whose footprint box overlaps the bounding box of the features."""
+    return _overlapping(scenes, total_bounds(sides).first())
 
 
 def _side_meets_box() -> Column:
@@ -194,7 +197,7 @@ def filter_bounds(scenes: DataFrame, sides: DataFrame, tiles_across: int = 16) -
     """
     corners = ["west", "south", "east", "north"]
     box = total_bounds(sides).first()
-    near = filter_bbox(scenes, sides)
+    near = _overlapping(scenes, box)
     if box.west is None:
         return near
     boxes = materialise(near.select(*corners).distinct(), "footprints")

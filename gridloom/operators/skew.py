@@ -88,7 +88,7 @@ def _median_in_place(df: DataFrame, keys: list[str], bands: list[str]) -> DataFr
     return df.select(*keys, *[F.median(band).over(group).alias(band) for band in bands]).dropDuplicates(keys)
 
 
-def _median_of_hot(df: DataFrame, groups: DataFrame, keys: list[str], bands: list[str], pieces: int = 256) -> DataFrame:
+def _median_of_hot(df: DataFrame, groups: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
     """Exact medians of large groups without bringing a group together.
 
     Equal values are counted, which spreads a group over tasks by value. A quantile sketch cuts the distinct
@@ -98,6 +98,7 @@ def _median_of_hot(df: DataFrame, groups: DataFrame, keys: list[str], bands: lis
     pairs = [F.struct(F.lit(b).alias("_band"), F.col(b).cast("double").alias("_value")) for b in bands]
     values = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("_value").isNotNull())
     counted = materialise(values.groupBy(*group, "_value").agg(F.count("*").alias("_n")), "value-counts")
+    pieces = min(1024, max(64, counted.count() // 1_000_000))
     shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     sketch = F.percentile_approx("_value", shares, 10 * pieces).alias("_cuts")
     cuts = materialise(counted.groupBy(*group).agg(sketch), "value-cuts")

@@ -11,6 +11,7 @@ from gridloom.operators.filters import filter_date
 from gridloom.operators.regrid import MasterGrid, SourceGrid, gather_index, master_cells, regrid_nearest
 from gridloom.plans.chunks import join_plan, named_chunks, year_chunks
 from gridloom.schemas import CELL, CHUNK
+from gridloom.shared import materialise
 from gridloom.sources.pixels import value_bands, write_composite
 
 
@@ -34,6 +35,13 @@ def named_composite(px: DataFrame, catalog: DataFrame, sides: DataFrame) -> Data
     return yearly_median(clipped, value_bands(px), (*CHUNK, "out_name", *CELL))
 
 
+def named_static(images: DataFrame, catalog: DataFrame, sides: DataFrame) -> DataFrame:
+    """Clipped static images with their output names; no date filter applies to them."""
+    chunks = named_chunks(year_chunks(catalog.where("kind = 'image'")))
+    plan = materialise(chunks.select("dataset_id", "out_name"), "static-plan")
+    return clip(images.join(plan, "dataset_id"), sides)
+
+
 def regridded(composites: DataFrame, source: SourceGrid, target: MasterGrid) -> DataFrame:
     """Composite on the master grid."""
     return regrid_nearest(composites, gather_index(master_cells(composites.sparkSession, target), source))

@@ -183,6 +183,18 @@ def test_named_composite_has_partial_years(spark):
     }
 
 
+def test_static_image_is_clipped_and_named(spark):
+    image = spark.createDataFrame([("s", 0, 0, 0.5, 0.5, 7.0), ("s", 0, 1, 1.5, 0.5, 8.0), ("other", 0, 0, 0.5, 0.5, 9.0)], "dataset_id STRING, row BIGINT, col BIGINT, lon DOUBLE, lat DOUBLE, v DOUBLE")
+    cat = spark.createDataFrame(
+        [("s", "image", "2001-01-01", "2001-12-31", ["a"], 30, "V"), ("other", "collection", "2001-01-01", "2001-12-31", ["a"], 30, "V")],
+        "dataset_id STRING, kind STRING, start STRING, end STRING, assets ARRAY<STRING>, scale INT, vars STRING",
+    )
+    square = [(0, 0, 0.0, 0.0, 1.0, 0.0), (0, 0, 1.0, 0.0, 1.0, 1.0), (0, 0, 1.0, 1.0, 0.0, 1.0), (0, 0, 0.0, 1.0, 0.0, 0.0)]
+    sides = spark.createDataFrame(square, "fid BIGINT, ring INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE")
+    kept = composite.named_static(image, cat, sides).collect()
+    assert [(r.v, r.out_name) for r in kept] == [(7.0, "OG_s_V_2001-01-01_2001-12-31_30m")]
+
+
 def test_first_errors_in_order(spark):
     errors = spark.range(50).select((49 - F.col("id")).alias("nth"))
     assert [r.nth for r in rules.first_errors(errors, ["nth"]).collect()] == list(range(20))

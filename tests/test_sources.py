@@ -45,8 +45,8 @@ def test_boundary_collection(spark, tmp_path):
     hole = [[0.5, 0.5], [1, 0.5], [1, 1]]
     other = [[5, 5], [6, 5], [6, 6], [5, 5]]
     features = [
-        _feature("Polygon", [square, hole], AQUIFER="yes"),
-        _feature("MultiPolygon", [[square], [other]], AQUIFER="no"),
+        _feature("Polygon", [square, hole], zone="yes"),
+        _feature("MultiPolygon", [[square], [other]], zone="no"),
     ]
     path = tmp_path / "b.geojson"
     path.write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
@@ -57,7 +57,7 @@ def test_boundary_collection(spark, tmp_path):
     closing = sides.where("fid = 0 AND ring = 1 AND x1 = 1 AND y1 = 1").first()
     assert (closing.x2, closing.y2) == (0.5, 0.5)
     assert [r.fid for r in boundary.boundary(spark, str(path), pick="first").collect()] == [0]
-    assert [r.fid for r in boundary.filter_features(shapes, "AQUIFER", "no").collect()] == [1]
+    assert [r.fid for r in boundary.filter_features(shapes, "zone", "no").collect()] == [1]
     assert tuple(boundary.total_bounds(sides).first()) == (0.0, 0.0, 6.0, 6.0)
 
 
