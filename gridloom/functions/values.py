@@ -28,9 +28,9 @@ def from_fill(value: Column, fill: float = FILL_VALUE) -> Column:
 
 
 def stretch(value: Column, low: Column | float, high: Column | float) -> Column:
-    """Linear stretch of [low, high] to [0, 1], clamped at both ends."""
+    """Linear stretch of [low, high] to [0, 1], clamped at both ends; 0 where low equals high."""
     low_, high_ = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
-    share = (value - low_) / F.nullif(high_ - low_, F.lit(0.0))
+    share = F.coalesce((value - low_) / F.nullif(high_ - low_, F.lit(0.0)), F.lit(0.0))
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.values import is_finite
+from gridloom.functions.values import is_finite, quicklook_byte
+from gridloom.operators.composites import time_mean
+from gridloom.shared import materialise
 
 STATISTICS = ("min", "max", "mean", "std", "n_valid")
 
@@ -36,3 +38,14 @@ def qc_stats_wide(px: DataFrame, bands: list[str]) -> DataFrame:
         for band in bands
     ]
     return px.agg(*columns).select(F.inline(F.array(*rows)))
+
+
+def quicklook(grid: DataFrame) -> DataFrame:
+    """Grey values of the time-mean image of each variable, scaled between its minimum and maximum.
+
+    The extremes are one row per variable, read from a table and so broadcast: images are not placed by variable.
+    """
+    image = time_mean(grid).select("var", "y", "x", "value")
+    extremes = materialise(image.groupBy("var").agg(F.min("value").alias("low"), F.max("value").alias("high")), "extremes")
+    grey = quicklook_byte(F.col("value"), F.col("low"), F.col("high"))
+    return image.join(extremes, "var").select("var", "y", "x", grey.alias("grey"))

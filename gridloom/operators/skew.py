@@ -15,8 +15,9 @@ def _cumulative_before(keys: list[str], order: str) -> Window:
 def in_order(df: DataFrame, order: list[str]) -> DataFrame:
     """Table sorted along ``order`` in pieces of about equal size, with ``_piece`` and the place ``_nth`` in it.
 
-    Range partitioning on the whole sort key splits a large key as well. The table is written down, because
-    piece bounds come from a sample and later stages must all see the same ones.
+    Range partitioning on the whole sort key splits a large key as well; end ``order`` with a column that tells
+    rows apart, since equal sort keys stay together. The table is written down, because piece bounds come from a
+    sample and later stages must all see the same ones.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # The generated id holds the partition number above 33 bits of row number.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.projection import EPSG_5070, project, snap, unproject
 from gridloom.functions.status import days_since_epoch
 from gridloom.functions.values import from_fill, palette_class, palette_colour, quicklook_byte, to_fill
-from gridloom.operators import axes, clip, composites, filters, regrid
+from gridloom.operators import axes, clip, composites, filters, quality, regrid
 from gridloom.plans import chunks, composite
 from gridloom.sources import boundary, pixels
 from gridloom.workload.registered import Inputs, query
@@ -230,6 +230,16 @@ def time_mean_grid(inputs: Inputs) -> DataFrame:
     return composites.time_mean(composites.to_grid(inputs.px_obs, BANDS))
 
 
+@query("quicklook", f"""WITH {GRID_SQL},
+    image AS (SELECT var, y, x, avg(value) AS value FROM grid GROUP BY var, y, x),
+    extremes AS (SELECT var, min(value) AS low, max(value) AS high FROM image GROUP BY var)
+    SELECT i.var, y, x, CAST(CASE WHEN value IS NOT NULL
+        THEN floor(greatest(0, least(1, (value - low) / (high - low))) * 255) END AS INT) AS grey
+    FROM image i JOIN extremes e ON i.var = e.var""")
+def quicklook(inputs: Inputs) -> DataFrame:
+    return quality.quicklook(composites.to_grid(inputs.px_obs, BANDS))
+
+
 PX_PLAN_SQL = """
     years AS (SELECT dataset_id, CAST(part AS BIGINT) AS part, CAST(unnest(generate_series(y0 - 1, y1 + 1)) AS INT) AS year
         FROM (SELECT dataset_id, max(part) AS last_part, min(year(ts)) AS y0, max(year(ts)) AS y1 FROM {px_obs} GROUP BY 1) d,

@@ -21,8 +21,8 @@ CHUNK_SQL = """
         UNION ALL SELECT *, 1 FROM {catalog} WHERE asset_2 IS NOT NULL AND kind = 'collection_group'),
     parts AS (SELECT *, CASE WHEN kind = 'collection_group' AND asset_2 IS NOT NULL THEN 2 ELSE 1 END AS n_parts,
         coalesce(scale, 1000) AS metres FROM assets),
-    yearly AS (SELECT *, CAST(unnest(generate_series(CAST(left(start_day, 4) AS INT), CAST(left(end_day, 4) AS INT))) AS INT)
-        AS year FROM parts WHERE kind <> 'image'),
+    yearly AS (SELECT *, CAST(unnest(generate_series(CAST(left(start_day, 4) AS INT),
+        CAST(left(end_day, 4) AS INT))) AS INT) AS year FROM parts WHERE kind <> 'image'),
     chunks AS (SELECT * FROM yearly UNION ALL SELECT *, CAST(NULL AS INT) FROM parts WHERE kind = 'image'),
     named AS (SELECT *, 'OG_' || dataset_id || '_' || vars
             || CASE WHEN n_parts > 1 THEN '_part' || CAST(part + 1 AS VARCHAR) ELSE '' END || '_'
@@ -118,7 +118,8 @@ def band_metadata(inputs: Inputs) -> DataFrame:
 
 
 @query("endpoint_gate", """
-    SELECT dataset_id, endpoint FROM {catalog} WHERE endpoint LIKE 'REPLACE\\_%' ESCAPE '\\' OR endpoint LIKE 'REQUIRES\\_%' ESCAPE '\\'""")
+    SELECT dataset_id, endpoint FROM {catalog}
+    WHERE starts_with(endpoint, 'REPLACE_') OR starts_with(endpoint, 'REQUIRES_')""")
 def endpoint_gate(inputs: Inputs) -> DataFrame:
     return filters.endpoint_gate(inputs.catalog).select("dataset_id", "endpoint")
 

@@ -42,6 +42,9 @@ ENDPOINTS = [
 ]
 
 
+RECORD = "dataset_id STRING, kind STRING, start STRING, end STRING, assets ARRAY<STRING>, scale INT, vars STRING"
+
+
 @pytest.fixture(scope="module")
 def catalog(spark):
     rows = [
@@ -73,13 +76,13 @@ def test_names_and_labels(catalog):
 
 def test_period_ending_before_it_starts_has_no_chunks(spark):
     row = [("x", "collection", "2005-01-01", "2004-01-01", ["a"], 30, "V")]
-    empty = spark.createDataFrame(row, "dataset_id STRING, kind STRING, start STRING, end STRING, assets ARRAY<STRING>, scale INT, vars STRING")
+    empty = spark.createDataFrame(row, RECORD)
     assert chunks.year_chunks(empty).count() == 0
 
 
 def test_list_of_assets_counts_only_for_groups(spark):
     row = [("x", "collection", "2005-01-01", "2006-01-01", ["a", "b"], 30, "V")]
-    one = spark.createDataFrame(row, "dataset_id STRING, kind STRING, start STRING, end STRING, assets ARRAY<STRING>, scale INT, vars STRING")
+    one = spark.createDataFrame(row, RECORD)
     assert {(r.asset_id, r.year) for r in chunks.year_chunks(one).collect()} == {("a", 2005), ("a", 2006)}
 
 
@@ -127,7 +130,8 @@ def test_run_report_labels(spark):
 
 def test_empty_chunk_keeps_its_row(spark):
     plan = spark.createDataFrame([("d", 0, 2000), ("d", 0, 2001)], "dataset_id STRING, part BIGINT, year INT")
-    px = spark.createDataFrame([("d", 0, 2001, 5), ("d", 0, 2001, 5), ("d", 0, 2001, 6)], "dataset_id STRING, part BIGINT, year INT, scene_id INT")
+    rows = [("d", 0, 2001, 5), ("d", 0, 2001, 5), ("d", 0, 2001, 6)]
+    px = spark.createDataFrame(rows, "dataset_id STRING, part BIGINT, year INT, scene_id INT")
     assert {(r.year, r.n_img, r.n_px) for r in chunks.chunk_sizes(px, plan).collect()} == {(2000, 0, 0), (2001, 2, 3)}
 
 
@@ -172,7 +176,7 @@ def test_named_composite_has_partial_years(spark):
     ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     cat = spark.createDataFrame(
         [("d", "collection", "2001-04-01", "2002-09-30", ["a"], 1000, "V")],
-        "dataset_id STRING, kind STRING, start STRING, end STRING, assets ARRAY<STRING>, scale INT, vars STRING",
+        RECORD,
     )
     square = [(0, 0, 0.0, 0.0, 1.0, 0.0), (0, 0, 1.0, 0.0, 1.0, 1.0), (0, 0, 1.0, 1.0, 0.0, 1.0), (0, 0, 0.0, 1.0, 0.0, 0.0)]
     sides = spark.createDataFrame(square, "fid BIGINT, ring INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE")
@@ -184,10 +188,13 @@ def test_named_composite_has_partial_years(spark):
 
 
 def test_static_image_is_clipped_and_named(spark):
-    image = spark.createDataFrame([("s", 0, 0, 0.5, 0.5, 7.0), ("s", 0, 1, 1.5, 0.5, 8.0), ("other", 0, 0, 0.5, 0.5, 9.0)], "dataset_id STRING, row BIGINT, col BIGINT, lon DOUBLE, lat DOUBLE, v DOUBLE")
+    pixels = [("s", 0, 0, 0.5, 0.5, 7.0), ("s", 0, 1, 1.5, 0.5, 8.0), ("other", 0, 0, 0.5, 0.5, 9.0)]
+    image = spark.createDataFrame(
+        pixels, "dataset_id STRING, row BIGINT, col BIGINT, lon DOUBLE, lat DOUBLE, v DOUBLE"
+    )
     cat = spark.createDataFrame(
         [("s", "image", "2001-01-01", "2001-12-31", ["a"], 30, "V"), ("other", "collection", "2001-01-01", "2001-12-31", ["a"], 30, "V")],
-        "dataset_id STRING, kind STRING, start STRING, end STRING, assets ARRAY<STRING>, scale INT, vars STRING",
+        RECORD,
     )
     square = [(0, 0, 0.0, 0.0, 1.0, 0.0), (0, 0, 1.0, 0.0, 1.0, 1.0), (0, 0, 1.0, 1.0, 0.0, 1.0), (0, 0, 0.0, 1.0, 0.0, 0.0)]
     sides = spark.createDataFrame(square, "fid BIGINT, ring INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE")

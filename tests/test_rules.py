@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.attrs import global_attrs, variable_attrs
 from gridloom.functions.status import is_active, is_retryable, map_status
 from gridloom.functions.values import from_fill, palette_colour, quicklook_byte, to_fill
-from gridloom.operators import filters, rules, sets
+from gridloom.operators import filters, quality, rules, sets
 from gridloom.plans import validation
 
 
@@ -124,6 +124,14 @@ def test_fill_and_stretch(spark):
     assert grey == [0, 0, 42, 127, 249, 255, None]
 
 
+def test_quicklook_of_a_constant_image(spark):
+    rows = [("a", 0.0, 5.0), ("a", 1.0, 5.0), ("b", 0.0, 1.0), ("b", 1.0, 3.0), ("b", 2.0, None)]
+    grid = spark.createDataFrame(rows, "var STRING, y DOUBLE, value DOUBLE").withColumn("x", F.lit(0.0))
+    assert {(r.var, r.y, r.grey) for r in quality.quicklook(grid).collect()} == {
+        ("a", 0.0, 0), ("a", 1.0, 0), ("b", 0.0, 0), ("b", 1.0, 255), ("b", 2.0, None),
+    }
+
+
 def test_finite(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "v DOUBLE")
     assert [r.v for r in filters.finite(df, "v").collect()] == [1.0]

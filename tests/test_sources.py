@@ -72,7 +72,8 @@ def test_registry_reads_blanks_decimals_and_quotes(spark, tmp_path):
         "not a time,01c,C,,batch,STARTED,,,,,0",
     ]
     (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
-    rows = {r.notebook_id: r for r in registry.registry(spark, str(tmp_path / "r.csv")).withColumn("ts", F.unix_micros("timestamp")).collect()}
+    events = registry.registry(spark, str(tmp_path / "r.csv")).withColumn("ts", F.unix_micros("timestamp"))
+    rows = {r.notebook_id: r for r in events.collect()}
     assert rows["01a"].ts == 1767262124749321
     assert rows["01b"].ts == 1767261600000000
     assert rows["01b"].n_bytes == 12 and rows["01b"].retries == 3
@@ -118,7 +119,8 @@ def test_raw_payloads_by_suffix(spark, tmp_path):
         path = tmp_path / "raw" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(b"x" * size)
-    found = {os.path.basename(r.path): (r.length, r.suffix, r.payload_class) for r in payloads.raw_payloads(spark, str(tmp_path / "raw")).collect()}
+    listed = payloads.raw_payloads(spark, str(tmp_path / "raw")).collect()
+    found = {os.path.basename(r.path): (r.length, r.suffix, r.payload_class) for r in listed}
     assert found["a.TIF"] == (3, ".tif", "raster")
     assert found["b.nc4"] == (5, ".nc4", "gridded")
     assert found["c"] == (7, ".bin", "other")
@@ -211,7 +213,12 @@ def test_quality_of_empty_and_infinite_values(spark):
 
 
 def test_time_mean_ignores_nan_and_keeps_untimed_grids(spark):
-    rows = [("v", "2001-01-01", 0.0, 0.0, 2.0), ("v", "2001-01-02", 0.0, 0.0, float("nan")), ("v", "2001-01-03", 0.0, 0.0, 4.0), ("v", "2001-01-01", 1.0, 0.0, None)]
+    rows = [
+        ("v", "2001-01-01", 0.0, 0.0, 2.0),
+        ("v", "2001-01-02", 0.0, 0.0, float("nan")),
+        ("v", "2001-01-03", 0.0, 0.0, 4.0),
+        ("v", "2001-01-01", 1.0, 0.0, None),
+    ]
     grid = spark.createDataFrame(rows, "var STRING, time STRING, y DOUBLE, x DOUBLE, value DOUBLE")
     assert {(r.y, r.value) for r in time_mean(grid).collect()} == {(0.0, 3.0), (1.0, None)}
     untimed = grid.drop("time")
