@@ -52,8 +52,9 @@ def named_chunks(chunks: DataFrame, prefix: str = OUTPUT_PREFIX) -> DataFrame:
     year = F.col("year").cast("string")
     label_start = F.coalesce(F.concat(year, F.lit("-01-01")), F.col("start"))
     label_end = F.coalesce(F.concat(year, F.lit("-12-31")), F.col("end"))
+    scale = F.coalesce(F.col("scale"), F.lit(DEFAULT_SCALE))
     name = output_name(
-        F.col("dataset_id"), F.col("vars"), F.col("part"), F.col("n_parts"), label_start, label_end, F.col("scale"), prefix
+        F.col("dataset_id"), F.col("vars"), F.col("part"), F.col("n_parts"), label_start, label_end, scale, prefix
     )
     label = task_label(F.col("dataset_id"), F.col("part"), F.col("year"))
     return chunks.withColumns({"out_name": name, "task_label": label})

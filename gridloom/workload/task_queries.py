@@ -34,7 +34,7 @@ CHUNK_SQL = """
 
 def raster_chunks(inputs: Inputs) -> DataFrame:
     """Named chunks of the raster records, at the catalog's scale or the default."""
-    rasters = catalog_records(inputs).where("family = 'raster'").fillna(chunks.DEFAULT_SCALE, ["scale"])
+    rasters = catalog_records(inputs).where("family = 'raster'")
     return chunks.named_chunks(chunks.year_chunks(rasters))
 
 
