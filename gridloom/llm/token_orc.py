@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.batches import list_column, text_slices
 from gridloom.llm.tokens import encoder
+from gridloom.shared import materialise
 
 STORED = "doc_id long, file int, place long, n_tokens int, ids array<int>"
 
@@ -62,9 +63,9 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids``; a filter on ``doc_id`` set on the result is pushed to the files."""
     stored = spark.read.schema(STORED).orc(path)
     totals = stored.groupBy("file").agg(F.max(F.col("place") + F.col("n_tokens")).alias("_total"))
-    # One row per file.
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("file", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
+    # One row per file; written down, its size is known and the ids are not moved for the join.
+    offsets = materialise(totals.select("file", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")), "file-offsets")
     joined = stored.join(offsets, "file")
     return joined.select("doc_id", (F.col("place") + F.col("_offset")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
