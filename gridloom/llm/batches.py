@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Text bytes handled at once; numpy needs some fifty times as much for a moment.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def byte_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

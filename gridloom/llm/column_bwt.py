@@ -30,7 +30,7 @@ CROWD = 1 << 14
 #: Window starts per finer cut; with one start each, texts of a cut are equal and need no ordering.
 FINER = (48, 6, 1)
 #: Bytes ordered together.
-LOT = 6 << 20
+LOT = 3 << 20
 
 ANCHORS = "doc_id long, tx long, s long, n long, o long, h long, k long"
 
@@ -68,7 +68,7 @@ def _runs(data: np.ndarray, bounds: np.ndarray, length: int):
 
 def _tiles(batches, length: int):
     """Slices with the offset of their first byte; a longer text is cut into tiles that overlap by a window."""
-    tile = 1 << 21
+    tile = 1 << 20
     for batch in text_slices(batches, "text"):
         data, bounds = byte_parts(batch.column("text"))
         if len(data) <= tile + length:

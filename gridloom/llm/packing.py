@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.batches import text_slices
-from gridloom.llm.tokens import encoder
+from gridloom.llm.tokens import REMEMBERED, encoder
 
 #: Tokens packed together; some thousand windows of 4096.
 LOT = 1 << 22
@@ -75,9 +75,9 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
     return places
 
 
-def _packed(vocabulary: str, end_id: int, window: int, lot: int):
+def _packed(vocabulary: str, end_id: int, window: int, lot: int, remember: int):
     def work(batches):
-        encode, end = encoder(vocabulary).encode, end_id.to_bytes(4, "little")
+        encode, end = encoder(vocabulary, remember).encode, end_id.to_bytes(4, "little")
         first_sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, int, bytes, int]] = []
         tokens = 0
@@ -113,13 +113,14 @@ def _packed(vocabulary: str, end_id: int, window: int, lot: int):
     return work
 
 
-def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = 4096, lot: int = LOT) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = 4096, lot: int = LOT, remember: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents with their place: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
     ``docs(doc_id, text)`` is encoded whole, ``end_id`` closes each document, so a NULL or empty text is one piece of one
     id; other columns are ignored, and repeated rows are packed as often as they come. ``ids`` holds little-endian
     unsigned 32-bit ids; ``start`` counts the document's ids before the piece, ``offset`` those of the sequence. Each
-    sequence has at most ``window`` ids; the caller pads. An empty table gives no pieces.
+    sequence has at most ``window`` ids; the caller pads. An empty table gives no pieces. ``remember`` bounds the words whose
+    ids a worker keeps; it changes speed and memory only.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_packed(vocabulary, end_id, window, lot), PIECES)
+    return narrow.mapInArrow(_packed(vocabulary, end_id, window, lot, remember), PIECES)

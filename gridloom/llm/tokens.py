@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 
-#: Cuts a worker remembers (some 200 bytes each); it starts anew beyond that.
+#: Cuts a worker remembers unless told otherwise (some 200 bytes each); it starts anew beyond that.
 REMEMBERED = 1_400_000
 
 #: White space for one engine only, and characters that join or vanish in normal forms across a cut.
@@ -43,6 +43,7 @@ class Encoder(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
+        self.room = REMEMBERED
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,7 +77,7 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        if len(self) > REMEMBERED:
+        if len(self) > self.room:
             self.clear()
         if _RARE.search(text) or "\0" in text:
             if _UNSAFE.search(text) or "\0" in text:
@@ -92,8 +93,9 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
+def encoder(path: str, remember: int = REMEMBERED) -> Encoder:
+    """The worker's encoder for a vocabulary file, remembering up to ``remember`` cuts from now on."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].room = remember
     return _encoders[path]
