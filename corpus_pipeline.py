@@ -10,6 +10,8 @@ from gridloom.llm import chosen_path, column_bwt, mixing, packing, rule_lists
 from gridloom.llm.queries import MIXTURE
 from gridloom.shared import fresh_path
 
+#: Words whose ids a worker keeps while packing; workers live on through the other stages, which need the memory.
+REMEMBERED = 250_000
 #: Rules are learned, so no SQL gives the rows of ``run``; the tests hold them against brute force.
 ORACLE_SQL = None
 
@@ -40,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens with their places in sequences of 4096."""
-    pieces = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    pieces = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, remember=REMEMBERED)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
