@@ -4,7 +4,8 @@ A random rotation is cut into ``blocks`` coordinate blocks, each with its own ra
 direction is one code word per block, so ``words ** blocks`` directions cost only ``blocks * words`` products. A vector
 is list-decoded to all directions whose inner product exceeds a threshold: code words of the blocks are combined best
 first, and a partial sum goes on only if the best words of the remaining blocks can still lift it over the threshold.
-Vectors that share a filter are compared exactly.
+Vectors that share a filter are compared on bytes, with the most that rounding can hide allowed for; what that connects
+is compared exactly, in double precision.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.batches import longs
+from gridloom.llm.batches import binary_column, longs
 from gridloom.llm.components import components
 from gridloom.llm.links import degrees, forests
+from gridloom.llm.words import mix
 from gridloom.shared import materialise
 
 #: Filters an average random vector passes. Near the threshold of 0.93 a pair shares about half of them.
-HITS = 64
+HITS = 40
 
 
 class ProductCode:
@@ -73,8 +75,8 @@ def _usable(column: str) -> F.Column:
     return x.isNotNull() & finite & F.exists(x, lambda v: v != 0)
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    column = table.column("vector").combine_chunks()
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit vectors in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = flat.reshape(len(column), -1)
     matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)
@@ -96,8 +98,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, hits: int = HIT
     classes = keyed.groupBy("_copy").agg(
         F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"), F.first("_label").alias("_label")
     )
-    classes = materialise(classes, "vectors").withColumn("_dim", F.size("vector"))
-    shapes = classes.groupBy("_dim", "_label").agg(F.count("*").alias("n"))
+    classes = materialise(classes, "vectors").withColumn("_dim", F.size("vector")).withColumn("_kind", F.xxhash64("_dim", "_label"))
+    shapes = classes.groupBy("_dim", "_kind").agg(F.count("*").alias("n"))
     # One row per vector length: how many of them the largest label holds.
     largest = {r["_dim"]: r["n"] for r in shapes.groupBy("_dim").agg(F.max("n").alias("n")).collect()}
 
@@ -110,43 +112,47 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, hits: int = HIT
                 code = codes.setdefault(int(dim), ProductCode(int(dim), largest[int(dim)], hits))
                 for first in range(0, part.num_rows, 256):
                     piece = part.slice(first, 256)
-                    row, found = code.decode(_matrix(pa.Table.from_batches([piece])))
-                    yield pa.RecordBatch.from_arrays(
-                        [piece.column("id").take(pa.array(row)), pa.array(found), piece.column("_dim").take(pa.array(row))],
-                        ["id", "filter", "_dim"],
-                    )
-
-    hit = classes.select("id", "vector", F.col("_dim").cast("long").alias("_dim")).mapInArrow(filters, "id long, filter long, _dim long")
-    placed = hit.join(classes.select("id", "_label"), "id").select("id", F.xxhash64("_dim", "_label", "filter").alias("bucket"))
-    crowded = placed.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    members = placed.join(crowded, "bucket").join(classes.select("id", "vector", "_label", "_dim"), "id")
-
-    def cosine(table: pa.Table):
-        # A bucket key is a hash: vectors of another label or length in it are told apart here.
-        dims, matrices = np.asarray(table.column("_dim")), {}
-        labels = np.unique(np.asarray(table.column("_text")), return_inverse=True)[1]
-        for dim in np.unique(dims):
-            at = np.flatnonzero(dims == dim)
-            matrices[int(dim)] = (at, _matrix(table.take(pa.array(at))))
+                    matrix = _matrix(piece.column("vector"))
+                    row, found = code.decode(matrix)
+                    kind = longs(piece, "_kind").view(np.uint64)
+                    bucket = mix(kind[row] ^ mix(found.astype(np.uint64))).view(np.int64)
+                    step = np.abs(matrix).max(axis=1) / 127
+                    small = binary_column([v.tobytes() for v in np.rint(matrix / step[:, None]).astype(np.int8)])
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), piece.column("id").take(at), small.take(at), pa.array(step[row])], ["bucket", "id", "small", "step"])
+
+    placed = classes.select("id", "vector", "_kind", F.col("_dim").cast("long").alias("_dim")).mapInArrow(filters, "bucket long, id long, small binary, step double")
+
+    def rounded(table: pa.Table):
+        parts = table.column("small").to_pylist()
+        wide = max(map(len, parts))
+        # Bucket keys are hashes: should vectors of other lengths meet, they are padded; the exact check parts them.
+        matrix = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in parts), np.int8).reshape(len(parts), -1).astype(np.float32)
+        step = np.asarray(table.column("step"))
+        matrix *= step.astype(np.float32)[:, None]
+        # Most that rounding can have moved a vector.
+        off = step * (0.5 * math.sqrt(wide)) + 1e-6
 
         def similar(i: int, others: np.ndarray) -> np.ndarray:
-            at, matrix = matrices[int(dims[i])]
-            cosines = np.full(len(dims), -2.0)
-            cosines[at] = matrix @ matrix[np.searchsorted(at, i)]
-            return (cosines[others] >= threshold) & (labels[others] == labels[i])
+            return matrix[others] @ matrix[i] >= threshold - off[i] - off[others] - off[i] * off[others]
 
         return similar
 
-    text = members.withColumn("_text", F.to_json(F.struct("_label"))).drop("_label")
-    edges = materialise(forests(text, "bucket", "id", cosine), "caps")
-    found = materialise(components(edges), "cap-components")
+    near = materialise(components(forests(placed, "bucket", "id", rounded)), "cap-candidates")
 
     def linked(table: pa.Table) -> np.ndarray:
-        matrix = _matrix(table)
-        return matrix @ matrix.T >= threshold
-
-    inside = found.join(classes.select("id", "weight", "vector"), "id")
-    counted = degrees(inside, "component", "id", "weight", linked).where("id is not null")
+        kinds = longs(table, "_kind")
+        matrix = np.zeros((len(kinds), len(kinds)), bool)
+        for kind in np.unique(kinds):
+            at = np.flatnonzero(kinds == kind)
+            unit = _matrix(table.column("vector").combine_chunks().take(pa.array(at)))
+            matrix[np.ix_(at, at)] = unit @ unit.T >= threshold
+        return matrix
+
+    inside = near.join(classes.select("id", "weight", "vector", "_kind"), "id")
+    links = materialise(degrees(inside, "component", "id", "weight", linked), "cap-links")
+    found = components(links.where("u is not null").select("u", "v"))
+    counted = links.where("id is not null")
     counts = counted.groupBy("id").agg(F.sum("n").alias("n"))
     per_class = (
         classes.select("_copy", "id", "weight").join(counts, "id", "left").join(found, "id", "left")
