@@ -14,7 +14,7 @@ GLOBAL_DEFAULTS = {
     "source": "unspecified",
     "gee_asset_id": "",
     "references": "unspecified",
-    "comment": "Master grid: EPSG:5070; native bands and QA bands preserved.",
+    "comment": "Values on the common Albers grid; every source band is kept.",
     "featureType": "grid",
 }
 VARIABLE_DEFAULTS = {"units": "1", "_FillValue": "-9999.0", "grid_mapping": "crs", "coordinates": "lat lon"}
@@ -54,7 +54,7 @@ def global_attrs(given: Column, written_at: Column, defaults: dict[str, str] | N
     settable = {**GLOBAL_DEFAULTS, **(defaults or {})}
     kept = F.map_filter(given, lambda key, _: key.isin(*settable))
     notebook = F.coalesce(F.try_element_at(given, F.lit("notebook_id")), F.lit("unknown"))
-    history = F.concat(written_at, F.lit(" notebook="), notebook, F.lit(" git_commit=placeholder"))
+    history = F.concat(written_at, F.lit(" notebook="), notebook, F.lit(" revision=unknown"))
     fixed = F.create_map(F.lit("Conventions"), F.lit(CONVENTIONS), F.lit("history"), history)
     return F.map_concat(override(literal_map(settable), kept), fixed)
 

@@ -30,11 +30,12 @@ def normalise_axes(grid: DataFrame) -> DataFrame:
 def index_axis(grid: DataFrame, axis: str, out: str) -> DataFrame:
     """Grid with a 0-based index of the distinct values of an axis without coordinates.
 
-    Only the distinct values are numbered; the numbers are joined back from a small table.
+    Only the distinct values are numbered; the numbers are joined back from a small table. A NULL is a value of its own,
+    the first one.
     """
     numbered = row_number_by(grid.select(axis).distinct(), [], [axis], "_nth")
     lookup = materialise(numbered.select(axis, (F.col("_nth") - 1).alias(out)), "axis-index")
-    return grid.join(lookup, axis)
+    return grid.join(lookup, grid[axis].eqNullSafe(lookup[axis])).drop(lookup[axis])
 
 
 def chunk_shape(grid: DataFrame, axes: tuple[str, ...] = ("time", "y", "x"), side: int = CHUNK_SIDE) -> DataFrame:

@@ -42,10 +42,10 @@ def catalog_checks(catalog: DataFrame) -> DataFrame:
 
 
 def token_rules(documents: DataFrame, rules: list[TokenRule], text: str = "text") -> DataFrame:
-    """One row per document and violated rule, from a single pass over each whole text."""
+    """One row per document and violated rule, from a single pass over each whole text; a NULL text holds no token."""
     checks = []
     for rule in rules:
-        held = F.col(text).contains(rule.token)
+        held = F.coalesce(F.col(text).contains(rule.token), F.lit(False))
         checks.append((~held if rule.required else held, F.lit(rule.name)))
     return documents.select("doc_id", F.explode(_violations(checks)).alias("rule"))
 

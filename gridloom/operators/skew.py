@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,8 +101,10 @@ def _median_of_hot(df: DataFrame, groups: DataFrame, keys: list[str], bands: lis
     pairs = [F.struct(F.lit(b).alias("_band"), F.col(b).cast("double").alias("_value")) for b in bands]
     values = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("_value").isNotNull())
     counted = materialise(values.groupBy(*group, "_value").agg(F.count("*").alias("_n")), "value-counts")
-    pieces = min(1024, max(64, counted.count() // 1_000_000))
-    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    # As many ranges as each then holds values: both grow with the root of the distinct values.
+    pieces = max(64, math.isqrt(counted.count()))
+    # One literal, whatever the number of shares.
+    shares = F.split(F.lit(" ".join(str(i / pieces) for i in range(1, pieces))), " ").cast("array<double>")
     sketch = F.percentile_approx("_value", shares, 10 * pieces).alias("_cuts")
     cuts = materialise(counted.groupBy(*group).agg(sketch), "value-cuts")
     piece = F.size(F.filter("_cuts", lambda cut: cut < F.col("_value"))).alias("_piece")
@@ -118,7 +122,10 @@ def _median_of_hot(df: DataFrame, groups: DataFrame, keys: list[str], bands: lis
         hit = (F.col("_first") < F.col(rank)) & (F.col("_last") >= F.col(rank))
         return F.max(F.when(hit, F.col("_value")))
 
-    medians = placed.groupBy(*group).agg(((at("_low") + at("_high")) / 2).alias("_median"))
+    # The same form as the built-in median: equal ends as they are, else half of each.
+    middle_values = placed.groupBy(*group).agg(at("_low").alias("_a"), at("_high").alias("_b"))
+    mean = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") * 0.5 + F.col("_b") * 0.5)
+    medians = middle_values.select(*group, mean.alias("_median"))
     return _bands_wide(medians, groups, keys, bands)
 
 

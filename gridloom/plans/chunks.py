@@ -64,10 +64,15 @@ def join_plan(px: DataFrame, plan: DataFrame) -> DataFrame:
     """Observations with the chunk of their dataset, part and year.
 
     A chunk is a calendar year, so the period test becomes an equality the join can place rows by. The plan is
-    written first: its size is then known, and while small it is broadcast and no observation moves.
+    written first: its size is then known, and while small it is broadcast and no observation moves. The datasets and
+    years it spans are filters of the scan, so a table stored by them reads those folders only.
     """
     dated = px if "year" in px.columns else px.withColumn("year", F.year("ts"))
-    return dated.join(materialise(plan, "plan"), list(CHUNK))
+    written = materialise(plan, "plan")
+    # As many ids as the catalog has datasets, which the plan was made from.
+    span = written.agg(F.collect_set("dataset_id").alias("ids"), F.min("year").alias("low"), F.max("year").alias("high")).first()
+    needed = dated.where(F.col("dataset_id").isin(span["ids"]) & F.col("year").between(F.lit(span["low"]), F.lit(span["high"])))
+    return needed.join(written, list(CHUNK))
 
 
 def chunk_sizes(px: DataFrame, plan: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ CATALOG_DOCUMENT = T.StructType(
 
 FEATURE = T.StructType(
     [
-        T.StructField("id", T.LongType()),
+        T.StructField("id", T.StringType()),
         T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
         T.StructField(
             "geometry",

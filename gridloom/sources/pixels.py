@@ -31,11 +31,13 @@ def px_obs(spark: SparkSession, path: str, dataset_id: str | None = None, schema
 def write_px_obs(px: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Store observations partitioned by dataset and year, rows of a cell close together.
 
-    The rebalance hint splits an oversized dataset-year among tasks and merges small ones.
+    Static images have neither ``ts`` nor ``year`` and are partitioned by dataset alone. The rebalance hint splits an
+    oversized folder among tasks and merges small ones.
     """
-    dated = px if "year" in px.columns else px.withColumn("year", F.year("ts"))
-    laid_out = dated.hint("rebalance", "dataset_id", "year").sortWithinPartitions("dataset_id", "year", "row", "col")
-    laid_out.write.mode(mode).partitionBy("dataset_id", "year").parquet(path)
+    dated = px.withColumn("year", F.year("ts")) if "ts" in px.columns and "year" not in px.columns else px
+    folders = ["dataset_id", "year"] if "year" in dated.columns else ["dataset_id"]
+    laid_out = dated.hint("rebalance", *folders).sortWithinPartitions(*folders, "row", "col")
+    laid_out.write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def static_image(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:

@@ -21,19 +21,39 @@ def _typed_column(name: str) -> Column:
     if name in REGISTRY_TIMES:
         return parse_iso(F.col(name)).alias(name)
     if name in _COUNTS:
-        # Numbers may carry a decimal point, as in a column that once held blanks.
-        return blank_free.cast("double").cast(_COUNTS[name]).alias(name)
+        # Numbers may carry a decimal point, as in a column that once held blanks; what is no number is NULL.
+        whole = F.coalesce(blank_free.try_cast("bigint"), blank_free.try_cast("decimal(38,6)").try_cast("bigint"))
+        return whole.try_cast(_COUNTS[name]).alias(name)
     return blank_free.alias(name)
 
 
-def registry(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+# What appended files hold in place of a backslash and of line breaks, so that every line is one event.
+_BREAKS = {"\\": "\\\\", "\n": "\\n", "\r": "\\r"}
+
+
+def _one_line(value: Column) -> Column:
+    for plain, written in _BREAKS.items():
+        value = F.replace(value, F.lit(plain), F.lit(written))
+    return value
+
+
+def _with_breaks(value: Column) -> Column:
+    """Undo ``_one_line``: a doubled backslash is set aside while the breaks are put back."""
+    aside = F.replace(value, F.lit("\\\\"), F.lit("\0"))
+    for plain in ("\n", "\r"):
+        aside = F.replace(aside, F.lit(_BREAKS[plain]), F.lit(plain))
+    return F.replace(aside, F.lit("\0"), F.lit("\\"))
+
+
+def registry(spark: SparkSession, path: str, foreign: bool = False) -> DataFrame:
     """All events below ``path``, one or many CSV files with the fixed header.
 
-    Error messages may hold line breaks, so each file is read by one task. Appended events come in many files;
-    for one large file without line breaks in its values, ``multi_line=False`` splits it.
+    Files that ``append_event`` wrote hold one event a line and are split among tasks. ``foreign`` files may hold line
+    breaks inside values, so each of them is read by one task.
     """
-    options = {"header": True, "nullValue": "", "escape": '"', "multiLine": multi_line}
-    return typed(spark.read.schema(REGISTRY_TEXT).options(**options).csv(path))
+    options = {"header": True, "nullValue": "", "escape": '"', "multiLine": foreign}
+    text = spark.read.schema(REGISTRY_TEXT).options(**options).csv(path)
+    return typed(text if foreign else text.select(*[_with_breaks(F.col(c)).alias(c) for c in text.columns]))
 
 
 def event_columns(events: DataFrame) -> DataFrame:
@@ -46,7 +66,7 @@ def event_columns(events: DataFrame) -> DataFrame:
             value = F.coalesce(value.cast("timestamp"), F.current_timestamp())
         if name in REGISTRY_TIMES:
             value = format_iso(value.cast("timestamp"))
-        return value.cast("string").alias(name)
+        return _one_line(value.cast("string")).alias(name)
 
     return events.select(*[column(name) for name in REGISTRY_COLUMNS])
 

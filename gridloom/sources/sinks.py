@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.attrs import CONVENTIONS
-from gridloom.shared import materialise
 
 
 def write_grid(grid: DataFrame, attrs: DataFrame, var_attrs: DataFrame, path: str) -> None:
@@ -19,31 +18,18 @@ def read_grid(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("grid", "attrs", "var_attrs")}
 
 
-def shard_of(text: Column, shards: Column) -> Column:
-    """0-based shard of a string, evenly spread and stable between runs and engines."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % shards
+def manifest(files: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Manifest lines ``(notebook_id, status, file, size_bytes, cf_version, dataset)`` of the files that exist.
 
-
-def manifest(files: DataFrame, inventory: DataFrame, per_document: int = 1000) -> DataFrame:
-    """Manifest documents ``(notebook_id, status, part, files)`` over the files that exist.
-
-    A notebook with many files gets several documents of about ``per_document`` entries, so no single row
-    holds them all.
+    One line per file, whatever their number: a notebook's manifest is the lines of its folder.
     """
     existing = files.join(inventory.select("file", "size_bytes"), "file")
-    sizes = existing.groupBy("notebook_id").agg(F.ceil(F.count("*") / per_document).alias("n_parts"))
-    shards = materialise(sizes, "manifest-parts")
-    entry = F.struct("file", "size_bytes", F.lit(CONVENTIONS).alias("cf_version"), "dataset")
-    return (
-        existing.join(shards, "notebook_id")
-        .withColumn("part", shard_of(F.col("file"), F.col("n_parts")))
-        .groupBy("notebook_id", "status", "part")
-        .agg(F.sort_array(F.collect_list(entry)).alias("files"))
-    )
-
-
-def write_manifest(documents: DataFrame, path: str) -> None:
-    documents.write.json(path)
+    return existing.select("notebook_id", "status", "file", "size_bytes", F.lit(CONVENTIONS).alias("cf_version"), "dataset")
+
+
+def write_manifest(lines: DataFrame, path: str) -> None:
+    """One folder of JSON lines per notebook; a large one is split among tasks."""
+    lines.hint("rebalance", "notebook_id").sortWithinPartitions("notebook_id", "file").write.partitionBy("notebook_id").json(path)
 
 
 def write_qc(stats: DataFrame, path: str) -> None:

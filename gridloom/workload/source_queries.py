@@ -83,13 +83,15 @@ INSIDE_AOI = """
 
 
 @query("static_image", f"""WITH {INSIDE_AOI}
-    SELECT dataset_id, part, scene_id, p.row, p.col, band_a, band_b, qa
-    FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col WHERE dataset_id = '01a'""")
+    SELECT dataset_id, p.row, p.col, max(band_b) AS band_b
+    FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col WHERE dataset_id = '01a' GROUP BY ALL""")
 def static_image(inputs: Inputs) -> DataFrame:
     path = fresh_path(inputs.spark, "images")
-    pixels.write_px_obs(inputs.px_obs, path)
+    # One image per dataset: a row per pixel, no time.
+    images = inputs.px_obs.groupBy("dataset_id", "row", "col", "lon", "lat").agg(F.max("band_b").alias("band_b"))
+    pixels.write_px_obs(images, path)
     image = pixels.static_image(inputs.spark, path, "01a")
-    return clip(image, inputs.aoi).select("dataset_id", "part", "scene_id", "row", "col", "band_a", "band_b", "qa")
+    return clip(image, inputs.aoi).select("dataset_id", "row", "col", "band_b")
 
 
 @query("collection_group", """
@@ -189,14 +191,15 @@ def iso_timestamps(inputs: Inputs) -> DataFrame:
     composite AS (SELECT dataset_id, part, CAST(year(ts) AS INT) AS year, p.row, p.col, median(band_b) AS band_b
         FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col GROUP BY ALL)
     SELECT dataset_id, part, year, count(*) AS n_px, sum(band_b) AS total,
-           'OG_' || dataset_id || '_MULTI_part' || CAST(part + 1 AS VARCHAR) || '_' || CAST(year AS VARCHAR) || '-01-01_'
+           'OG_' || dataset_id || '_MULTI' || CASE WHEN dataset_id = '01b' THEN '_part' || CAST(part + 1 AS VARCHAR) ELSE '' END
+           || '_' || CAST(year AS VARCHAR) || '-01-01_'
            || CAST(year AS VARCHAR) || '-12-31_1000m' AS out_name
     FROM composite GROUP BY dataset_id, part, year""")
 def export_listing(inputs: Inputs) -> DataFrame:
     composite = yearly_median(clip(inputs.px_obs, inputs.aoi), ["band_b"])
     year = F.col("year").cast("string")
     name = output_name(
-        F.col("dataset_id"), F.lit("MULTI"), F.col("part"), F.lit(2),
+        F.col("dataset_id"), F.lit("MULTI"), F.col("part"), F.when(F.col("dataset_id") == "01b", 2).otherwise(1),
         F.concat(year, F.lit("-01-01")), F.concat(year, F.lit("-12-31")), F.lit(1000),
     )
     path = fresh_path(inputs.spark, "composite")
@@ -266,20 +269,13 @@ def file_inventory(inputs: Inputs) -> DataFrame:
 
 
 @query("manifest_rollup", """
-    WITH existing AS (SELECT f.*, s.size_bytes FROM {notebook_files} f JOIN {stored_files} s ON f.file = s.file),
-        sized AS (SELECT notebook_id, CAST(ceil(count(*) / 50.0) AS BIGINT) AS n FROM existing GROUP BY notebook_id),
-        placed AS (SELECT e.*, CAST(('0x' || substr(md5(file), 1, 8)) AS BIGINT) % n AS part
-                   FROM existing e JOIN sized z ON e.notebook_id = z.notebook_id)
-    SELECT notebook_id, status, part, CAST(row_number() OVER (PARTITION BY notebook_id, part ORDER BY file) - 1 AS INT) AS pos,
-           file, size_bytes, 'CF-1.8' AS cf_version, dataset FROM placed""")
+    SELECT f.notebook_id, f.status, f.file, s.size_bytes, 'CF-1.8' AS cf_version, f.dataset
+    FROM {notebook_files} f JOIN {stored_files} s ON f.file = s.file""")
 def manifest_rollup(inputs: Inputs) -> DataFrame:
-    documents = sinks.manifest(inputs.notebook_files, inputs.stored_files, per_document=50)
+    lines = sinks.manifest(inputs.notebook_files, inputs.stored_files)
     path = fresh_path(inputs.spark, "manifest")
-    sinks.write_manifest(documents, path)
-    stored = inputs.spark.read.schema(documents.schema).json(path)
-    return stored.select("notebook_id", "status", "part", F.posexplode("files").alias("pos", "entry")).select(
-        "notebook_id", "status", "part", "pos", "entry.*"
-    )
+    sinks.write_manifest(lines, path)
+    return inputs.spark.read.schema(lines.schema).json(path).select(*lines.columns)
 
 
 def rounded(stats: DataFrame) -> DataFrame:

@@ -415,9 +415,9 @@ def _default_rows(kept: dict[str, str]) -> str:
     "source": "coalesce(source, 'unspecified')",
     "gee_asset_id": "''",
     "references": "coalesce(references_, 'unspecified')",
-    "comment": "coalesce(comment_, 'Master grid: EPSG:5070; native bands and QA bands preserved.')",
+    "comment": "coalesce(comment_, 'Values on the common Albers grid; every source band is kept.')",
     "featureType": "'grid'",
-    "history": "'2024-01-01T00:00:00+00:00 notebook=unknown git_commit=placeholder'",
+    "history": "'2024-01-01T00:00:00+00:00 notebook=unknown revision=unknown'",
 }) + " UNION ALL " + _default_rows({
     "v.long_name": "coalesce(title, 'value')",
     "v.units": "coalesce(source, '1')",

@@ -49,7 +49,7 @@ def test_attribute_defaults(spark):
     given = F.create_map(F.lit("title"), F.lit("T"), F.lit("notebook_id"), F.lit("01a"), F.lit("Conventions"), F.lit("mine"))
     merged = spark.range(1).select(global_attrs(given, F.lit("now")).alias("a")).first().a
     assert merged["title"] == "T" and merged["Conventions"] == "CF-1.8" and merged["featureType"] == "grid"
-    assert merged["history"] == "now notebook=01a git_commit=placeholder"
+    assert merged["history"] == "now notebook=01a revision=unknown"
     assert len(merged) == 9
     own = F.create_map(F.lit("units"), F.lit("mm"), F.lit("extra"), F.lit("e"))
     variable = spark.range(1).select(variable_attrs(F.lit("rain"), own).alias("a")).first().a

@@ -72,7 +72,7 @@ def test_registry_reads_blanks_decimals_and_quotes(spark, tmp_path):
         "not a time,01c,C,,batch,STARTED,,,,,0",
     ]
     (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
-    events = registry.registry(spark, str(tmp_path / "r.csv")).withColumn("ts", F.unix_micros("timestamp"))
+    events = registry.registry(spark, str(tmp_path / "r.csv"), foreign=True).withColumn("ts", F.unix_micros("timestamp"))
     rows = {r.notebook_id: r for r in events.collect()}
     assert rows["01a"].ts == 1767262124749321
     assert rows["01b"].ts == 1767261600000000
@@ -178,18 +178,41 @@ def test_collection_group_tags(spark):
     assert pixels.collection_group([one]).first().part_tag == ""
 
 
-def test_manifest_lists_existing_files_in_bounded_documents(spark):
+def test_manifest_lists_existing_files_once(spark, tmp_path):
     files = spark.range(1000).select(
         F.when(F.col("id") < 900, "big").otherwise("small").alias("notebook_id"), F.lit("COMPLETED").alias("status"),
         F.concat(F.lit("f"), F.col("id")).alias("file"), F.lit("d").alias("dataset"),
     )
     inventory = files.where("file <> 'f7'").select("file", F.lit(5).cast("bigint").alias("size_bytes"))
-    documents = sinks.manifest(files, inventory, per_document=100).collect()
-    listed = [entry.file for d in documents for entry in d.files]
-    assert len(listed) == len(set(listed)) == 999 and "f7" not in listed
-    assert max(len(d.files) for d in documents) < 150
-    assert sum(d.notebook_id == "big" for d in documents) == 9
-    assert all([e.file for e in d.files] == sorted(e.file for e in d.files) for d in documents)
+    sinks.write_manifest(sinks.manifest(files, inventory), str(tmp_path / "manifest"))
+    listed = spark.read.json(str(tmp_path / "manifest" / "notebook_id=big")).collect()
+    assert len(listed) == len({line.file for line in listed}) == 899 and "f7" not in {line.file for line in listed}
+    assert {line.size_bytes for line in listed} == {5}
+    assert spark.read.json(str(tmp_path / "manifest")).count() == 999
+
+
+def test_features_without_numbers_stay_apart(spark, tmp_path):
+    square = '{"type": "Feature", %s"properties": {"n": "%s"}, "geometry": {"type": "Polygon", "coordinates": [[[%d,0],[9,0],[9,9],[%d,0]]]}}'
+    lines = [square % ("", "a", 0, 0), square % ("", "b", 1, 1), square % ('"id": "x", ', "c", 2, 2), square % ('"id": 7, ', "d", 3, 3)]
+    path = tmp_path / "layer.json"
+    path.write_text("\n".join(lines))
+    fids = [r.fid for r in boundary.boundary(spark, str(path), layout="lines").collect()]
+    assert len(set(fids)) == 4 and 7 in fids
+
+
+def test_registry_numbers_and_breaks(spark, tmp_path):
+    path = str(tmp_path / "events")
+    message = "a\\nb\nc\r\\"
+    events = spark.createDataFrame([("t", message, "9007199254740993"), ("u", None, "unknown"), ("v", "", "12.0")], "task_id_or_file string, error_message string, n_bytes string")
+    registry.append_event(events, path)
+    got = {r.task_id_or_file: (r.error_message, r.n_bytes) for r in registry.registry(spark, path).collect()}
+    assert got == {"t": (message, 9007199254740993), "u": (None, None), "v": (None, 12)}
+
+
+def test_static_images_have_no_time(spark, tmp_path):
+    image = spark.createDataFrame([("01c", 1, 2, 3.0)], "dataset_id string, row long, col long, band double")
+    pixels.write_px_obs(image, str(tmp_path / "images"))
+    assert pixels.static_image(spark, str(tmp_path / "images"), "01c").select("row", "col", "band").collect() == [(1, 2, 3.0)]
 
 
 def test_index_text_is_in_order(spark, tmp_path):
