@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.composites import grid_keys
 from gridloom.operators.skew import row_number_by
 from gridloom.shared import materialise
 
@@ -39,14 +40,12 @@ def index_axis(grid: DataFrame, axis: str, out: str) -> DataFrame:
 
 
 def chunk_shape(grid: DataFrame, axes: tuple[str, ...] = ("time", "y", "x"), side: int = CHUNK_SIDE) -> DataFrame:
-    """Storage chunk length per axis: its number of distinct values, at most ``side``.
+    """Storage chunk length per dataset and axis: its number of distinct values, at most ``side``.
 
-    Each axis is reduced to its distinct values by itself, which sends few rows between tasks.
+    All axes come from one pass; a row is reduced to its distinct axis values before anything is sent.
     """
-    sizes = [
-        grid.select(axis).distinct().agg(F.lit(axis).alias("axis"), F.count(axis).alias("dim")) for axis in axes
-    ]
-    together = sizes[0]
-    for size in sizes[1:]:
-        together = together.unionByName(size)
+    keys = grid_keys(grid)
+    pairs = [F.struct(F.lit(axis).alias("axis"), F.col(axis).cast("string").alias("_value")) for axis in axes]
+    values = grid.select(*keys, F.inline(F.array(*pairs))).distinct()
+    together = values.groupBy(*keys, "axis").agg(F.count("_value").alias("dim"))
     return together.withColumn("chunk", F.least(F.col("dim"), F.lit(side).cast("bigint")))

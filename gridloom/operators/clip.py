@@ -139,25 +139,17 @@ def near_cells(cells: DataFrame, sides: DataFrame, distance: float, crs: Albers
     return placed.join(tiled, close, "left_semi").drop("_x", "_y", "tx", "ty")
 
 
-def runs(cells: DataFrame) -> DataFrame:
-    """Distinct cells as runs ``(row, col_from, col_to)`` of neighbouring columns."""
-    across = Window.partitionBy("row").orderBy("col")
-    numbered = cells.withColumn("run", F.col("col") - F.row_number().over(across))
-    return numbered.groupBy("row", "run").agg(F.min("col").alias("col_from"), F.max("col").alias("col_to")).drop("run")
-
-
 def clip_buffer(px: DataFrame, sides: DataFrame, distance: float, crs: Albers = EPSG_5070) -> DataFrame:
     """Pixels inside the polygon or within ``distance`` metres of it.
 
-    The test runs once per distinct cell; the cells found become runs per grid row, which the observations are
-    matched with.
+    The test runs once per distinct place. Observations are matched by place and not by row and column, which datasets on
+    other grids use for other places.
     """
-    cells = materialise(px.select("row", "col", "lon", "lat").distinct(), "cells")
+    cells = materialise(px.select("lon", "lat").distinct(), "cells")
     inside = clip(cells, sides)
-    wanted = inside.unionByName(near_cells(cells, sides, distance, crs)).select("row", "col").distinct()
-    mask = materialise(runs(wanted), "buffer-mask")
-    held = (px["row"] == mask["row"]) & px["col"].between(mask["col_from"], mask["col_to"])
-    return px.join(mask, held, "left_semi")
+    wanted = inside.unionByName(near_cells(cells, sides, distance, crs)).select("lon", "lat").distinct()
+    mask = materialise(wanted, "buffer-mask")
+    return px.join(mask, (px["lon"] == mask["lon"]) & (px["lat"] == mask["lat"]), "left_semi")
 
 
 def _overlapping(scenes: DataFrame, box: Row) -> DataFrame:

@@ -27,20 +27,26 @@ def period_mean(px: DataFrame, start: str, end: str, bands: list[str], keys: tup
     return filter_date(px, start, end).groupBy(*keys).agg(*[F.avg(band).alias(band) for band in bands])
 
 
+def grid_keys(grid: DataFrame) -> list[str]:
+    """Columns that tell the datasets of a grid apart, as far as it has them."""
+    return [name for name in ("dataset_id", "part") if name in grid.columns]
+
+
 def time_mean(grid: DataFrame) -> DataFrame:
-    """Mean over time per variable and grid point, NaN ignored; an untimed grid is returned as it is."""
+    """Mean over time per dataset, variable and grid point, NaN ignored; an untimed grid is returned as it is."""
     if "time" not in grid.columns:
         return grid
     number = F.nanvl("value", F.lit(None).cast("double"))
-    return grid.groupBy("var", "y", "x").agg(F.avg(number).alias("value"))
+    return grid.groupBy(*grid_keys(grid), "var", "y", "x").agg(F.avg(number).alias("value"))
 
 
 def to_grid(px: DataFrame, bands: list[str], y: str = "lat", x: str = "lon") -> DataFrame:
-    """Observations as long grid rows ``(var, time, y, x, value)``."""
+    """Observations as long grid rows ``(dataset_id, part, var, time, y, x, value)``, of the first two what there is."""
     pairs = [F.struct(F.lit(b).alias("var"), F.col(b).cast("double").alias("value")) for b in bands]
+    keys = grid_keys(px)
     return px.select(
-        F.col("ts").cast("date").alias("time"), F.col(y).alias("y"), F.col(x).alias("x"), F.inline(F.array(*pairs))
-    ).select("var", "time", "y", "x", "value")
+        *keys, F.col("ts").cast("date").alias("time"), F.col(y).alias("y"), F.col(x).alias("x"), F.inline(F.array(*pairs))
+    ).select(*keys, "var", "time", "y", "x", "value")
 
 
 def map_scenes(px: DataFrame, function, *args) -> DataFrame:

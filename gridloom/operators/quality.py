@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.values import is_finite, quicklook_byte
-from gridloom.operators.composites import time_mean
+from gridloom.operators.composites import grid_keys, time_mean
 from gridloom.shared import materialise
 
 STATISTICS = ("min", "max", "mean", "std", "n_valid")
@@ -24,12 +24,12 @@ def _statistics(value: Column) -> dict[str, Column]:
 
 
 def qc_stats(grid: DataFrame) -> DataFrame:
-    """Per variable of a long grid: min, max, mean, population std, count; NULLs where nothing is valid."""
-    return grid.groupBy("var").agg(*[column.alias(name) for name, column in _statistics(F.col("value")).items()])
+    """Per dataset and variable of a long grid: min, max, mean, population std, count; NULLs where nothing is valid."""
+    return grid.groupBy(*grid_keys(grid), "var").agg(*[column.alias(name) for name, column in _statistics(F.col("value")).items()])
 
 
 def qc_stats_wide(px: DataFrame, bands: list[str]) -> DataFrame:
-    """The same statistics for bands held as columns: one pass, one row, then one row per band."""
+    """The same statistics for bands held as columns: one pass, one row per dataset, then one per band."""
     columns = [
         column.alias(f"{band}_{name}") for band in bands for name, column in _statistics(F.col(band)).items()
     ]
@@ -37,15 +37,18 @@ def qc_stats_wide(px: DataFrame, bands: list[str]) -> DataFrame:
         F.struct(F.lit(band).alias("var"), *[F.col(f"{band}_{name}").alias(name) for name in STATISTICS])
         for band in bands
     ]
-    return px.agg(*columns).select(F.inline(F.array(*rows)))
+    keys = grid_keys(px)
+    return px.groupBy(*keys).agg(*columns).select(*keys, F.inline(F.array(*rows)))
 
 
 def quicklook(grid: DataFrame) -> DataFrame:
-    """Grey values of the time-mean image of each variable, scaled between its minimum and maximum.
+    """Grey values of the time-mean image of each dataset's variables, scaled between its minimum and maximum.
 
-    The extremes are one row per variable, read from a table and so broadcast: images are not placed by variable.
+    The image is written once, for its extremes and for the scaling. The extremes are one row per variable, read from a
+    table and so broadcast: images are not placed by variable.
     """
-    image = time_mean(grid).select("var", "y", "x", "value")
-    extremes = materialise(image.groupBy("var").agg(F.min("value").alias("low"), F.max("value").alias("high")), "extremes")
+    keys = [*grid_keys(grid), "var"]
+    image = materialise(time_mean(grid).select(*keys, "y", "x", "value"), "image")
+    extremes = materialise(image.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high")), "extremes")
     grey = quicklook_byte(F.col("value"), F.col("low"), F.col("high"))
-    return image.join(extremes, "var").select("var", "y", "x", grey.alias("grey"))
+    return image.join(extremes, keys).select(*keys, "y", "x", grey.alias("grey"))

@@ -225,17 +225,17 @@ def period_mean(inputs: Inputs) -> DataFrame:
     return composites.period_mean(inputs.px_obs, START, END, ["band_a", "band_b"])
 
 
-@query("time_mean_grid", f"WITH {GRID_SQL} SELECT var, y, x, avg(value) AS value FROM grid GROUP BY var, y, x")
+@query("time_mean_grid", f"WITH {GRID_SQL} SELECT dataset_id, part, var, y, x, avg(value) AS value FROM grid GROUP BY ALL")
 def time_mean_grid(inputs: Inputs) -> DataFrame:
     return composites.time_mean(composites.to_grid(inputs.px_obs, BANDS))
 
 
 @query("quicklook", f"""WITH {GRID_SQL},
-    image AS (SELECT var, y, x, avg(value) AS value FROM grid GROUP BY var, y, x),
-    extremes AS (SELECT var, min(value) AS low, max(value) AS high FROM image GROUP BY var)
-    SELECT i.var, y, x, CAST(CASE WHEN value IS NOT NULL
+    image AS (SELECT dataset_id, part, var, y, x, avg(value) AS value FROM grid GROUP BY ALL),
+    extremes AS (SELECT dataset_id, part, var, min(value) AS low, max(value) AS high FROM image GROUP BY ALL)
+    SELECT dataset_id, part, var, y, x, CAST(CASE WHEN value IS NOT NULL
         THEN floor(greatest(0, least(1, (value - low) / (high - low))) * 255) END AS INT) AS grey
-    FROM image i JOIN extremes e ON i.var = e.var""")
+    FROM image JOIN extremes USING (dataset_id, part, var)""")
 def quicklook(inputs: Inputs) -> DataFrame:
     return quality.quicklook(composites.to_grid(inputs.px_obs, BANDS))
 
@@ -308,9 +308,10 @@ def index_axis(inputs: Inputs) -> DataFrame:
 
 
 @query("chunk_shape", f"""WITH {GRID_SQL},
-    sizes AS (SELECT 'time' AS axis, count(DISTINCT time) AS dim FROM grid
-        UNION ALL SELECT 'y', count(DISTINCT y) FROM grid UNION ALL SELECT 'x', count(DISTINCT x) FROM grid)
-    SELECT axis, dim, CAST(least(24, dim) AS BIGINT) AS chunk FROM sizes""")
+    sizes AS (SELECT dataset_id, part, 'time' AS axis, count(DISTINCT time) AS dim FROM grid GROUP BY ALL
+        UNION ALL SELECT dataset_id, part, 'y', count(DISTINCT y) FROM grid GROUP BY ALL
+        UNION ALL SELECT dataset_id, part, 'x', count(DISTINCT x) FROM grid GROUP BY ALL)
+    SELECT dataset_id, part, axis, dim, CAST(least(24, dim) AS BIGINT) AS chunk FROM sizes""")
 def chunk_shape(inputs: Inputs) -> DataFrame:
     return axes.chunk_shape(composites.to_grid(inputs.px_obs, BANDS))
 

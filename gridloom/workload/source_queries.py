@@ -231,14 +231,14 @@ def payload_grid(inputs: Inputs) -> DataFrame:
 
 
 GRID_SQL = """
-    grid AS (SELECT 'band_a' AS var, CAST(ts AS DATE) AS time, lat AS y, lon AS x, band_a AS value FROM {px_obs}
-        UNION ALL SELECT 'band_b', CAST(ts AS DATE), lat, lon, band_b FROM {px_obs}
-        UNION ALL SELECT 'qa', CAST(ts AS DATE), lat, lon, CAST(qa AS DOUBLE) FROM {px_obs})"""
+    grid AS (SELECT dataset_id, part, 'band_a' AS var, CAST(ts AS DATE) AS time, lat AS y, lon AS x, band_a AS value FROM {px_obs}
+        UNION ALL SELECT dataset_id, part, 'band_b', CAST(ts AS DATE), lat, lon, band_b FROM {px_obs}
+        UNION ALL SELECT dataset_id, part, 'qa', CAST(ts AS DATE), lat, lon, CAST(qa AS DOUBLE) FROM {px_obs})"""
 BANDS = ["band_a", "band_b", "qa"]
 
 
 @query("grid_sink", f"""WITH {GRID_SQL}
-    SELECT var, CAST(time AS VARCHAR) AS time, y, x, value, 'm' AS units, 'CF-1.8' AS conventions FROM grid""")
+    SELECT dataset_id, part, var, CAST(time AS VARCHAR) AS time, y, x, value, 'm' AS units, 'CF-1.8' AS conventions FROM grid""")
 def grid_sink(inputs: Inputs) -> DataFrame:
     grid = to_grid(inputs.px_obs, BANDS)
     datasets = inputs.px_obs.select("dataset_id").distinct()
@@ -283,8 +283,8 @@ def rounded(stats: DataFrame) -> DataFrame:
 
 
 QC_SQL = """
-    SELECT var, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std,
-           count(value) AS n_valid FROM grid GROUP BY var"""
+    SELECT dataset_id, part, var, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean,
+           round(stddev_pop(value), 4) AS std, count(value) AS n_valid FROM grid GROUP BY dataset_id, part, var"""
 
 
 @query("qc_sink", f"WITH {GRID_SQL} {QC_SQL}")

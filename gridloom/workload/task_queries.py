@@ -65,11 +65,11 @@ def external_names(inputs: Inputs) -> DataFrame:
 
 
 @query("external_ingest", """
-    WITH landed AS (SELECT vars AS var, CAST(CAST(strlen(html) AS FLOAT) AS DOUBLE) AS value
+    WITH landed AS (SELECT dataset_id, vars AS var, CAST(CAST(strlen(html) AS FLOAT) AS DOUBLE) AS value
         FROM {pages} JOIN {catalog} ON dataset_id = '02-' || CAST(page_id AS VARCHAR)
         WHERE family = 'external' AND endpoint NOT LIKE 'REPLACE%' AND endpoint NOT LIKE 'REQUIRES%')
-    SELECT var, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std,
-           count(value) AS n_valid FROM landed GROUP BY var""")
+    SELECT dataset_id, var, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean,
+           round(stddev_pop(value), 4) AS std, count(value) AS n_valid FROM landed GROUP BY dataset_id, var""")
 def external_ingest(inputs: Inputs) -> DataFrame:
     dataset = F.concat(F.lit("02-"), F.col("page_id").cast("string"))
     payloads = inputs.pages.select(dataset.alias("dataset_id"), F.octet_length("html").alias("length"))

@@ -210,3 +210,10 @@ def test_covering_grid_holds_the_polygon(spark):
     assert grid.x0 <= box[0] and grid.x0 + 1000 * grid.n_cols >= box[1]
     assert grid.y0 <= box[2] and grid.y0 + 1000 * grid.n_rows >= box[3]
     assert grid.x0 % 1000 == 0 and grid.y0 % 1000 == 0
+
+
+def test_buffer_tells_grids_apart(spark):
+    """Two datasets use the same row and column for places far apart."""
+    sides, _ = _sides(spark, {(0, 0): [(-100.0, 38.0), (-99.0, 38.0), (-99.0, 39.0), (-100.0, 39.0)]})
+    px = spark.createDataFrame([("a", 5, 7, -99.5, 38.5), ("b", 5, 7, -79.5, 38.5)], "dataset_id string, row int, col int, lon double, lat double")
+    assert [r.dataset_id for r in clip.clip_buffer(px, sides, 1000.0).collect()] == ["a"]
