@@ -118,12 +118,6 @@ def test_buffer_equals_brute_force(spark, distance):
     assert len(kept) == 2 * len(wanted)
 
 
-def test_runs_of_cells(spark):
-    cells = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (0, 7), (1, 3), (1, 4)], "row BIGINT, col BIGINT")
-    runs = {(r.row, r.col_from, r.col_to) for r in clip.runs(cells).collect()}
-    assert runs == {(0, 1, 3), (0, 7, 7), (1, 3, 4)}
-
-
 def _segments_meet_box(x1, y1, x2, y2, w, s, e, n):
     """Clip the segment to the box by its parameter range."""
     low, high = 0.0, 1.0
