@@ -1,4 +1,8 @@
-"""Status monitor over a stream of task events."""
+"""Status monitor over a stream of task events.
+
+A monitor that is given a ``folder`` keeps its checkpoint and its polls there: a later call with the same folder reads
+only the event files that came since, and goes on numbering the polls. Without one, a call starts afresh.
+"""
 
 from __future__ import annotations
 
@@ -18,12 +22,12 @@ def event_stream(spark: SparkSession, path: str, files_per_poll: int = 1000) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_poll).parquet(path)
 
 
-def _drain(df: DataFrame, mode: str, keep: Callable[[DataFrame, int], None], name: str) -> None:
-    """Run a query over all that has arrived, then stop."""
+def _drain(df: DataFrame, mode: str, keep: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a query over all that has arrived since its checkpoint, then stop."""
     query = (
         df.writeStream.outputMode(mode)
         .trigger(availableNow=True)
-        .option("checkpointLocation", fresh_path(df.sparkSession, f"{name}-checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .foreachBatch(keep)
         .start()
     )
@@ -39,12 +43,16 @@ def _batch_sink(path: str) -> Callable[[DataFrame, int], None]:
     return keep
 
 
-def stream_status_counts(events: DataFrame, status: str = "status") -> DataFrame:
+def _polls(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Every poll kept in ``folder``, with those of this call, by ``batch``."""
+    path = f"{folder}/polls"
+    _drain(df, mode, _batch_sink(path), f"{folder}/checkpoint")
+    return df.sparkSession.read.parquet(path)
+
+
+def stream_status_counts(events: DataFrame, status: str = "status", folder: str | None = None) -> DataFrame:
     """Running count by status; returns every poll's counts with its ``batch``."""
-    spark = events.sparkSession
-    path = fresh_path(spark, "status-counts")
-    _drain(status_counts(events, status), "complete", _batch_sink(path), "status-counts")
-    return spark.read.parquet(path)
+    return _polls(status_counts(events, status), "complete", folder or fresh_path(events.sparkSession, "status-counts"))
 
 
 def last_counts(polls: DataFrame) -> DataFrame:
@@ -53,15 +61,13 @@ def last_counts(polls: DataFrame) -> DataFrame:
     return polls.where(F.col("batch") == latest).drop("batch")
 
 
-def stream_latest_state(events: DataFrame, task: str, order: list[str]) -> DataFrame:
+def stream_latest_state(events: DataFrame, task: str, order: list[str], folder: str | None = None) -> DataFrame:
     """One current row per task, folded over the polls.
 
     The state per task is one row; a poll writes only the tasks it changed, and the newest row of a task wins.
     """
-    spark = events.sparkSession
-    path = fresh_path(spark, "latest-state")
-    _drain(latest_status(events, task, order), "update", _batch_sink(path), "latest-state")
-    changes = spark.read.parquet(path)
+    folder = folder or fresh_path(events.sparkSession, "latest-state")
+    changes = _polls(latest_status(events, task, order), "update", folder)
     return latest_status(changes, task, ["batch"]).drop("batch")
 
 

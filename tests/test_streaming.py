@@ -39,6 +39,34 @@ def test_counts_of_every_poll_and_the_last(spark):
     assert monitor.last_counts(polls).select(*batch.columns).exceptAll(batch).count() == 0
 
 
+def test_second_drain_reads_only_new_files(spark):
+    path, folder = fresh_path(spark, "test-events"), fresh_path(spark, "test-monitor")
+    early, late = _events(spark).where("t < 800"), _events(spark).where("t >= 800 AND task <> 'hot'")
+
+    def drain():
+        stream = monitor.event_stream(spark, path)
+        return monitor.stream_latest_state(stream, "task", ["t", "event_id"], f"{folder}/state")
+
+    early.coalesce(1).write.parquet(path)
+    drain()
+    late.coalesce(1).write.mode("append").parquet(path)
+    folded = drain()
+    batch = latest_status(early.unionByName(late), "task", ["t", "event_id"])
+    assert folded.count() == batch.count() and folded.select(*batch.columns).exceptAll(batch).count() == 0
+    polls = spark.read.parquet(f"{folder}/state/polls")
+    assert sorted(r.batch for r in polls.select("batch").distinct().collect()) == [0, 1]
+    assert polls.where("batch = 1 AND task = 'hot'").isEmpty()
+
+
+def test_counts_go_on_and_a_drain_without_news_adds_nothing(spark):
+    path, folder = _stored(spark), fresh_path(spark, "test-monitor")
+    first, second = [
+        monitor.stream_status_counts(monitor.event_stream(spark, path), folder=folder).groupBy("batch").agg(F.sum("n")).collect()
+        for _ in range(2)
+    ]
+    assert first == second and [tuple(r) for r in first] == [(0, 3000)]
+
+
 def test_drain_report(spark):
     latest = spark.createDataFrame([("a", "COMPLETED"), ("b", "FAILED")], "task STRING, status STRING")
     assert tuple(monitor.drain_report(latest).first()) == (2, 0, True)
