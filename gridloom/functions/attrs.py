@@ -33,7 +33,13 @@ AXIS_ATTRS = {
     "x": {"standard_name": "projection_x_coordinate", "units": "m", "axis": "X"},
     "lat": {"standard_name": "latitude", "units": "degrees_north"},
     "lon": {"standard_name": "longitude", "units": "degrees_east"},
-    "time": {"standard_name": "time", "units": "days since 1970-01-01 00:00:00", "axis": "T"},
+    "time": {
+        "standard_name": "time",
+        "long_name": "time",
+        "units": "days since 1970-01-01 00:00:00",
+        "calendar": "proleptic_gregorian",
+        "axis": "T",
+    },
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 ACTIVE = ("STARTED", "RUNNING")
 TERMINAL = ("COMPLETED", "FAILED")
 POLL_STATES = {"READY": "RUNNING", "CANCELLED": "FAILED"}
+UNKNOWN = "UNKNOWN"
 RETRY_MARKERS = ("429", "rate limit", "quota")
 RETRY_DELAYS = (10, 60, 300)
 MAX_RETRIES = 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.status import (
     MAX_RETRIES,
+    UNKNOWN,
     is_active,
     is_retryable,
     is_terminal,
@@ -42,12 +43,13 @@ def poll_merge(registry: DataFrame, polls: DataFrame, task: str, order: list[str
     """Registry with polled states applied to its active rows.
 
     ``polls`` has ``task, state, polled_at, error_message``; the latest poll of a task counts. Status is mapped,
-    the end time set only by a terminal state (and cleared by any other), the error replaced. Other rows stay.
+    the end time set only by a terminal state (and cleared by any other), the error replaced; a poll without a state
+    gives UNKNOWN. Other rows stay.
     """
     needed = polls.select(*dict.fromkeys([task, "state", "polled_at", "error_message", *order]))
     latest = latest_status(needed, task, order).select(
         task,
-        map_status(F.col("state")).alias("_status"),
+        map_status(F.coalesce("state", F.lit(UNKNOWN))).alias("_status"),
         F.col("polled_at").alias("_polled_at"),
         F.col("error_message").alias("_error"),
     )

@@ -214,7 +214,7 @@ def retry_ladder(inputs: Inputs) -> DataFrame:
     WITH polls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY timestamp_ DESC, event_id DESC)
             AS r FROM {{task_events}} ) WHERE r = 1),
         merged AS (SELECT g.*, g.status IN ('STARTED', 'RUNNING') AND p.task_id IS NOT NULL AS polled,
-            {STATUS_SQL.replace("state", "p.state")} AS new_status, p.timestamp_ AS polled_at, p.error_message AS new_error
+            {STATUS_SQL.replace("state", "coalesce(p.state, 'UNKNOWN')")} AS new_status, p.timestamp_ AS polled_at, p.error_message AS new_error
             FROM {{registry_rows}} g LEFT JOIN polls p ON g.task_id_or_file = p.task_id)
     SELECT event_id, task_id_or_file, CASE WHEN polled THEN new_status ELSE status END AS status,
            CASE WHEN NOT polled THEN end_time WHEN new_status IN ('COMPLETED', 'FAILED') THEN polled_at END AS end_time,

@@ -164,6 +164,13 @@ def test_poll_merge_cases(spark):
     }
 
 
+def test_poll_without_a_state_is_unknown(spark):
+    reg = spark.createDataFrame([("a", "RUNNING", "e0", "old")], "task STRING, status STRING, end_time STRING, error_message STRING")
+    polls = spark.createDataFrame([("a", None, "p1", None)], "task STRING, state STRING, polled_at STRING, error_message STRING")
+    merged = tasks.poll_merge(reg, polls, "task", ["polled_at"]).first()
+    assert (merged.status, merged.end_time, merged.error_message) == ("UNKNOWN", None, None)
+
+
 def test_active_count_of_nothing(spark):
     assert tasks.active_count(spark.createDataFrame([], "status STRING")).first().n_active == 0
 

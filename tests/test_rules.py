@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.attrs import global_attrs, variable_attrs
+from gridloom.functions.attrs import coordinate_attrs, global_attrs, variable_attrs
 from gridloom.functions.status import is_active, is_retryable, map_status
 from gridloom.functions.values import from_fill, palette_colour, quicklook_byte, to_fill
 from gridloom.operators import filters, quality, rules, sets
@@ -142,3 +142,10 @@ def test_date_filter_is_half_open(spark):
     for kind in ("timestamp", "timestamp_ntz", "date"):
         kept = filters.filter_date(df.select(F.col("t").cast(kind).alias("ts")), "2002-04-01", "2024-09-30")
         assert kept.count() == 2
+
+
+def test_time_axis_names_its_calendar(spark):
+    datasets = spark.createDataFrame([("a",), ("b",)], "dataset_id STRING")
+    rows = coordinate_attrs(datasets).where("var = 'time'").collect()
+    assert sorted(r.dataset_id for r in rows) == ["a", "b"]
+    assert all((r.attrs["long_name"], r.attrs["calendar"]) == ("time", "proleptic_gregorian") for r in rows)
