@@ -35,7 +35,9 @@ _random = np.random.default_rng(20260202)
 _SKETCHES = _random.integers(1, 2**63, SKETCH, dtype=np.uint64) * U64(2) + U64(1)
 _SEEDS = _random.integers(1, 2**63, 64, dtype=np.uint64)
 
-FEATURES = "doc_id long, sig string, n_shingles long, keys array<long>, children array<array<long>>, sketch binary"
+#: What tells rows apart: NULL ids come last and count as 0, ``tx`` is the 64-bit hash of the text.
+ROW = ["nameless", "doc_id", "tx"]
+FEATURES = "nameless long, doc_id long, tx long, sig string, n_shingles long, keys array<long>, children array<array<long>>, sketch binary"
 
 
 def runs_for(similarity: float, recall: float) -> int:
@@ -67,7 +69,7 @@ def _features(runs: int, size: int):
             full = np.flatnonzero(counts)
             if not len(full):
                 continue
-            ids, starts, counts = longs(batch, "doc_id")[full], bounds[:-1][full], counts[full]
+            rows, starts, counts = [longs(batch, c)[full] for c in ROW], bounds[:-1][full], counts[full]
             sums = [np.add.reduceat(mix(tokens ^ s), starts) for s in _SEEDS[-2:]]
             owner = np.repeat(np.arange(len(full)), counts)
             share = np.minimum(GROWTH / counts, 1.0)
@@ -93,14 +95,14 @@ def _features(runs: int, size: int):
             lists = list_column(_signed(flat), child_bounds, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids),
+                    *map(pa.array, rows),
                     pa.array([f"{a:016x}{b:016x}{n:x}" for a, b, n in zip(*[s.tolist() for s in sums], counts.tolist())]),
                     pa.array(counts.astype(np.int64)),
                     list_column(_signed(keys), key_bounds, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(key_bounds.astype(np.int32)), lists),
                     binary_column([row.tobytes() for row in sketch]),
                 ],
-                ["doc_id", "sig", "n_shingles", "keys", "children", "sketch"],
+                [*ROW, "sig", "n_shingles", "keys", "children", "sketch"],
             )
 
     return work
@@ -162,46 +164,67 @@ def _jaccard(numerator: int, denominator: int):
     return linked
 
 
-def ngram_join(docs: DataFrame, size: int = 5, numerator: int = 4, denominator: int = 5, recall: float = 0.9999) -> DataFrame:
-    """Documents whose sets of ``size``-word shingles have a Jaccard similarity of ``numerator / denominator`` or more.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``nameless, doc_id, tx, text`` of every row."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(
+        doc_id.isNull().cast("long").alias("nameless"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"),
+        F.xxhash64(text).alias("tx"), text.alias("text"),
+    )
 
-    Takes ``doc_id, text`` (other columns are ignored) and returns per row ``doc_id, n_links, component_id, kept``: the
-    number of linked rows, the smallest id reachable by links, and whether that is the row's own. A text of fewer than
-    ``size`` words has one shingle of all of them. A NULL text, one without words, and a NULL ``doc_id`` link with nothing
-    and are kept. Equal sets are one node with a weight, so repeated rows and copies count as links of each other, and a
-    repeated row is kept as often as its id. An empty table gives an empty result.
+
+def _linked(rows: DataFrame, size: int, numerator: int, denominator: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes of ``rows(nameless, doc_id, tx, text)`` that have words, and what is known of each node.
+
+    Returns ``(nameless, doc_id, tx, id)`` per row and ``(id, links, first)`` per node. Rows of equal sets are one node,
+    whatever their ids; its ``id`` is a hash of the set's signature. ``first`` is the smallest row reachable by links.
     """
     similarity = numerator / denominator
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = rows.where("doc_id is not null")
-    features = materialise(known.mapInArrow(_features(runs_for(similarity, recall), size), FEATURES), "shingle-features")
+    made = rows.mapInArrow(_features(runs_for(similarity, recall), size), FEATURES)
+    features = materialise(made.withColumn("id", F.xxhash64("sig")).drop("sig"), "shingle-features")
     # Keys and sketch depend on the set alone, so any row of a class may give them.
-    sizes = features.groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"))
+    sizes = features.groupBy("id").agg(F.min(F.struct(*ROW)).alias("first"), F.count("*").alias("weight"))
     classes = materialise(sizes, "shingle-classes")
-    own = features.join(classes, (features["sig"] == classes["sig"]) & (features["doc_id"] == classes["id"]))
+    own = features.join(classes.select("id", "first.*"), ["id", *ROW], "left_semi")
     nodes = materialise(own.select("id", "n_shingles", "keys", "children", "sketch").dropDuplicates(["id"]), "shingle-nodes")
     members = _leaves(nodes).join(nodes.select("id", "n_shingles", "sketch"), "id")
     candidates = materialise(components(forests(members, "bucket", "id", _sketch_similar(similarity))), "path-candidates")
-    weighed = candidates.join(classes, "id").select(F.col("id").alias("doc_id"), "component", "weight", "sig")
+    weighed = candidates.join(classes, "id").select("first.*", "id", "component", "weight")
 
     def sets(batches):
         for batch in text_slices(batches, "text"):
             tokens, bounds = shingle_sets(*byte_parts(batch.column("text")), size)
             parts = [tokens[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "component", "weight")], binary_column(parts)], ["id", "component", "weight", "shingles"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "component", "weight")], binary_column(parts)], ["id", "component", "weight", "shingles"])
 
-    texts = known.join(weighed.drop("sig"), "doc_id").select("doc_id", "component", "weight", "text")
+    texts = rows.join(weighed, ROW).select("id", "component", "weight", "text")
     whole = texts.mapInArrow(sets, "id long, component long, weight long, shingles binary").dropDuplicates(["id"])
     found = materialise(degrees(whole, "component", "id", "weight", _jaccard(numerator, denominator), 512), "path-links")
     linked = components(found.where("u is not null").select("u", "v"))
+    groups = materialise(linked.join(classes, "id").groupBy("component").agg(F.min("first").alias("group")), "path-groups")
     counts = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     per_class = materialise(
-        classes.join(counts, "id", "left").join(linked, "id", "left")
-        .select("sig", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component")),
+        classes.join(counts, "id", "left").join(linked.join(groups, "component").select("id", "group"), "id", "left")
+        .select("id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("group", "first").alias("first")),
         "path-classes",
     )
-    per_row = features.select("doc_id", "sig").join(per_class, "sig").groupBy("doc_id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    every = rows.select("doc_id").join(per_row, "doc_id", "left")
+    return features.select(*ROW, "id"), per_class
+
+
+def ngram_join(docs: DataFrame, size: int = 5, numerator: int = 4, denominator: int = 5, recall: float = 0.9999) -> DataFrame:
+    """Documents whose sets of ``size``-word shingles have a Jaccard similarity of ``numerator / denominator`` or more.
+
+    Takes ``doc_id, text`` (other columns are ignored) and returns per row ``doc_id, n_links, component_id, kept``: the
+    number of linked rows, the smallest id reachable by links, and whether that is the row's own. A text of fewer than
+    ``size`` words has one shingle of all of them. A NULL text, one without words, and a NULL ``doc_id`` link with nothing
+    and are kept. Equal sets are one node with a weight, so repeated rows and copies count as links of each other, and a
+    repeated row is kept as often as its id. Different texts of one id are rows of their own. An empty table gives an
+    empty result.
+    """
+    rows = _keyed(docs)
+    placed, per_class = _linked(rows.where("nameless = 0"), size, numerator, denominator, recall)
+    per_row = placed.join(per_class, "id").groupBy(*ROW).agg(F.max("links").alias("links"), F.min("first.doc_id").alias("component"))
+    every = rows.select(*ROW).join(per_row, ROW, "left").withColumn("doc_id", F.when(F.col("nameless") == 0, F.col("doc_id")))
     return every.select(
         "doc_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("component", "doc_id").alias("component_id"),

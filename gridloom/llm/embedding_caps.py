@@ -96,9 +96,10 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, hits: int = HIT
     fit = rows.where(_usable("vector") & F.col("_label").isNotNull() & F.col("vec_id").isNotNull())
     keyed = fit.withColumn("_copy", F.md5(F.concat_ws("|", F.to_json(F.struct("_label")), F.array_join(F.col("vector").cast("array<string>"), ","))))
     classes = keyed.groupBy("_copy").agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector"), F.first("_label").alias("_label")
+        F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("vector").alias("vector"), F.first("_label").alias("_label")
     )
-    classes = materialise(classes, "vectors").withColumn("_dim", F.size("vector")).withColumn("_kind", F.xxhash64("_dim", "_label"))
+    # An id may have several vectors, so nodes are told apart by their copies' hash.
+    classes = materialise(classes.withColumn("id", F.xxhash64("_copy")), "vectors").withColumn("_dim", F.size("vector")).withColumn("_kind", F.xxhash64("_dim", "_label"))
     shapes = classes.groupBy("_dim", "_kind").agg(F.count("*").alias("n"))
     # One row per vector length: how many of them the largest label holds.
     largest = {r["_dim"]: r["n"] for r in shapes.groupBy("_dim").agg(F.max("n").alias("n")).collect()}
@@ -152,11 +153,13 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, hits: int = HIT
     inside = near.join(classes.select("id", "weight", "vector", "_kind"), "id")
     links = materialise(degrees(inside, "component", "id", "weight", linked), "cap-links")
     found = components(links.where("u is not null").select("u", "v"))
+    groups = materialise(found.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("group")), "cap-groups")
+    grouped = found.join(groups, "component").select("id", "group")
     counted = links.where("id is not null")
     counts = counted.groupBy("id").agg(F.sum("n").alias("n"))
     per_class = (
-        classes.select("_copy", "id", "weight").join(counts, "id", "left").join(found, "id", "left")
-        .select("_copy", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("_links"), F.coalesce("component", "id").alias("_component"))
+        classes.select("_copy", "id", "least", "weight").join(counts, "id", "left").join(grouped, "id", "left")
+        .select("_copy", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("_links"), F.coalesce("group", "least").alias("_component"))
     )
     linked_rows = keyed.select("vec_id", "_copy").join(per_class, "_copy").select("vec_id", "_links", "_component")
     alone = rows.where(~F.coalesce(_usable("vector") & F.col("_label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))

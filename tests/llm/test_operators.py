@@ -64,6 +64,13 @@ def test_ngram_join_splits_large_buckets(spark, monkeypatch):
     check_join(rows, chosen_path.ngram_join(docs).collect())
 
 
+def test_ngram_join_tells_texts_of_one_id_apart(spark):
+    words = [[f"{c}{k}" for k in range(100)] for c in "abcdef"]
+    near = lambda w, k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    rows = [(5, " ".join(w)) for w in words] + [(10 + k, near(w, 50)) for k, w in enumerate(words)] + [(3, near(words[4], 2)), (5, " ".join(words[0])), (None, " ".join(words[1]))]
+    check_join(rows, chosen_path.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def check_repeats(rows, got, length):
     seen = Counter(b[k : k + length] for b in (t.encode() for _, t in rows) for k in range(len(b) - length + 1))
     want = []
@@ -120,6 +127,19 @@ def test_embeddings(spark):
     assert embedding_caps.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_tell_vectors_of_one_id_apart(spark):
+    random = np.random.default_rng(8)
+    m = random.normal(size=(6, 24))
+    rows = [(5, v, 0) for v in m] + [(10 + k, v + random.normal(size=24) * 0.05, 0) for k, v in enumerate(m)] + [(3, m[4] * 1.5, 0), (5, m[0], 0)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], label) for i, v, label in rows], "vec_id long, embedding array<double>, label int")
+    unit = np.array([v / np.linalg.norm(v) for _, v, _ in rows])
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    comp = components_of(len(rows), zip(*np.nonzero(np.triu(linked))), [r[0] for r in rows])
+    want = sorted((r[0], int(linked[k].sum()), comp[k], r[0] == comp[k]) for k, r in enumerate(rows))
+    assert sorted(tuple(r) for r in embedding_caps.near_embeddings(df).collect()) == want
+
+
 def plain_counts(text):
     b = text.encode()
     words = WORD.findall(b)
