@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.batches import binary_column, byte_parts, list_column, longs, text_slices
@@ -164,13 +164,17 @@ def _jaccard(numerator: int, denominator: int):
     return linked
 
 
+def _row_part(name: str) -> Column:
+    """A column of ``ROW`` over ``doc_id, text``."""
+    doc_id = F.col("doc_id").cast("long")
+    if name == "nameless":
+        return doc_id.isNull().cast("long")
+    return F.coalesce(doc_id, F.lit(0).cast("long")) if name == "doc_id" else F.xxhash64(F.col("text").cast("string"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``nameless, doc_id, tx, text`` of every row."""
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(
-        doc_id.isNull().cast("long").alias("nameless"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc_id"),
-        F.xxhash64(text).alias("tx"), text.alias("text"),
-    )
+    return docs.select(*[_row_part(c).alias(c) for c in ROW], F.col("text").cast("string").alias("text"))
 
 
 def _linked(rows: DataFrame, size: int, numerator: int, denominator: int, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -230,3 +234,26 @@ def ngram_join(docs: DataFrame, size: int = 5, numerator: int = 4, denominator:
         F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, numerator: int = 4, denominator: int = 5, recall: float = 0.9999) -> DataFrame:
+    """``docs`` with one row of each group of linked rows and copies: that of the smallest id, NULL last, then text hash.
+
+    Links are those of ``ngram_join``, with two differences: rows are told apart by id and text, not by id, and rows with a
+    NULL id link too. Of rows equal in id and text the one whose other columns come first as JSON stays. Texts without
+    words, and NULL ones, link with nothing and all stay.
+    """
+    names = {c: f"_{k}_row" for k, c in enumerate(ROW)}
+    placed, per_class = _linked(_keyed(docs), size, numerator, denominator, recall)
+    rows = placed.groupBy(*ROW).agg(F.first("id").alias("id"), F.count("*").alias("n")).join(per_class, "id")
+    judged = materialise(
+        rows.select(*[F.col(c).alias(n) for c, n in names.items()], (F.struct(*ROW) == F.col("first")).alias("_stays"), (F.col("n") > 1).alias("_repeated")),
+        "path-rows",
+    )
+    key = list(names.values())
+    tagged = docs.select(*docs.columns, *[_row_part(c).alias(n) for c, n in names.items()])
+    single = tagged.join(judged.where("not _stays or _repeated"), key, "left_anti").select(*docs.columns)
+    several = tagged.join(judged.where("_stays and _repeated"), key, "left_semi")
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    first = several.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), others).alias("_row")).select("_row.*")
+    return single.union(first)

@@ -332,3 +332,22 @@ def test_pipeline(spark, monkeypatch):
     assert Counter(r[0] for r in mixed_docs.select("doc_id").collect()) == Counter(r[0] for r in picks.select("doc_id").collect())
     pieces = corpus_pipeline.run(spark, SF)
     assert pieces.groupBy().sum("length").first()[0] == stage["packing"](spark, mixed_docs, SF).groupBy().sum("length").first()[0]
+
+
+def test_pipeline_keeps_one_document_of_each_group(spark):
+    import corpus_pipeline
+
+    words = [[f"{c}{k}" for k in range(150)] for c in "abcdef"]
+    a, b, c, d, e, f = (" ".join(w) for w in words)
+    near = " ".join([*words[3][:70], "other", *words[3][71:]])
+    # Repeated rows; a NULL id beside a NULL id; a clean text under the id of a removed near copy; a NULL id beside an id.
+    rows = [(1, a, "x"), (1, a, "y"), (1, a, "x"), (None, b, "x"), (None, b, "x"), (2, d, "x"), (3, near, "x"), (3, c, "x"), (None, e, "x"), (4, e, "x"), (5, f, "x")]
+    rows += [(None, None, "x"), (None, None, "x"), (6, "", "x"), (7, "", "x")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)
+    joined = stage["n-gram Jaccard join"](spark, docs, SF)
+    assert joined.schema == docs.schema
+    want = [(1, a, "x"), (None, b, "x"), (2, d, "x"), (3, c, "x"), (4, e, "x"), (5, f, "x"), *rows[-4:]]
+    assert Counter(tuple(r)[:3] for r in joined.collect()) == Counter(want)
+    cleaned = stage["suffix-array dedup"](spark, joined, SF)
+    assert Counter((r["doc_id"], r["text"]) for r in cleaned.collect()) == Counter((i, t or "") for i, t, _ in want)
