@@ -100,28 +100,35 @@ def example_texts(segments: DataFrame) -> DataFrame:
 
 
 def _digests(batches):
-    """Digests of sorted segments, streamed turn by turn."""
-    current, state, done = object(), None, []
+    """Digests of sorted segments, each followed by its example if it has one, streamed turn by turn."""
+    current, state, done, formatted = object(), None, [], ""
 
     def close():
         n, turns, loss_chars, loss, chars, shown = state
         done.append((current, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, shown))
 
+    columns = ("conv_id", "place", "example", "formatted", "context_turns", "context_chars", "reply_from", "reply_to")
     for batch in batches:
-        rows = zip(*[batch.column(c).to_pylist() for c in ("conv_id", "start", "formatted", "reply_from", "reply_to")])
-        for conv, start, formatted, first, last in rows:
+        rows = zip(*[batch.column(c).to_pylist() for c in columns])
+        for conv, place, example, segment, context_turns, context_chars, first, last in rows:
             if state is None or conv != current:
                 if state is not None:
                     close()
                 current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+            if example:
+                # The context is every turn before this one; what it names must be what was read.
+                before = state[4] - len(formatted)
+                if (place, context_turns, context_chars) != (state[0], state[0] - 1, before):
+                    raise ValueError(f"example {place} of conversation {conv} names another context than its segments")
+                reply = _ESCAPED.sub(r"\1", formatted[first - context_chars : last - context_chars])
+                state[2] += len(reply)
+                state[3].update(reply.encode())
+                state[5] += context_chars + len(formatted)
+                continue
+            formatted = segment
             role, text = parsed(formatted)
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode())
-            if first is not None:
-                reply = _ESCAPED.sub(r"\1", formatted[first - start : last - start])
-                state[2] += len(reply)
-                state[3].update(reply.encode())
-                state[5] += start + len(formatted)
             state[4] += len(formatted)
         if done:
             yield _digest_batch(done)
@@ -141,12 +148,18 @@ def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), _DIGESTS.values())], list(_DIGESTS))
 
 
-def digests(segments: DataFrame) -> DataFrame:
-    """What a reader of the segments gets back, per conversation.
+def digests(segments: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """What a reader of the segments and their ``examples`` gets back, per conversation.
 
-    ``n_turns, turns_sha256`` over roles and texts, ``loss_chars, loss_sha256`` over the unescaped text under the loss masks,
-    ``formatted_chars`` of the conversation, and ``example_chars``, the characters of all its examples written out.
+    ``n_turns, turns_sha256`` over roles and texts, ``loss_chars, loss_sha256`` over the unescaped text under the examples'
+    loss masks, ``formatted_chars`` of the conversation, and ``example_chars``, the characters of all its examples written
+    out. Every example's context is resolved through the segments before it: one that names other turns or another
+    length than these have is an error. Turns after the last reply belong to no example and count for the conversation.
     """
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    shown = examples(segments) if shown is None else shown
+    none = F.lit(None).cast("long")
+    turns = segments.select("conv_id", "place", F.lit(0).alias("example"), "formatted", *[none.alias(c) for c in ("context_turns", "context_chars", "reply_from", "reply_to")])
+    named = shown.select("conv_id", "place", F.lit(1).alias("example"), F.lit(None).cast("string").alias("formatted"), "context_turns", "context_chars", "reply_from", "reply_to")
+    ordered = turns.union(named).repartition("conv_id").sortWithinPartitions("conv_id", "place", "example")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, example_chars long"
     return ordered.mapInArrow(_digests, schema)

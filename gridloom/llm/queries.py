@@ -54,9 +54,11 @@ def op6_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
     said = r"\### Assistant: </turn> ok"
     tricky = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    path = fresh_path(spark, "chat")
+    path, shown = fresh_path(spark, "chat"), fresh_path(spark, "chat-examples")
     chat_prefix.formatted_turns(turns.unionByName(tricky)).write.parquet(path)
-    return chat_prefix.digests(spark.read.parquet(path))
+    segments = spark.read.parquet(path)
+    chat_prefix.examples(segments).write.parquet(shown)
+    return chat_prefix.digests(segments, spark.read.parquet(shown))
 
 
 def op7_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,33 @@ def test_chat(spark):
     assert chat_prefix.formatted_turns(turns.limit(0)).count() == 0
 
 
+def test_chat_query_writes_and_reads_its_examples(spark, monkeypatch):
+    paths = {}
+
+    def noted(session, name):
+        paths[name] = fresh_path(session, name)
+        return paths[name]
+
+    monkeypatch.setattr(queries, "fresh_path", noted)
+    got = {r["conv_id"]: r for r in queries.op6_chat_prefix(spark, SF).collect()}
+    turns = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    turns += [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+    replies = Counter(c for c, _, r, _ in turns if r == "assistant")
+    segments, shown = spark.read.parquet(paths["chat"]), spark.read.parquet(paths["chat-examples"])
+    assert Counter(r["conv_id"] for r in shown.collect()) == replies
+    lengths = Counter()
+    for r in chat_prefix.example_texts(segments).collect():
+        lengths[r["conv_id"]] += len(r["text"])
+    for conv, r in got.items():
+        own = sorted((t if t is not None else -1, role or "", x or "") for c, t, role, x in turns if c == conv)
+        loss = "".join(x for _, role, x in own if role == "assistant")
+        assert (r["n_turns"], r["loss_chars"], r["loss_sha256"], r["example_chars"]) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest(), lengths[conv])
+    # The masks come from the examples, and a context that the segments do not have is noticed.
+    assert chat_prefix.digests(segments, shown.limit(0)).groupBy().sum("loss_chars").first()[0] == 0
+    with pytest.raises(Exception, match="names another context"):
+        chat_prefix.digests(segments, shown.selectExpr("conv_id", "place", "context_turns", "context_chars + 1 AS context_chars", "reply_from", "reply_to")).collect()
+
+
 def test_mixing(spark, odd_docs, no_docs):
     con = duckdb.connect()
     con.register("documents_odd", odd_docs.select("doc_id", "text", "lang", "source").toPandas().astype({"doc_id": "Int64"}))
