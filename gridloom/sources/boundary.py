@@ -21,14 +21,15 @@ def boundary(spark: SparkSession, path: str, pick: str = "all", layout: str = "c
 
     ``collection``: one FeatureCollection document, features numbered by position. ``lines``: one feature per
     line with its ``id``; this layout is split among tasks. An id that is no whole number, or none, is replaced by a
-    negative hash of the feature, so equal lines without an id are one feature. ``pick='first'`` keeps only the lowest
-    fid.
+    negative hash of the feature. Lines equal in id, properties and geometry are one feature, for any kind of id; lines
+    that share an id and differ are parts of it and all stay. ``pick='first'`` keeps only the lowest fid.
     """
     if layout == "lines":
         lines = spark.read.schema(FEATURE).json(path)
         made = -1 - F.abs(F.xxhash64("id", F.to_json("properties"), "geometry") % (1 << 62))
         numbered = lines.withColumn("fid", F.coalesce(F.col("id").try_cast("bigint"), made))
-        features = numbered.dropDuplicates(["id", "fid"]).drop("id")
+        equal = numbered.withColumn("_properties", F.to_json("properties")).dropDuplicates(["id", "_properties", "geometry"])
+        features = equal.drop("id", "_properties")
     else:
         document = spark.read.schema(FEATURE_COLLECTION).json(path, multiLine=True)
         features = document.select(F.posexplode("features").alias("fid", "feature")).select(

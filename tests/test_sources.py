@@ -200,6 +200,16 @@ def test_features_without_numbers_stay_apart(spark, tmp_path):
     assert len(set(fids)) == 4 and 7 in fids
 
 
+def test_features_that_share_a_number_keep_their_parts(spark, tmp_path):
+    square = '{"type": "Feature", "id": %s, "properties": {"n": "%s"}, "geometry": {"type": "Polygon", "coordinates": [[[%d,0],[%d,0],[%d,1],[%d,0]]]}}'
+    lines = [square % (i, n, x, x + 1, x + 1, x) for i, n, x in ((7, "a", 0), (7, "a", 4), (7, "b", 4), (7, "a", 0), ('"x"', "a", 0), ('"x"', "a", 4), ('"x"', "a", 0))]
+    path = tmp_path / "layer.json"
+    path.write_text("\n".join(lines))
+    rows = boundary.boundary(spark, str(path), layout="lines").collect()
+    assert sorted((r.properties["n"], r.rings[0][0][0]) for r in rows if r.fid == 7) == [("a", 0.0), ("a", 4.0), ("b", 4.0)]
+    assert sorted(r.rings[0][0][0] for r in rows if r.fid < 0) == [0.0, 4.0]
+
+
 def test_registry_numbers_and_breaks(spark, tmp_path):
     path = str(tmp_path / "events")
     message = "a\\nb\nc\r\\"
