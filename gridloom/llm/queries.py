@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe_count, chat_prefix, chosen_path, column_bwt, embedding_caps, mixing, packing, rule_lists, token_orc, toxic_crf
+from gridloom.llm import (
+    bpe_count, bpe_stream, centroid_tables, chat_prefix, chosen_path, column_bwt, embedding_caps, importance_radix, mixing, packing, rule_lists,
+    token_orc, toxic_crf,
+)
+from gridloom.llm.oracle_sql import clustering_sql, resampling_sql
 from gridloom.shared import fresh_path
 
 #: Weights of the demonstration mixture: uneven enough that some leaves fall short and repeat.
@@ -80,6 +84,19 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_crf.scored(docs, chain).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op11_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return bpe_stream.digests(bpe_stream.encoded(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+
+
+def op12_importance_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_radix.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_tables.clustered(_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 def _case(level: str, table: str = "") -> str:
     arms = " ".join(f"WHEN {table}{level} = '{name}' THEN {w}" for name, w in sorted(MIXTURE.weights.get(level, {}).items()))
     return f"CAST(CASE {arms} ELSE 1 END AS BIGINT)"
@@ -139,6 +156,6 @@ FROM (SELECT doc_id, domain, lang, source, unnest(range(1, CAST(epochs AS BIGINT
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_caps, op2_rule_lists, op3_token_orc, op4_mixing, op5_column_bwt, op6_chat_prefix, op7_bpe_count, op8_packing,
-    op9_chosen_path, op10_toxic_crf,
+    op9_chosen_path, op10_toxic_crf, op11_bpe_stream, op12_importance_radix, op13_centroid_tables,
 )}
-ORACLES = {"op4_mixing": mixing_sql()}
+ORACLES = {"op4_mixing": mixing_sql(), "op12_importance_radix": resampling_sql(), "op13_centroid_tables": clustering_sql()}
