@@ -1,155 +1,62 @@
 """Clipping pixels to polygons, with holes and buffers, and filtering scenes by footprint.
 
-A polygon is turned into spans, ``[x_from, x_to)`` per grid line, by the even-odd rule. Spans number about grid
-lines x boundary crossings, whatever the number of observations, so observations are tested against them without
-a shuffle while the span table is small enough to broadcast, and by a join on the grid line beyond that.
+Polygons are cut into a sparse quadtree once (see ``quadtree``). An observation is looked up by the tile it is in, an
+equality join without a shuffle while the tiles are few enough to broadcast; neither the observations nor their distinct places
+are read to prepare it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from gridloom.functions.projection import EPSG_5070, Albers, project
+from gridloom.operators import quadtree
+from gridloom.operators.quadtree import Quadtree
 from gridloom.shared import materialise
 from gridloom.sources.boundary import total_bounds
 
-MAX_STRIPS = 65_536
 
+def build_mask(sides: DataFrame) -> Quadtree | None:
+    """Tiles of the features, written once for reuse; None without any."""
+    return quadtree.build(sides)
 
-def crossing_x(level: Column) -> Column:
-    """Where the side (x1, y1)-(x2, y2) crosses a horizontal line."""
-    x1, y1, x2, y2 = (F.col(name) for name in ("x1", "y1", "x2", "y2"))
-    return (x2 - x1) * (level - y1) / (y2 - y1) + x1
 
+def _within(px: DataFrame, mask: Quadtree, x: str, y: str) -> DataFrame:
+    """Rows inside the mask's square, a filter that the scan can use."""
+    square = mask.square
+    return px.where(F.col(x).between(square.x0, square.x0 + square.size) & F.col(y).between(square.y0, square.y0 + square.size))
 
-def _cover(low: Column, high: Column, size: float) -> Column:
-    """Numbers of the equal strips that an interval touches."""
-    return F.sequence(F.floor(low / size), F.floor(high / size))
 
-
-def strip_height(sides: DataFrame) -> float:
-    """Height of the strips in which sides and grid lines meet: about the height of an average side.
-
-    Many short sides get low strips that hold few of them; few long sides get high strips, so that a side is
-    not repeated for many.
-    """
-    row = sides.agg(
-        F.avg(F.abs(F.col("y2") - F.col("y1"))).alias("mean"),
-        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("extent"),
-    ).first()
-    return max(row.mean or 0.0, (row.extent or 0.0) / MAX_STRIPS, 1e-9)
-
-
-def spans(levels: DataFrame, sides: DataFrame) -> DataFrame:
-    """Inside spans ``(fid, level, x_from, x_to)`` of each feature on each horizontal line ``level``.
-
-    Sides and lines meet through the strips they share, an equality join.
-    """
-    height = strip_height(sides)
-    covered = _cover(F.least("y1", "y2"), F.greatest("y1", "y2"), height)
-    strips = sides.where("y1 <> y2").withColumn("strip", F.explode(covered))
-    lines = levels.withColumn("strip", F.floor(F.col("level") / height))
-    level = F.col("level")
-    crossings = (
-        lines.join(strips, "strip")
-        .where((F.col("y1") > level) != (F.col("y2") > level))
-        .select("fid", "level", crossing_x(level).alias("x_from"))
-    )
-    along = Window.partitionBy("fid", "level").orderBy("x_from")
-    paired = crossings.withColumn("x_to", F.lead("x_from").over(along)).withColumn("nth", F.row_number().over(along))
-    return paired.where("nth % 2 = 1 AND x_from < x_to").drop("nth")
-
-
-def build_mask(px: DataFrame, sides: DataFrame, y: str = "lat") -> DataFrame:
-    """Spans on all grid lines that occur in ``px``, written once for reuse."""
-    levels = px.select(F.col(y).alias("level")).distinct()
-    return materialise(spans(levels, sides), "mask")
-
-
-def apply_mask(px: DataFrame, mask: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Rows whose point lies in any span; the mask's bounding box is also tested, which the scan can use."""
-    box = mask.agg(F.min("level"), F.max("level"), F.min("x_from"), F.max("x_to")).first()
-    if box[0] is None:
+def apply_mask(px: DataFrame, mask: Quadtree | None, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Rows whose point lies in any feature of the mask."""
+    if mask is None:
         return px.where(F.lit(False))
-    near = px.where(F.col(y).between(box[0], box[1]) & (F.col(x) >= box[2]) & (F.col(x) < box[3]))
-    held = (F.col(y) == F.col("level")) & (F.col(x) >= F.col("x_from")) & (F.col(x) < F.col("x_to"))
-    return near.join(mask.select("level", "x_from", "x_to"), held, "left_semi")
+    return Quadtree.where(_within(px, mask, x, y), [(mask, F.col(x), F.col(y), mask.holds)])
 
 
 def clip(px: DataFrame, sides: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """Pixels whose centre is inside any feature (even-odd rule, so holes are outside)."""
-    return apply_mask(px, build_mask(px, sides, y), x, y)
+    return apply_mask(px, build_mask(sides), x, y)
 
 
 def inside_features(points: DataFrame, sides: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """One row per point and feature that holds it."""
-    mask = build_mask(points, sides, y)
-    held = (F.col(y) == F.col("level")) & (F.col(x) >= F.col("x_from")) & (F.col(x) < F.col("x_to"))
-    return points.join(mask, held).drop("level", "x_from", "x_to")
-
-
-def _distance_squared(px: Column, py: Column) -> Column:
-    """Squared distance of a point from the side (x1, y1)-(x2, y2)."""
-    x1, y1 = F.col("x1"), F.col("y1")
-    dx, dy = F.col("x2") - x1, F.col("y2") - y1
-    length2 = dx * dx + dy * dy
-    along = F.coalesce(((px - x1) * dx + (py - y1) * dy) / F.nullif(length2, F.lit(0.0)), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    ex, ey = px - (x1 + t * dx), py - (y1 + t * dy)
-    return ex * ex + ey * ey
-
-
-def _tiled_sides(sides: DataFrame, distance: float, tile: float) -> DataFrame:
-    """Projected sides, repeated for every tile within ``distance``; long sides are tiled piece by piece."""
-    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    pieces = F.greatest(F.ceil(length / tile), F.lit(1))
-    cut = sides.withColumn("n", pieces).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-
-    def at(a: str, b: str, k: Column) -> Column:
-        return F.col(a) + (F.col(b) - F.col(a)) * k / F.col("n")
-
-    def tiles(a: str, b: str) -> Column:
-        start, stop = at(a, b, F.col("k")), at(a, b, F.col("k") + 1)
-        return _cover(F.least(start, stop) - distance, F.greatest(start, stop) + distance, tile)
-
-    return (
-        cut.withColumn("tx", F.explode(tiles("x1", "x2")))
-        .withColumn("ty", F.explode(tiles("y1", "y2")))
-        .select("x1", "y1", "x2", "y2", "tx", "ty")
-        .distinct()
-    )
+    mask = build_mask(sides)
+    if mask is None:
+        return points.where(F.lit(False)).withColumn("fid", F.lit(None).cast("long"))
+    return mask.with_features(_within(points, mask, x, y), x, y)
 
 
-def near_cells(cells: DataFrame, sides: DataFrame, distance: float, crs: Albers = EPSG_5070) -> DataFrame:
-    """Cells whose centre is within ``distance`` metres of a polygon side, measured on the projected plane."""
+def clip_buffer(px: DataFrame, sides: DataFrame, distance: float, crs: Albers = EPSG_5070) -> DataFrame:
+    """Pixels inside the polygon or within ``distance`` metres of a side, measured on the projected plane."""
     (ax, ay), (bx, by) = project(F.col("x1"), F.col("y1"), crs), project(F.col("x2"), F.col("y2"), crs)
-    flat = sides.select(ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
-    tile = max(4.0 * distance, 10_000.0)
+    inside = build_mask(sides)
+    near = quadtree.build_near(sides.select(ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2")), distance)
+    if inside is None or near is None:
+        return px.where(F.lit(False))
     x, y = project(F.col("lon"), F.col("lat"), crs)
-    placed = cells.withColumns({"_x": x, "_y": y}).withColumns(
-        {"tx": F.floor(F.col("_x") / tile), "ty": F.floor(F.col("_y") / tile)}
-    )
-    tiled = materialise(_tiled_sides(flat, distance, tile), "tiled-sides")
-    close = (
-        (placed["tx"] == tiled["tx"])
-        & (placed["ty"] == tiled["ty"])
-        & (_distance_squared(F.col("_x"), F.col("_y")) <= distance * distance)
-    )
-    return placed.join(tiled, close, "left_semi").drop("_x", "_y", "tx", "ty")
-
-
-def clip_buffer(px: DataFrame, sides: DataFrame, distance: float, crs: Albers = EPSG_5070) -> DataFrame:
-    """Pixels inside the polygon or within ``distance`` metres of it.
-
-    The test runs once per distinct place. Observations are matched by place and not by row and column, which datasets on
-    other grids use for other places.
-    """
-    cells = materialise(px.select("lon", "lat").distinct(), "cells")
-    inside = clip(cells, sides)
-    wanted = inside.unionByName(near_cells(cells, sides, distance, crs)).select("lon", "lat").distinct()
-    mask = materialise(wanted, "buffer-mask")
-    return px.join(mask, (px["lon"] == mask["lon"]) & (px["lat"] == mask["lat"]), "left_semi")
+    return Quadtree.where(px, [(inside, F.col("lon"), F.col("lat"), inside.holds), (near, x, y, quadtree.is_near(distance))])
 
 
 def _overlapping(scenes: DataFrame, box: Row) -> DataFrame:
@@ -165,43 +72,19 @@ def filter_bbox(scenes: DataFrame, sides: DataFrame) -> DataFrame:
     return _overlapping(scenes, total_bounds(sides).first())
 
 
-def _side_meets_box() -> Column:
-    """Separating-axis test of a side against the box (west, south, east, north)."""
-    x1, y1, x2, y2 = (F.col(name) for name in ("x1", "y1", "x2", "y2"))
-    west, south, east, north = (F.col(name) for name in ("west", "south", "east", "north"))
-    overlap = (
-        (F.least(x1, x2) <= east) & (F.greatest(x1, x2) >= west) & (F.least(y1, y2) <= north) & (F.greatest(y1, y2) >= south)
-    )
-
-    def turn(cx: Column, cy: Column) -> Column:
-        return (x2 - x1) * (cy - y1) - (y2 - y1) * (cx - x1)
-
-    corners = [turn(cx, cy) for cx in (west, east) for cy in (south, north)]
-    return overlap & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
-
-
-def filter_bounds(scenes: DataFrame, sides: DataFrame, tiles_across: int = 16) -> DataFrame:
+def filter_bounds(scenes: DataFrame, sides: DataFrame) -> DataFrame:
     """Scenes whose footprint intersects the features.
 
-    A box intersects a polygon if a side meets the box, or if no side does but a corner of the box is inside.
-    Each distinct footprint is tested once. Its part inside the features' bounding box and the sides meet through
-    the tiles they share, at most about ``tiles_across`` squared per footprint.
+    A box intersects a polygon if a side meets the box, or if no side does but a corner of the box is inside. Each distinct
+    footprint is tested once; boxes and sides of any size meet through the tiles they share.
     """
     corners = ["west", "south", "east", "north"]
-    box = total_bounds(sides).first()
-    near = _overlapping(scenes, box)
-    if box.west is None:
-        return near
+    mask = build_mask(sides)
+    if mask is None:
+        return scenes.where(F.lit(False))
+    near = _overlapping(scenes, total_bounds(sides).first())
     boxes = materialise(near.select(*corners).distinct(), "footprints")
-    tile = max(box.east - box.west, box.north - box.south, 1e-9) / tiles_across
-    strips = sides.withColumn("tx", F.explode(_cover(F.least("x1", "x2"), F.greatest("x1", "x2"), tile))).withColumn(
-        "ty", F.explode(_cover(F.least("y1", "y2"), F.greatest("y1", "y2"), tile))
-    )
-    across = _cover(F.greatest("west", F.lit(box.west)), F.least("east", F.lit(box.east)), tile)
-    along = _cover(F.greatest("south", F.lit(box.south)), F.least("north", F.lit(box.north)), tile)
-    tiled = boxes.withColumn("tx", F.explode(across)).withColumn("ty", F.explode(along))
-    meets = (tiled["tx"] == strips["tx"]) & (tiled["ty"] == strips["ty"]) & _side_meets_box()
-    touched = tiled.join(strips, meets, "left_semi").select(*corners)
-    cornered = clip(boxes, sides, "west", "south").select(*corners)
+    touched = quadtree.boxes_that_meet(boxes, mask)
+    cornered = apply_mask(boxes, mask, "west", "south").select(*corners)
     found = materialise(touched.unionByName(cornered).distinct(), "footprints-found")
     return near.join(found, corners, "left_semi")

@@ -123,7 +123,7 @@ def cells_in_features(inputs: Inputs) -> DataFrame:
     SELECT dataset_id, p.row, p.col, avg(band_b) AS band_b
     FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col WHERE {IN_PERIOD} GROUP BY ALL""")
 def reclip_composite(inputs: Inputs) -> DataFrame:
-    mask = clip.build_mask(inputs.px_obs, inputs.aoi)
+    mask = clip.build_mask(inputs.aoi)
     keys = ("dataset_id", "row", "col", "lon", "lat")
     clipped = clip.apply_mask(inputs.px_obs, mask)
     means = composites.period_mean(clipped, START, END, ["band_b"], keys)
@@ -246,22 +246,22 @@ PX_PLAN_SQL = """
              (VALUES (0), (1)) AS parts(part) WHERE parts.part <= d.last_part)"""
 
 
-def px_catalog(inputs: Inputs, wider: int) -> DataFrame:
-    """Catalog of the datasets in the pixel view; ``wider`` years before the first and after the last."""
-    spans = inputs.px_obs.groupBy("dataset_id").agg(
+def px_catalog(px: DataFrame, wider: int, scale: int = 1000) -> DataFrame:
+    """Catalog of the datasets of some pixels; ``wider`` years before the first and after the last."""
+    spans = px.groupBy("dataset_id").agg(
         F.max("part").alias("last"), F.min(F.year("ts")).alias("y0"), F.max(F.year("ts")).alias("y1")
     )
     assets = F.transform(F.sequence(F.lit(0).cast("bigint"), "last"), lambda i: F.concat(F.lit("asset/"), i.cast("string")))
     kind = F.when(F.col("last") > 0, "collection_group").otherwise("collection")
     return spans.select(
-        "dataset_id", F.lit("MULTI").alias("vars"), assets.alias("assets"), F.lit(1000).alias("scale"), kind.alias("kind"),
+        "dataset_id", F.lit("MULTI").alias("vars"), assets.alias("assets"), F.lit(scale).alias("scale"), kind.alias("kind"),
         F.concat((F.col("y0") - wider).cast("string"), F.lit("-06-01")).alias("start"),
         F.concat((F.col("y1") + wider).cast("string"), F.lit("-06-30")).alias("end"),
     )
 
 
 def px_plan(inputs: Inputs) -> DataFrame:
-    plan = chunks.named_chunks(chunks.year_chunks(px_catalog(inputs, wider=1)))
+    plan = chunks.named_chunks(chunks.year_chunks(px_catalog(inputs.px_obs, wider=1)))
     return plan.withColumn("part", F.col("part").cast("bigint"))
 
 
@@ -285,7 +285,7 @@ def plan_chunk_join(inputs: Inputs) -> DataFrame:
     FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col
         JOIN periods d ON p.dataset_id = d.dataset_id AND ts >= t0 AND ts < t1 GROUP BY ALL""")
 def planned_composite(inputs: Inputs) -> DataFrame:
-    return composite.named_composite(inputs.px_obs, px_catalog(inputs, wider=0), inputs.aoi)
+    return composite.named_composite(inputs.px_obs, px_catalog(inputs.px_obs, wider=0), inputs.aoi)
 
 
 @query("days_since_epoch", """

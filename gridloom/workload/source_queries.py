@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.attrs import coordinate_attrs, global_attrs
-from gridloom.functions.names import output_name
 from gridloom.functions.paths import url_path
 from gridloom.functions.status import format_iso, parse_iso
-from gridloom.operators.clip import clip
-from gridloom.operators.composites import to_grid, yearly_median
+from gridloom.operators.composites import to_grid
 from gridloom.operators.quality import qc_stats, qc_stats_wide
 from gridloom.shared import fresh_path
 from gridloom.sources import boundary, catalog, payloads, pixels, registry, sinks
@@ -187,29 +185,6 @@ def iso_timestamps(inputs: Inputs) -> DataFrame:
     return texts.withColumn("parsed", naive(parse_iso(F.col("iso"))))
 
 
-@query("export_listing", f"""WITH {INSIDE_AOI},
-    composite AS (SELECT dataset_id, part, CAST(year(ts) AS INT) AS year, p.row, p.col, median(band_b) AS band_b
-        FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col GROUP BY ALL)
-    SELECT dataset_id, part, year, count(*) AS n_px, sum(band_b) AS total,
-           'OG_' || dataset_id || '_MULTI' || CASE WHEN dataset_id = '01b' THEN '_part' || CAST(part + 1 AS VARCHAR) ELSE '' END
-           || '_' || CAST(year AS VARCHAR) || '-01-01_'
-           || CAST(year AS VARCHAR) || '-12-31_1000m' AS out_name
-    FROM composite GROUP BY dataset_id, part, year""")
-def export_listing(inputs: Inputs) -> DataFrame:
-    composite = yearly_median(clip(inputs.px_obs, inputs.aoi), ["band_b"])
-    year = F.col("year").cast("string")
-    name = output_name(
-        F.col("dataset_id"), F.lit("MULTI"), F.col("part"), F.when(F.col("dataset_id") == "01b", 2).otherwise(1),
-        F.concat(year, F.lit("-01-01")), F.concat(year, F.lit("-12-31")), F.lit(1000),
-    )
-    path = fresh_path(inputs.spark, "composite")
-    pixels.write_composite(composite.withColumn("out_name", name), path)
-    stored = pixels.read_partitioned(inputs.spark, path)
-    return stored.groupBy("dataset_id", "part", "year", "out_name").agg(
-        F.count("*").alias("n_px"), F.sum("band_b").alias("total")
-    )
-
-
 @query("payload_dispatch", r"""
     WITH paths AS (SELECT page_id, url, strlen(html) AS length,
             regexp_replace(regexp_extract(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '^[^?#]*'),

@@ -45,6 +45,25 @@ VIEWS: dict[str, str] = {
                CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN NULL ELSE l_quantity END AS band_a,
                round(l_extendedprice * 100) AS band_b, l_linenumber AS qa
         FROM {lineitem}""",
+    "px_two": """
+        SELECT CASE WHEN wide THEN l_partkey % 40 ELSE l_partkey % 50 END AS col,
+               CASE WHEN wide THEN CAST(floor(l_partkey / 40) AS BIGINT) % 40 ELSE CAST(floor(l_partkey / 50) AS BIGINT) % 50 END AS row,
+               CASE WHEN wide THEN CAST(-105.87 AS DOUBLE) + (l_partkey % 40) * CAST(0.25 AS DOUBLE)
+                    ELSE CAST(-105.9 AS DOUBLE) + (l_partkey % 50) * CAST(0.2 AS DOUBLE) END AS lon,
+               CASE WHEN wide THEN CAST(31.83 AS DOUBLE) + (CAST(floor(l_partkey / 40) AS BIGINT) % 40) * CAST(0.3 AS DOUBLE)
+                    ELSE CAST(31.8 AS DOUBLE) + (CAST(floor(l_partkey / 50) AS BIGINT) % 50) * CAST(0.24 AS DOUBLE) END AS lat,
+               CASE l_suppkey % 4 WHEN 0 THEN '01a' WHEN 1 THEN '01b' WHEN 2 THEN '01e' ELSE '01g' END AS dataset_id,
+               CASE WHEN l_suppkey % 4 = 1 THEN l_orderkey % 2 ELSE 0 END AS part,
+               l_orderkey AS scene_id, l_shipdate AS ts, l_quantity AS band_a, round(l_extendedprice * 100) AS band_b
+        FROM (SELECT *, l_suppkey % 4 >= 2 AS wide FROM {lineitem}) AS l""",
+    "grids": """
+        SELECT dataset_id, crs, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy
+        FROM (VALUES ('01a', 'EPSG:4326', -106, 31.68, 0.2, 0.24), ('01b', 'EPSG:4326', -106, 31.68, 0.2, 0.24),
+                     ('01e', 'EPSG:4326', -105.995, 31.68, 0.25, 0.3), ('01g', 'EPSG:4326', -105.995, 31.68, 0.25, 0.3)
+             ) AS g(dataset_id, crs, x0, y0, dx, dy)""",
+    "grid_scales": """
+        SELECT dataset_id, CAST(scale AS INT) AS scale
+        FROM (VALUES ('01a', 20000), ('01e', 20000), ('01x', 10)) AS s(dataset_id, scale)""",
     "px_raw": """
         SELECT l_partkey % 50 AS col, l_orderkey AS scene_id,
                CASE WHEN l_linenumber = 7 THEN CAST('NaN' AS DOUBLE)

@@ -1,0 +1,90 @@
+"""Export of composites to master grids: several native grids, reference systems and scales."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.functions.projection import project, unproject
+from gridloom.operators import regrid
+from gridloom.operators.clip import build_mask
+from gridloom.plans import composite
+
+SIDES = [(0, 0, -100.0, 38.0, -98.0, 38.0), (0, 0, -98.0, 38.0, -98.5, 39.5), (0, 0, -98.5, 39.5, -100.0, 38.0)]
+GRIDS = [("a", "EPSG:4326", -101.0, 37.0, 0.5, 0.25, 7_000), ("b", "EPSG:5070", -500_000.0, 1_500_000.0, 30_000.0, 20_000.0, 11_000)]
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    return spark.createDataFrame(SIDES, "fid long, ring int, x1 double, y1 double, x2 double, y2 double")
+
+
+@pytest.fixture(scope="module")
+def grids(spark):
+    return spark.createDataFrame(GRIDS, f"{regrid.GRIDS}, scale int")
+
+
+def test_every_target_cell_takes_the_source_pixel_that_holds_it(spark, sides, grids):
+    mask = build_mask(sides)
+    whole = regrid.source_index(grids, sides, mask).collect()
+    assert sorted(map(repr, whole)) == sorted(map(repr, regrid.source_index(grids, sides, mask, block=3).collect()))
+    told = {g[0]: g for g in GRIDS}
+    lon, lat = unproject(F.col("x"), F.col("y"))
+    flat = spark.createDataFrame([(r["dataset_id"], r["x"], r["y"], r["row"], r["col"]) for r in whole], "d string, x double, y double, r long, c long")
+    for r in flat.withColumns({"lon": lon, "lat": lat}).collect():
+        _, crs, x0, y0, dx, dy, scale = told[r["d"]]
+        u, v = (r["lon"], r["lat"]) if crs == "EPSG:4326" else (r["x"], r["y"])
+        assert x0 + r["c"] * dx <= u < x0 + (r["c"] + 1) * dx and y0 + r["r"] * dy <= v < y0 + (r["r"] + 1) * dy
+        assert (r["x"] / scale - 0.5) % 1 == pytest.approx(0) and sum(
+            (y1 > r["lat"]) != (y2 > r["lat"]) and r["lon"] < (x2 - x1) * (r["lat"] - y1) / (y2 - y1) + x1 for _, _, x1, y1, x2, y2 in SIDES
+        ) % 2 == 1
+    cells = {d: sum(r["dataset_id"] == d for r in whole) for d in told}
+    assert cells["a"] > 2 * cells["b"] > 100
+
+
+def test_an_unknown_reference_system_is_an_error(spark, sides, grids):
+    with pytest.raises(Exception, match="unknown reference system EPSG:1"):
+        regrid.source_index(grids.withColumn("crs", F.lit("EPSG:1")), sides, build_mask(sides)).collect()
+
+
+def _observations(spark):
+    """Pixels of both datasets around the triangle, each on its own grid, values told by place."""
+    a = spark.range(16 * 12).select(F.lit("a").alias("dataset_id"), (F.col("id") % 12).alias("col"), F.floor(F.col("id") / 12).alias("row"))
+    a = a.withColumns({"lon": -100.75 + F.col("col") * 0.5, "lat": 37.125 + F.col("row") * 0.25})
+    b = spark.range(40 * 40).select(F.lit("b").alias("dataset_id"), (F.col("id") % 40).alias("col"), F.floor(F.col("id") / 40).alias("row"))
+    lon, lat = unproject(F.lit(-485_000.0) + F.col("col") * 30_000.0, F.lit(1_510_000.0) + F.col("row") * 20_000.0)
+    px = a.unionByName(b.withColumns({"lon": lon, "lat": lat}))
+    px = px.withColumns({"part": F.lit(0).cast("long"), "scene_id": F.lit(1).cast("long"), "ts": F.lit("2001-05-06").cast("timestamp_ntz")})
+    return px.withColumn("v", (F.col("row") * 100 + F.col("col")).cast("double"))
+
+
+CATALOG = "dataset_id string, vars string, assets array<string>, scale int, kind string, start string, end string"
+
+
+def test_export_stores_cells_and_empty_chunks(spark, sides, grids, tmp_path):
+    records = [("a", "v", ["x"], 7_000, "collection", "2000-06-01", "2002-06-30"), ("b", "v", ["x"], 11_000, "collection", "2001-01-01", "2001-12-31")]
+    catalog = spark.createDataFrame(records, CATALOG)
+    path = str(tmp_path / "out")
+    composite.export(_observations(spark), catalog, grids.drop("scale"), sides, path)
+    cells, chunks = composite.read_export(spark, path)
+    counts = {(r["dataset_id"], r["year"]): (r["n_px"], r["out_name"]) for r in chunks.collect()}
+    assert {k: bool(n) for k, (n, _) in counts.items()} == {("a", 2000): False, ("a", 2001): True, ("a", 2002): False, ("b", 2001): True}
+    assert counts["a", 2000][1] == "OG_a_v_2000-01-01_2000-12-31_7000m" and counts["b", 2001][1].endswith("_11000m")
+    index = {(r["dataset_id"], r["grid_row"], r["grid_col"]): r["row"] * 100 + r["col"] for r in regrid.source_index(grids, sides, build_mask(sides)).collect()}
+    got = {(r["dataset_id"], r["grid_row"], r["grid_col"]): r["v"] for r in cells.collect()}
+    assert len(got) == cells.count() == sum(n for n, _ in counts.values())
+    assert got and all(index[k] == v for k, v in got.items())
+    # A target cell is absent only where the composite has no pixel: its source pixel's own centre is outside.
+    x, y = project(F.col("lon"), F.col("lat"))
+    assert _observations(spark).withColumns({"x": x, "y": y}).count() and len(index) > len(got)
+
+
+def test_a_dataset_without_a_grid_is_an_error(spark, sides, grids, tmp_path):
+    catalog = spark.createDataFrame([("c", "v", ["x"], 1000, "collection", "2001-01-01", "2001-12-31")], CATALOG)
+    with pytest.raises(Exception, match="no native grid for c"):
+        composite.export(_observations(spark), catalog, grids.drop("scale"), sides, str(tmp_path / "out"))
+
+
+def test_export_of_nothing(spark, sides, grids, tmp_path):
+    catalog = spark.createDataFrame([("a", "v", ["x"], 1000, "collection", "2001-01-01", "2001-12-31")], CATALOG)
+    composite.export(_observations(spark).limit(0), catalog, grids.drop("scale"), sides, str(tmp_path / "out"))
+    _, chunks = composite.read_export(spark, str(tmp_path / "out"))
+    assert [(r["year"], r["n_px"]) for r in chunks.collect()] == [(2001, 0)]
