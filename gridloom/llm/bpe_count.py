@@ -18,10 +18,13 @@ from gridloom.llm.batches import text_slices
 
 #: The mark that stands for a space in the vocabulary.
 SPACE = "▁"
-#: Word counts a worker remembers; it starts anew beyond that.
-REMEMBERED = 1_400_000
+#: Word counts a worker remembers, of words of at most ``SHORT`` characters (some 200 bytes each); it starts anew beyond that.
+REMEMBERED, SHORT = 1_400_000, 40
+#: Characters of a text that is split at once.
+TILE = 1 << 18
 
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_EDGE = re.compile(f"[^ {SPACE}](?=[ {SPACE}])")
 
 
 class Counter(dict):
@@ -80,18 +83,29 @@ class Counter(dict):
         return count
 
     def __missing__(self, word: str) -> int:
-        self[word] = count = self.merged(SPACE + word)
+        count = self.merged(SPACE + word)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = count
         return count
 
     def count(self, text: str) -> int:
         """Tokens of a whole text; one space goes before it, as the library adds it."""
         if not text:
             return 0
-        if len(self) > REMEMBERED:
-            self.clear()
-        if "  " in text or text[0] == " " or SPACE in text:
-            return sum(self.merged(run) for run in _RUN.findall(SPACE + text.replace(" ", SPACE)))
-        return sum(map(self.__getitem__, text.split(" ")))
+        count, first = 0, 0
+        while first < len(text):
+            # A tile ends where a run of spaces begins, so merges, which never cross into one, stay inside.
+            end = _EDGE.search(text, first + TILE) if len(text) > first + 2 * TILE else None
+            last = end.start() + 1 if end else len(text)
+            marked = ("" if first else SPACE) + text[first:last].replace(" ", SPACE)
+            if marked[0] == SPACE and SPACE + SPACE not in marked:
+                count += sum(map(self.__getitem__, marked[1:].split(SPACE)))
+            else:
+                count += sum(map(self.merged, _RUN.findall(marked)))
+            first = last
+        return count
 
 
 _counters: dict[str, Counter] = {}

@@ -100,9 +100,11 @@ def _finer(length: int, width: int):
         for batch in text_slices(batches, "text"):
             for row in range(batch.num_rows):
                 data, _ = byte_parts(batch.column("text").slice(row, 1))
-                spans = SpanHash(data)
                 for run in batch.column("runs")[row].as_py():
-                    p, low = run["s"] + run["o"], run["o"] - run["n"] + 1
+                    # Places from here on are those in the run's own bytes, which are two windows at most.
+                    spans = SpanHash(data[run["s"] : run["s"] + run["n"] + length - 1])
+                    at, run["s"] = run["s"], 0
+                    p, low = run["o"], run["o"] - run["n"] + 1
                     cut = np.arange(low // width, run["o"] // width + 1)
                     first = np.maximum(run["s"], p - (cut * width + width - 1))
                     last = np.minimum(run["s"] + run["n"] - 1, p - cut * width)
@@ -110,7 +112,7 @@ def _finer(length: int, width: int):
                     h = mix(np.array([run["h"]], np.int64).view(np.uint64) ^ mix(cut.astype(np.uint64) + U64(width << 16))) ^ shared
                     k = spans(first, last + length)
                     times = len(cut)
-                    columns = [pa.array(x.astype(np.int64)) for x in (first, last - first + 1, p - first)] + [pa.array(mix(h).view(np.int64)), pa.array(k.view(np.int64))]
+                    columns = [pa.array(x.astype(np.int64)) for x in (first + at, last - first + 1, p - first)] + [pa.array(mix(h).view(np.int64)), pa.array(k.view(np.int64))]
                     same = [batch.column(c).slice(row, 1).take(pa.array(np.zeros(times, np.int64))) for c in ("doc_id", "tx")]
                     yield pa.RecordBatch.from_arrays([*same, *columns], ["doc_id", "tx", "s", "n", "o", "h", "k"])
 
@@ -219,11 +221,9 @@ def _cut(carried: list[str]):
             out = []
             for row, spans in enumerate(batch.column("runs").to_pylist()):
                 text = data[bounds[row] : bounds[row + 1]]
-                steps = np.zeros(len(text) + 1, np.int64)
+                gone = np.zeros(len(text), bool)
                 for span in spans or ():
-                    steps[span["first"]] += 1
-                    steps[span["end"]] -= 1
-                gone = np.cumsum(steps[:-1]) > 0
+                    gone[span["first"] : span["end"]] = True
                 kept = text[~gone].tobytes()
                 starts = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(text), int(gone.sum()), starts, hashlib.sha256(kept).hexdigest(), kept, kept.decode(errors="ignore")))

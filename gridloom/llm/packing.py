@@ -119,8 +119,8 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int, window: int = 4096, lo
     ``docs(doc_id, text)`` is encoded whole, ``end_id`` closes each document, so a NULL or empty text is one piece of one
     id; other columns are ignored, and repeated rows are packed as often as they come. ``ids`` holds little-endian
     unsigned 32-bit ids; ``start`` counts the document's ids before the piece, ``offset`` those of the sequence. Each
-    sequence has at most ``window`` ids; the caller pads. An empty table gives no pieces. ``remember`` bounds the words whose
-    ids a worker keeps; it changes speed and memory only.
+    sequence has at most ``window`` ids; the caller pads. An empty table gives no pieces. ``remember`` bounds the bytes of words
+    and ids that a worker keeps; it changes speed and memory only.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(_packed(vocabulary, end_id, window, lot, remember), PIECES)

@@ -51,7 +51,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = column_bwt.without_repeats(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 def op6_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ WITH rows_ AS (
     SELECT doc_id, coalesce(lang, '{m.missing}') AS lang, coalesce(source, '{m.missing}') AS source,
         CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'other'
             ELSE 'domain' || (CAST(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) END AS domain,
-        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens, md5(coalesce(text, '')) AS tx
     FROM {table}),
 leaves AS (
     SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {m.max_epochs} AS c, {_case("source")} AS w
@@ -142,10 +142,10 @@ plan AS (SELECT domain, lang, source, q AS quota, CASE WHEN tokens > 0 THEN q //
         CASE WHEN tokens > 0 THEN q % tokens ELSE 0 END AS rest
     FROM {_deal("leaves_in", "domain, lang", "source")}),
 placed AS (SELECT r.*, p.*EXCLUDE (domain, lang, source),
-        md5('{m.seed}:' || (epochs + 1) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+        md5('{m.seed}:' || (epochs + 1) || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || tx) AS place
     FROM rows_ r JOIN plan p USING (domain, lang, source)),
-line AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE UNBOUNDED PRECEDING)
-        - sum(n_tokens) OVER (PARTITION BY domain, lang, source, place) AS begins FROM placed WHERE rest > 0)
+line AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place ROWS UNBOUNDED PRECEDING) - n_tokens AS begins
+    FROM placed WHERE rest > 0)
 SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens,
     CAST(n_taken AS BIGINT) AS n_taken, CAST(quota AS BIGINT) AS quota
 FROM (SELECT doc_id, domain, lang, source, unnest(range(1, CAST(epochs AS BIGINT) + 1)) AS epoch, n_tokens, n_tokens AS n_taken, quota

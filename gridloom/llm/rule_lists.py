@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.batches import byte_parts, longs, text_slices
-from gridloom.llm.words import SEPARATOR, U64, SpanHash, mix, window_hashes, word_spans
+from gridloom.llm.words import SEPARATOR, U64, mix, span_hashes, window_hashes, word_spans
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_bars", "n_digits"]
 
@@ -33,6 +33,8 @@ DIGIT[ord("0") : ord("9") + 1] = True
 
 
 def _between(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    if len(bounds) == 2:
+        return np.array([np.count_nonzero(flags)], np.int64)
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
     return sums[bounds[1:]] - sums[bounds[:-1]]
@@ -58,7 +60,7 @@ def _repeated_words(words: np.ndarray, word_bounds: np.ndarray, size: int = 5) -
     return _between(np.cumsum(steps[:-1]) > 0, word_bounds)
 
 
-def _repeated_lines(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, spans: SpanHash) -> tuple[np.ndarray, np.ndarray]:
+def _repeated_lines(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines of each text, and those with a word that equal an earlier line of it."""
     texts = len(bounds) - 1
     breaks = np.flatnonzero(data == 0x0A)
@@ -71,7 +73,7 @@ def _repeated_lines(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, sp
     end = np.where(last, bounds[text_of + 1], np.concatenate([begin[1:] - 1, [0]])[: len(begin)])
     worded = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end, owner = begin[worded], end[worded], text_of[worded]
-    keyed = spans(begin, end) + mix(owner.astype(np.uint64) + U64(1))
+    keyed = span_hashes(data, begin, end) + mix(owner.astype(np.uint64) + U64(1))
     distinct = np.bincount(owner[np.unique(keyed, return_index=True)[1]], minlength=texts)
     return np.bincount(text_of, minlength=texts), np.bincount(owner, minlength=texts) - distinct
 
@@ -83,13 +85,13 @@ def _counts(carried: list[str]):
         for batch in text_slices(batches, "text"):
             data, bounds = byte_parts(batch.column("text"))
             starts, ends, word_bounds = word_spans(data, bounds)
-            spans = SpanHash(data)
-            words = spans(starts, ends)
-            lines, dup_lines = _repeated_lines(data, bounds, starts, spans)
+            lines, dup_lines = _repeated_lines(data, bounds, starts)
+            repeated = _repeated_words(span_hashes(data, starts, ends), word_bounds)
+            del starts, ends
             letters = ~SEPARATOR[data] & ((data & 0xC0) != 0x80)
             columns = [
                 np.diff(word_bounds), _between(letters, bounds), _between(SYMBOL[data], bounds), dup_lines,
-                _repeated_words(words, word_bounds), lines, *[_between(kind[data], bounds) for kind in (UPPER, MARK, BAR, DIGIT)],
+                repeated, lines, *[_between(kind[data], bounds) for kind in (UPPER, MARK, BAR, DIGIT)],
             ]
             kept = [batch.column(c) for c in carried]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c.astype(np.int64)) for c in columns]], [*carried, *COUNTS])

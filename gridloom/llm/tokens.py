@@ -11,9 +11,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 
-#: Cuts a worker remembers unless told otherwise (some 200 bytes each); it starts anew beyond that.
-REMEMBERED = 1_400_000
+#: Bytes of cuts and their ids that a worker remembers unless told otherwise; it starts anew beyond that.
+REMEMBERED = 280 << 20
+#: Characters of a cut that is remembered; longer ones rarely come again.
+SHORT = 40
+#: Characters of a text that is cut at once.
+TILE = 1 << 18
 
 #: White space for one engine only, and characters that join or vanish in normal forms across a cut.
 _UNSAFE = "\x1c-\x1f\x85\u180e\u200b\u2060\ufeff"
@@ -22,6 +27,7 @@ _RARE = re.compile(f"[{_UNSAFE}\t\r\x0b\x0c\xa0\u1680\u2000-\u200a\u2028\u2029\u
 _UNSAFE = re.compile(f"[{_UNSAFE}]")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CUT = re.compile(r"\s*\S+|\s+")
+_BREAK = re.compile(r"\S(?=\s)")
 #: A word after a space, and what closes it.
 _WORD = re.compile(rf"([{_LETTERS}]+)([,.!?]*(?:\n\S+)?)\Z")
 
@@ -43,7 +49,7 @@ class Encoder(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        self.room = REMEMBERED
+        self.room, self.used = REMEMBERED, 0
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,12 +79,28 @@ class Encoder(dict):
             found = self._merged(cut)
         else:
             found = self[parts[1]] + self["\0" + parts[2]]
-        self[cut] = found
+        if len(cut) <= SHORT:
+            # A dictionary's own share of an entry is some hundred bytes.
+            self.used += sys.getsizeof(cut) + sys.getsizeof(found) + 100
+            if self.used > self.room:
+                self.clear()
+                self.used = 0
+            self[cut] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        if len(self) > self.room:
-            self.clear()
+        """Ids of ``text``; a long one is encoded in tiles that end before white space."""
+        if len(text) <= 2 * TILE or _UNSAFE.search(text) or "\0" in text:
+            return self._encode(text)
+        parts, first = [], 0
+        while first < len(text):
+            end = _BREAK.search(text, first + TILE)
+            last = end.start() + 1 if end else len(text)
+            parts.append(self._encode(text[first:last]))
+            first = last
+        return b"".join(parts)
+
+    def _encode(self, text: str) -> bytes:
         if _RARE.search(text) or "\0" in text:
             if _UNSAFE.search(text) or "\0" in text:
                 return self.whole(text)
@@ -94,7 +116,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str, remember: int = REMEMBERED) -> Encoder:
-    """The worker's encoder for a vocabulary file, remembering up to ``remember`` cuts from now on."""
+    """The worker's encoder for a vocabulary file, remembering up to ``remember`` bytes from now on."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     _encoders[path].room = remember

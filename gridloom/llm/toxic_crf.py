@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ from gridloom.llm.batches import text_slices
 from gridloom.shared import materialise
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words a worker remembers; it starts anew beyond that.
-REMEMBERED = 1_000_000
+#: Words a worker remembers, of at most ``SHORT`` characters each; it starts anew beyond that.
+REMEMBERED, SHORT = 600_000, 32
 #: Toxic documents that must hold a feature, for a cue.
 SUPPORT = 8
 #: Words on each side of a labelled one in training.
@@ -75,7 +76,11 @@ class Tagger(dict):
         self.powers: dict[int, np.ndarray] = {}
 
     def __missing__(self, word: str) -> float | None:
-        self[word] = found = self.chain.emission(word)
+        found = self.chain.emission(word)
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
     def _over(self, n: int) -> np.ndarray:
@@ -95,8 +100,6 @@ class Tagger(dict):
 
     def marginals(self, text: str) -> list[tuple[int, float]]:
         """(word number, probability of the toxic state) of each word with a cue."""
-        if len(self) > REMEMBERED:
-            self.clear()
         words = _WORD.findall(text)
         emissions = list(map(self.__getitem__, words))
         at = [k for k, e in enumerate(emissions) if e is not None]
@@ -162,8 +165,12 @@ def _cue_counts(batches):
         yield out()
 
 
-def _windows(cues: frozenset[str], sure: frozenset[str]):
-    """Windows of words around cues, and one elsewhere, with the words' labels."""
+def _windows(cues: frozenset[str], sure: frozenset[str], per_text: int):
+    """Task function: a window of words around one occurrence of each different cue word of a text, and one elsewhere.
+
+    Which occurrence it is follows from hashes, so windows lie anywhere in a text. ``picked`` marks ``per_text`` of a text's
+    windows; ``cues`` are those of the word in the middle.
+    """
 
     def work(batches):
         for batch in batches:
@@ -172,16 +179,37 @@ def _windows(cues: frozenset[str], sure: frozenset[str]):
                 words = _WORD.findall(text or "")
                 if not words:
                     continue
-                hit = [k for k, w in enumerate(words) if any(f in cues for f in features(w))]
-                for k in [*hit[:4], len(words) // 2]:
+                held = {w: [f for f in features(w) if f in cues] for w in set(words)}
+                seed = zlib.crc32(text.encode())
+                best: dict[str, tuple[int, int]] = {}
+                for k, w in enumerate(words):
+                    if held[w]:
+                        low = w.lower()
+                        best[low] = min(best.get(low, (1 << 32, 0)), (zlib.crc32(f"{seed}:{k}".encode()), k))
+                # Words with a sure cue come first, in toxic texts and others alike.
+                line = sorted((not any(f in sure for f in held[words[k]]), h, k) for h, k in best.values())
+                line = [(h, k, True) for _, h, k in line]
+                for n, (h, k, of_cue) in enumerate([*line, (0, len(words) // 2, False)]):
                     part = words[max(0, k - CONTEXT) : k + CONTEXT + 1]
-                    rows.append((part, [int(bool(label) and any(f in sure for f in features(w))) for w in part]))
+                    labels = [int(bool(label) and any(f in sure for f in features(w))) for w in part]
+                    rows.append((part, labels, h, held[words[k]] if of_cue else [], n < per_text or not of_cue))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["words", "labels"])
+                kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.list_(pa.string()), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["words", "labels", "h", "cues", "picked"])
 
     return work
 
 
+def training_windows(texts: DataFrame, cues: frozenset[str], sure: frozenset[str], per_text: int = 4) -> list[tuple[list[str], list[int]]]:
+    """Windows the chain is trained on: ``per_text`` around cues and one elsewhere of each text, and one of every cue."""
+    found = texts.mapInArrow(_windows(cues, sure, per_text), "words array<string>, labels array<int>, h long, cues array<string>, picked boolean")
+    found = materialise(found, "toxic-windows")
+    window = F.struct("words", "labels").alias("window")
+    each = found.select(F.explode("cues").alias("cue"), "h", window).groupBy("cue").agg(F.min_by("window", F.struct("h", "window")).alias("window"))
+    chosen = found.where("picked").select(window).unionByName(each.select("window"))
+    return sorted((r["words"], r["labels"]) for r in chosen.select("window.*").collect())
+
+
 def train_chain(windows: list[tuple[list[str], list[int]]], cues: list[str], sure: frozenset[str], steps: int = 120, ridge: float = 1e-3) -> Chain:
     """Maximum conditional likelihood of the labelled windows, by Adam on the whole of them."""
     number = {c: k for k, c in enumerate(cues)}
@@ -259,11 +287,12 @@ def _summary(tagger: Tagger, text: str) -> tuple[float, float]:
     return (max(marginals), sum(marginals)) if marginals else (0.0, 0.0)
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, label: str = "toxic") -> Chain | None:
+def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, label: str = "toxic", per_text: int = 4) -> Chain | None:
     """Chain learned from at most ``sample_rows`` labelled documents that are not held out; None if they show one class.
 
     The bound concerns the fitted rows only, and they are the same in every run: the lowest hashes of ids. Whole texts are
-    read in tasks; what reaches the driver are feature counts over a threshold, and up to five windows per text.
+    read in tasks; what reaches the driver are feature counts over a threshold, and of the windows around cues in whole texts
+    ``per_text`` of each text, one more elsewhere in it, and one of each cue.
     """
     known = labels.where(f"doc_id is not null and {label} is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
@@ -283,8 +312,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, lab
     cues = [f for f, *_ in found]
     if not sure:
         return None
-    windows = [(r["words"], r["labels"]) for r in texts.mapInArrow(_windows(frozenset(cues), sure), "words array<string>, labels array<int>").collect()]
-    chain = train_chain(sorted(windows), cues, sure)
+    chain = train_chain(training_windows(texts, frozenset(cues), sure, per_text), cues, sure)
 
     def summaries(batches):
         tagger = Tagger(chain)
@@ -300,9 +328,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, lab
 def scored(docs: DataFrame, chain: Chain | None) -> DataFrame:
     """``doc_id, held_out, score, predicted, highest, spans`` of every whole text of ``docs(doc_id, text)``.
 
-    ``spans`` are the character spans of toxic words. A NULL or empty text has no marginals and takes the lowest score, as
-    has every text without a chain (a score of 0). Repeated rows are scored as often as they come; other columns are
-    ignored; an empty table gives an empty result.
+    ``spans`` are the character spans of words more likely toxic than not, of the likeliest one where a toxic text has
+    none. A NULL or empty text has no marginals and takes the lowest score, as has every text without a chain (a score of
+    0). Repeated rows are scored as often as they come; other columns are ignored; an empty table gives an empty result.
     """
 
     def work(batches):
@@ -311,7 +339,7 @@ def scored(docs: DataFrame, chain: Chain | None) -> DataFrame:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             pairs = [_summary(tagger, t) if chain else (0.0, 0.0) for t in texts]
             scores = [chain.score(*p) if chain else 0.0 for p in pairs]
-            spans = [[{"first": a, "end": b} for a, b in tagger.spans(t)] if p[0] >= 0.5 else [] for t, p in zip(texts, pairs)]
+            spans = [[{"first": a, "end": b} for a, b in tagger.spans(t, min(0.5, p[0]))] if p[0] >= 0.5 or s >= 0.5 and p[0] else [] for t, p, s in zip(texts, pairs, scores)]
             kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([p[0] for p in pairs], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "highest", "spans"])
 

@@ -18,6 +18,9 @@ _WINDOW = _random.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes hashed together; prefix sums take some thirty times as much.
+TILE = 1 << 20
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -52,6 +55,35 @@ class SpanHash:
             return mix(raw + (end - start).astype(np.uint64) * U64(0xD1B54A32D192ED03))
 
 
+def _long_hash(data: np.ndarray) -> np.ndarray:
+    """``SpanHash`` of all of ``data`` in tiles, for a span that is long itself."""
+    power, _ = _power_tables(TILE + 1)
+    total, factor = 0, 1
+    for first in range(0, len(data), TILE):
+        part = BYTE_VALUE[data[first : first + TILE]] * power[: min(TILE, len(data) - first)]
+        total = (total + int(part.sum(dtype=np.uint64)) * factor) % (1 << 64)
+        factor = factor * pow(BASE, TILE, 1 << 64) % (1 << 64)
+    with np.errstate(over="ignore"):
+        return mix(np.array([total], np.uint64) + U64(len(data)) * U64(0xD1B54A32D192ED03))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each of the spans, which ascend and do not overlap; a long text is handled tile by tile."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64)
+    if len(data) <= 2 * TILE:
+        return SpanHash(data)(starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, base + TILE, side="right")))
+        part = data[base : int(ends[last - 1])]
+        out[first:last] = _long_hash(part) if len(part) > 2 * TILE else SpanHash(part)(starts[first:last] - base, ends[first:last] - base)
+        first = last
+    return out
+
+
 def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the range of its words: (starts, ends, word_bounds)."""
     inside = ~SEPARATOR[data]
@@ -82,7 +114,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[n
     A text of fewer words has one shingle of all its words; a text without words has none.
     """
     starts, ends, word_bounds = word_spans(data, bounds)
-    words = SpanHash(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    words = span_hashes(data, starts, ends)
     windows = window_hashes(words, size)
     sets = []
     limits = word_bounds.tolist()
