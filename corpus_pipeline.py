@@ -10,8 +10,10 @@ from gridloom.llm import chosen_path, column_bwt, mixing, packing, rule_lists
 from gridloom.llm.queries import MIXTURE
 from gridloom.shared import fresh_path
 
-#: Words whose ids a worker keeps while packing; workers live on through the other stages, which need the memory.
-REMEMBERED = 250_000
+#: Bytes of words and ids a worker keeps while packing; workers live on through the other stages, which need the memory.
+REMEMBERED = 64 << 20
+#: Bytes of a repeated string that the suffix stage removes: what 50 short words and the spaces between them take.
+PASSAGE = 250
 #: Rules are learned, so no SQL gives the rows of ``run``; the tests hold them against brute force.
 ORACLE_SQL = None
 
@@ -28,21 +30,26 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeated 400-byte strings cover; ``n_chars`` follows."""
-    cleaned = column_bwt.cleaned_rows(docs)
-    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Texts without the bytes that repeated strings of ``PASSAGE`` bytes cover; ``n_chars`` follows."""
+    return _measured(column_bwt.cleaned_rows(docs, PASSAGE), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents picked for the target weights, once per epoch they are picked in."""
-    picks = mixing.mixed(docs, MIXTURE).select(F.col("doc_id").alias("_picked"), "epoch").distinct()
-    return docs.join(picks, docs["doc_id"].eqNullSafe(picks["_picked"])).select(*docs.columns)
+    """Documents picked for the target weights, once per epoch they are picked in, the last of a leaf cut to its quota."""
+    return _measured(mixing.mixed_rows(docs, MIXTURE), docs)
+
+
+def _measured(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``changed`` with the columns of ``docs`` and ``n_chars``, where it has one, as the text now is."""
+    if "n_chars" not in docs.columns:
+        return changed.select(*docs.columns)
+    return changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens with their places in sequences of 4096."""
+    """Pieces of the documents' tokens, with their ids, and their places in sequences of 4096."""
     pieces = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, remember=REMEMBERED)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 STAGES = [
