@@ -2,9 +2,10 @@
 
 In each run every set picks those of its tokens whose hash under the run's function lies below ``GROWTH / |set|``, so a
 set goes down about ``GROWTH`` paths and two sets of Jaccard 0.8 share 1.3 of them on average, while sets that share few
-tokens part at once. A bucket too large to be compared directly is split again: its sets pick tokens by a new function
-that belongs to the path. Buckets are brute-forced on min-wise sketches, what that finds is checked exactly on whole
-sets, and the runs are repeated until the recall left open is negligible.
+tokens part at once. A bucket too large to be compared directly is split again, and again: its sets pick tokens by a new
+function that belongs to the path, until it is small, no longer parts, or has ``DEPTH`` tokens. Buckets are brute-forced on
+min-wise sketches, what that finds is checked exactly on whole sets, and the runs are repeated until the recall left open
+is negligible.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from gridloom.shared import materialise
 
 #: Expected paths a set goes down per level.
 GROWTH = 1.6
-#: A bucket of more sets is split once more along its paths.
-BUCKET = 256
+#: A bucket of more sets is split once more along its paths, unless the last split has left it nearly whole.
+BUCKET, WHOLE = 256, 0.8
+#: Tokens of a path at most.
+DEPTH = 4
 #: Bytes of a min-wise sketch; at a Jaccard of 0.8 the matching share has a deviation of 0.04.
 SKETCH = 96
 #: Shortfall of a sketch's estimate that is still compared exactly, in deviations.
@@ -33,7 +36,7 @@ SLACK = 4.5
 
 _random = np.random.default_rng(20260202)
 _SKETCHES = _random.integers(1, 2**63, SKETCH, dtype=np.uint64) * U64(2) + U64(1)
-_SEEDS = _random.integers(1, 2**63, 64, dtype=np.uint64)
+_SIGNATURE = _random.integers(1, 2**63, 2, dtype=np.uint64)
 
 #: What tells rows apart: NULL ids come last and count as 0, ``tx`` is the 64-bit hash of the text.
 ROW = ["nameless", "doc_id", "tx"]
@@ -43,12 +46,17 @@ FEATURES = "nameless long, doc_id long, tx long, sig string, n_shingles long, ke
 def runs_for(similarity: float, recall: float) -> int:
     """Runs after which a pair just similar enough is missed with a probability below ``1 - recall``.
 
-    The shared paths of such a pair are about Poisson distributed on each of two levels.
+    The shared paths of such a pair are about Poisson distributed on each level; a pair is safe if any of them goes on.
     """
-    shared = GROWTH * similarity
-    once = 1 - math.exp(-shared)
-    twice = 1 - math.exp(-shared * once)
-    return min(len(_SEEDS), math.ceil(math.log(1 - recall) / math.log(1 - twice)))
+    found = 1.0
+    for _ in range(DEPTH):
+        found = 1 - math.exp(-GROWTH * similarity * found)
+    return math.ceil(math.log(1 - recall) / math.log(1 - found))
+
+
+def _seed(run: int) -> np.uint64:
+    """Seed of a run's first hash function, for any number of runs."""
+    return mix(np.array([0xA5A5_0F1E_2D3C_4B5A + 2 * run], np.uint64))[0]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -59,6 +67,16 @@ def _picked(tokens: np.ndarray, seed: np.ndarray, limit: np.ndarray) -> np.ndarr
     return np.flatnonzero(mix(tokens ^ seed) <= limit)
 
 
+def _limit(counts: np.ndarray) -> np.ndarray:
+    """Hash below which a token of a set of this size is picked."""
+    return np.minimum(np.minimum(GROWTH / counts, 1.0) * 2.0**64, 2.0**64 - 4096).astype(np.uint64)
+
+
+def _children(own: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Keys of the paths that go on from ``key`` in a set with the tokens ``own``."""
+    return mix(own[_picked(own, key, _limit(np.array([len(own)])))] ^ mix(key[None])[0])
+
+
 def _features(runs: int, size: int):
     """Task function: fingerprints, first and second path keys and sketch of every text with words."""
 
@@ -70,25 +88,24 @@ def _features(runs: int, size: int):
             if not len(full):
                 continue
             rows, starts, counts = [longs(batch, c)[full] for c in ROW], bounds[:-1][full], counts[full]
-            sums = [np.add.reduceat(mix(tokens ^ s), starts) for s in _SEEDS[-2:]]
+            sums = [np.add.reduceat(mix(tokens ^ s), starts) for s in _SIGNATURE]
             owner = np.repeat(np.arange(len(full)), counts)
-            share = np.minimum(GROWTH / counts, 1.0)
-            limit = np.minimum(share * 2.0**64, 2.0**64 - 4096).astype(np.uint64)[owner]
+            limit = _limit(counts)[owner]
             sketch = np.empty((len(full), SKETCH), np.uint8)
             for k, factor in enumerate(_SKETCHES):
                 sketch[:, k] = (mix(np.minimum.reduceat(tokens * factor, starts)) & U64(255)).astype(np.uint8)
             set_of, keys = [], []
             for run in range(runs):
-                at = _picked(tokens, _SEEDS[run], limit)
+                at = _picked(tokens, _seed(run), limit)
                 set_of.append(owner[at])
-                keys.append(mix(tokens[at] + _SEEDS[run]))
+                keys.append(mix(tokens[at] + _seed(run)))
             set_of, keys = np.concatenate(set_of), np.concatenate(keys)
             order = np.argsort(set_of, kind="stable")
             set_of, keys = set_of[order], keys[order]
             children = []
             for doc, key in zip(set_of.tolist(), keys):
                 own = tokens[starts[doc] : starts[doc] + counts[doc]]
-                children.append(mix(own[_picked(own, key, limit[starts[doc] - starts[0]])] ^ mix(key[None])[0]))
+                children.append(_children(own, key))
             child_bounds = np.concatenate([[0], np.cumsum([len(c) for c in children])]).astype(np.int64)
             key_bounds = np.searchsorted(set_of, np.arange(len(full) + 1))
             flat = np.concatenate(children) if children else np.zeros(0, np.uint64)
@@ -108,14 +125,58 @@ def _features(runs: int, size: int):
     return work
 
 
-def _leaves(classes: DataFrame) -> DataFrame:
-    """(id, bucket) of every path followed to its end, for buckets held by two sets or more."""
-    paths = classes.select("id", F.explode(F.arrays_zip("keys", "children")).alias("p")).select("id", "p.keys", "p.children")
-    sizes = paths.groupBy("keys").agg(F.count("*").alias("_n")).where("_n > 1")
-    ends = F.when(F.col("_n") <= BUCKET, F.array("keys")).otherwise(F.col("children"))
-    leaves = paths.join(sizes, "keys").select("id", F.explode(ends).alias("bucket")).distinct()
-    held = leaves.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    return leaves.join(held, "bucket").select("id", "bucket")
+def _held(paths: DataFrame) -> DataFrame:
+    """``paths(id, bucket, ...)`` whose bucket holds two sets or more, with its size ``_n``."""
+    sizes = paths.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1")
+    return paths.join(sizes, "bucket")
+
+
+def _leaves(nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(id, bucket) of every path followed to its end, for buckets held by two sets or more.
+
+    The first two tokens of the paths were picked with the features. Longer ones read the ``texts(id, text)`` of the sets that
+    are left in a large bucket again; a bucket that its last token has left nearly whole holds sets that share most
+    tokens, and more of them would not part it.
+    """
+    first = nodes.select("id", F.explode(F.arrays_zip("keys", "children")).alias("p")).select("id", F.col("p.keys").alias("bucket"), "p.children")
+    first = _held(first)
+    small = first.where(F.col("_n") <= BUCKET).select("id", "bucket")
+    second = first.where(F.col("_n") > BUCKET).select("id", F.explode("children").alias("bucket"), F.col("_n").alias("_before")).distinct()
+    ends, large = [small], second
+    for _ in range(2, DEPTH):
+        held = materialise(_held(large).select("id", "bucket", "_n", "_before"), "path-buckets")
+        done = (F.col("_n") <= BUCKET) | (F.col("_n") >= WHOLE * F.col("_before"))
+        ends.append(held.where(done).select("id", "bucket"))
+        rest = held.where(~done)
+        if rest.isEmpty():
+            large = None
+            break
+        lists = rest.groupBy("id").agg(F.collect_list(F.struct("bucket", "_n")).alias("paths"))
+        large = texts.join(lists, "id").mapInArrow(_longer(size), "id long, bucket long, _before long").distinct()
+    if large is not None:
+        ends.append(_held(large).select("id", "bucket"))
+    every = ends[0]
+    for more in ends[1:]:
+        every = every.unionByName(more)
+    return every.distinct()
+
+
+def _longer(size: int):
+    """Task function: the paths that go on from each bucket a set is in."""
+
+    def work(batches):
+        for batch in text_slices(batches, "text"):
+            tokens, bounds = shingle_sets(*byte_parts(batch.column("text")), size)
+            out = []
+            for row, paths in enumerate(batch.column("paths").to_pylist()):
+                own, node = tokens[bounds[row] : bounds[row + 1]], batch.column("id")[row].as_py()
+                for path in paths:
+                    key = np.array([path["bucket"]], np.int64).view(np.uint64)[0]
+                    out += [(node, child, path["_n"]) for child in _signed(_children(own, key)).tolist()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "bucket", "_before"])
+
+    return work
 
 
 def _sketch_similar(similarity: float):
@@ -191,7 +252,8 @@ def _linked(rows: DataFrame, size: int, numerator: int, denominator: int, recall
     classes = materialise(sizes, "shingle-classes")
     own = features.join(classes.select("id", "first.*"), ["id", *ROW], "left_semi")
     nodes = materialise(own.select("id", "n_shingles", "keys", "children", "sketch").dropDuplicates(["id"]), "shingle-nodes")
-    members = _leaves(nodes).join(nodes.select("id", "n_shingles", "sketch"), "id")
+    texts = rows.join(classes.select("first.*", "id"), ROW).select("id", "text").dropDuplicates(["id"])
+    members = _leaves(nodes, texts, size).join(nodes.select("id", "n_shingles", "sketch"), "id")
     candidates = materialise(components(forests(members, "bucket", "id", _sketch_similar(similarity))), "path-candidates")
     weighed = candidates.join(classes, "id").select("first.*", "id", "component", "weight")
 

@@ -34,8 +34,9 @@ class ProductCode:
     def __init__(self, dim: int, rows: int, hits: int = HITS, seed: int = 11) -> None:
         self.blocks = max(1, min(3, dim))
         # The filters grow with the rows, so that a bucket of unrelated vectors stays as small.
-        wanted = min(max(64 * hits, rows * hits // 32), 1 << 24)
-        self.words = max(4, math.ceil(wanted ** (1 / self.blocks)))
+        wanted = max(64 * hits, rows * hits // 32)
+        # A line has two directions only.
+        self.words = 2 if dim == 1 else max(4, math.ceil(wanted ** (1 / self.blocks)))
         random = np.random.default_rng([seed, dim])
         self.rotation = np.linalg.qr(random.normal(size=(dim, dim)))[0]
         self.cuts = np.linspace(0, dim, self.blocks + 1).astype(int)
