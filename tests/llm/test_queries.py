@@ -298,7 +298,7 @@ def test_pipeline_stage_by_stage_against_brute_force(spark, tmp_path):
     stage = dict(corpus_pipeline.STAGES)
     sf = "/root/testdata/sf0.001"
     table = spark.read.parquet(f"{sf}/documents.parquet")
-    passage = " ".join(f"it{k % 10}" for k in range(7, 62))
+    passage = " ".join(f"wd{k}" for k in range(10, 65))
     extra = [(10_000 + k, f"planted {k} " + " ".join(f"own{k}w{j}" for j in range(120)) + " " + passage + f" tail {k}", "en", f"src{k % 3}", 0) for k in range(6)]
     table = table.unionByName(spark.createDataFrame(extra, table.schema)).withColumn("epoch", F.lit("kept"))
     rules = rule_lists.fit_rules(table, spark.read.parquet(f"{sf}/labels.parquet"))
