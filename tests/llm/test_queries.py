@@ -251,15 +251,14 @@ def plain_quotas(tokens_by_leaf, mixture):
     """Budgets down the tree by filling the children that fall short first, dealing the rest by weight."""
 
     def deal(budget, children):
-        left, out = list(children), {}
-        left.sort(key=lambda c: (c[2] / c[1], c[0]))
+        left = sorted(children, key=lambda c: (c[2] / c[1], c[0]))
         weights = sum(c[1] for c in left)
         used, quotas, short = 0, {}, []
         for name, weight, capacity in left:
             if capacity * weights <= weight * (budget - used):
                 quotas[name] = capacity
-                used += capacity
                 short.append(name)
+            used += capacity
             weights -= weight
         rest, total = budget - sum(quotas.values()), sum(w for n, w, _ in left if n not in short)
         upto = 0
@@ -267,7 +266,7 @@ def plain_quotas(tokens_by_leaf, mixture):
             if name not in short:
                 quotas[name] = rest * (upto + weight) // total - rest * upto // total
                 upto += weight
-        return {**out, **quotas}
+        return quotas
 
     weight = lambda level, name: mixture.weights.get(level, {}).get(name, 1)
     capacity = {leaf: n * mixture.max_epochs for leaf, n in tokens_by_leaf.items()}
@@ -346,7 +345,7 @@ def test_pipeline_stage_by_stage_against_brute_force(spark, tmp_path):
     got = Counter()
     for r in after:
         got[leaf_of(r)] += tokens_of(r["text"])
-    assert got == Counter({k: v for k, v in quotas.items() if v})
+    assert +got == +Counter(quotas)
     told = {(r["doc_id"], r["text"]): r for r in before}
     times = Counter((r["doc_id"], r["text"]) for r in after)
     cut = [r for r in after if (r["doc_id"], r["text"]) not in told]
