@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.filters import filter_date
-from gridloom.operators.skew import median_by
+from gridloom.operators.medians import TASK_ROWS, median_by
 from gridloom.schemas import CELL, CHUNK
 from gridloom.sources.pixels import value_bands
 
@@ -15,11 +15,11 @@ def yearly_median(
     px: DataFrame,
     bands: list[str] | None = None,
     keys: tuple[str, ...] = CHUNK + CELL,
-    hot_rows: int | None = 1_000_000,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Median of every band per dataset, part, calendar year and pixel; masked values are ignored."""
     dated = px if "year" in px.columns else px.withColumn("year", F.year("ts"))
-    return median_by(dated, list(keys), bands or value_bands(px), hot_rows)
+    return median_by(dated, list(keys), bands or value_bands(px), task_rows)
 
 
 def period_mean(px: DataFrame, start: str, end: str, bands: list[str], keys: tuple[str, ...] = ("dataset_id",) + CELL) -> DataFrame:
@@ -40,6 +40,15 @@ def time_mean(grid: DataFrame) -> DataFrame:
     return grid.groupBy(*grid_keys(grid), "var", "y", "x").agg(F.avg(number).alias("value"))
 
 
+def time_mean_wide(px: DataFrame, bands: list[str], y: str = "lat", x: str = "lon") -> DataFrame:
+    """``time_mean`` of observations with a column per band: bands are averaged side by side and unpivoted afterwards."""
+    keys = grid_keys(px)
+    means = [F.avg(F.nanvl(F.col(b).cast("double"), F.lit(None).cast("double"))).alias(b) for b in bands]
+    image = px.groupBy(*keys, F.col(y).alias("_y"), F.col(x).alias("_x")).agg(*means)
+    pairs = [F.struct(F.lit(b).alias("var"), F.col("_y").alias("y"), F.col("_x").alias("x"), F.col(b).alias("value")) for b in bands]
+    return image.select(*keys, F.inline(F.array(*pairs)))
+
+
 def to_grid(px: DataFrame, bands: list[str], y: str = "lat", x: str = "lon") -> DataFrame:
     """Observations as long grid rows ``(dataset_id, part, var, time, y, x, value)``, of the first two what there is."""
     pairs = [F.struct(F.lit(b).alias("var"), F.col(b).cast("double").alias("value")) for b in bands]
@@ -52,8 +61,3 @@ def to_grid(px: DataFrame, bands: list[str], y: str = "lat", x: str = "lon") ->
 def map_scenes(px: DataFrame, function, *args) -> DataFrame:
     """Apply a DataFrame function to every scene of a collection; all scenes are handled in one plan."""
     return px.transform(function, *args)
-
-
-def map_pixels(px: DataFrame, function, schema) -> DataFrame:
-    """Apply a pandas function to batches of pixels, for per-pixel math that has no column expression."""
-    return px.mapInPandas(lambda batches: (function(batch) for batch in batches), schema)

@@ -44,7 +44,7 @@ def qc_stats_wide(px: DataFrame, bands: list[str]) -> DataFrame:
 def quicklook(grid: DataFrame) -> DataFrame:
     """Grey values of the time-mean image of each dataset's variables, scaled between its minimum and maximum.
 
-    The image is written once, for its extremes and for the scaling. The extremes are one row per variable, read from a
+    A grid without a time axis is such an image. The image is written once, for its extremes and for the scaling. The extremes are one row per variable, read from a
     table and so broadcast: images are not placed by variable.
     """
     keys = [*grid_keys(grid), "var"]

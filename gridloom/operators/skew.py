@@ -1,152 +1,90 @@
-"""Ranks and medians that stay distributed when one key holds a large share of the rows."""
+"""Row numbers that stay distributed when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.shared import materialise
 
 
-def _cumulative_before(keys: list[str], order: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def in_order(df: DataFrame, order: list[str]) -> DataFrame:
-    """Table sorted along ``order`` in pieces of about equal size, with ``_piece`` and the place ``_nth`` in it.
-
-    Range partitioning on the whole sort key splits a large key as well; end ``order`` with a column that tells
-    rows apart, since equal sort keys stay together. The table is written down, because piece bounds come from a
-    sample and later stages must all see the same ones.
+def _differs(now: pa.Array, before: pa.Array) -> np.ndarray:
+    """Whether neighbours differ; NULL equals NULL and NaN equals NaN."""
+    other = pc.fill_null(pc.not_equal(now, before), False)
+    if pa.types.is_floating(now.type):
+        other = pc.and_(other, pc.invert(pc.and_(pc.fill_null(pc.is_nan(now), False), pc.fill_null(pc.is_nan(before), False))))
+    return np.asarray(other) | (np.asarray(now.is_null()) != np.asarray(before.is_null()))
+
+
+def _numbered(keys: list[str]):
+    """Task function: each row's number in its run of equal keys within the piece, and whether that is the piece's first run."""
+
+    def work(batches):
+        piece, last, run, first_run, place = TaskContext.get().partitionId(), None, 0, True, 0
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            fresh = np.zeros(n, bool)
+            for k in keys:
+                column = batch.column(k)
+                fresh[1:] |= _differs(column.slice(1), column.slice(0, n - 1))
+                if last is not None:
+                    fresh[0] |= bool(_differs(column.slice(0, 1), last[k])[0])
+            at = np.arange(n)
+            starts = np.where(fresh, at, -1)
+            starts = np.maximum.accumulate(starts)
+            number = np.where(starts >= 0, at - starts + 1, at + run + 1)
+            in_first = (np.cumsum(fresh) == 0) & first_run
+            rest = [c for c in batch.schema.names if c not in keys]
+            columns = [batch.column(c) for c in rest]
+            added = [pa.array(np.full(n, piece, np.int64)), pa.array(place + at), pa.array(number.astype(np.int64)), pa.array(in_first)]
+            yield pa.RecordBatch.from_arrays([*columns, *[batch.column(k) for k in keys], *added], [*rest, *keys, "_piece", "_place", "_number", "_first"])
+            run, first_run, place = int(number[-1]), bool(in_first[-1]), place + n
+            last = {k: batch.column(k).slice(n - 1, 1) for k in keys}
+
+    return work
+
+
+def carries(edges: DataFrame) -> DataFrame:
+    """``_piece, _carry``: rows of a piece's first run in the pieces before it, from one row per piece.
+
+    ``edges(_piece, _head, _tail, _rows, _whole)`` are the first and last key, the rows of the last run, and whether the piece
+    is one run. An exclusive scan along the pieces: a run goes on through pieces that are nothing else.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    # The generated id holds the partition number above 33 bits of row number.
-    placed = ordered.withColumn("_id", F.monotonically_increasing_id())
-    numbered = placed.withColumns(
-        {"_piece": F.shiftright("_id", 33), "_nth": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}
-    )
-    return materialise(numbered.drop("_id"), "ordered")
+    line = Window.partitionBy(F.lit(0)).orderBy("_piece")
+    goes_on = F.coalesce(F.col("_head").eqNullSafe(F.lag("_tail").over(line)) & F.lag(F.lit(True)).over(line), F.lit(False))
+    told = edges.withColumn("_on", goes_on)
+    chain = told.withColumn("_chain", F.sum((~(F.col("_on") & F.col("_whole"))).cast("long")).over(line))
+    along = Window.partitionBy("_chain").orderBy("_piece")
+    summed = chain.withColumn("_held", F.sum("_rows").over(along))
+    return summed.select("_piece", F.when(F.col("_on"), F.lag("_held").over(line)).otherwise(F.lit(0)).cast("long").alias("_carry"))
 
 
 def row_number_by(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """1-based row number within ``keys`` along ``order``, without bringing all rows of a key together.
 
-    Each key is a run of places in one or more pieces. A row's number is its place, less the place where the run
-    begins, plus the key's rows in earlier pieces; these corrections are one small row per run.
-    """
-    pieces = in_order(df, [*keys, *order])
-    placed = [*keys, "_piece"]
-    runs = pieces.groupBy(*placed).agg(F.min("_nth").alias("_first"), F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(_cumulative_before(keys, "_piece")), F.lit(0))
-    shifts = materialise(runs.select(*placed, (before - F.col("_first") + 1).alias("_shift")), "run-shifts")
-    joined = pieces.join(shifts, _null_safe(pieces, shifts, placed))
-    return joined.select(*[pieces[name] for name in df.columns], (F.col("_nth") + F.col("_shift")).alias(out))
-
-
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Groups of about ``hot_rows`` rows or more, found on a sample of some 1000 rows per such group.
-
-    The list only chooses between two exact ways to compute a result, so a sampling error costs time, not rows.
-    """
-    share = min(1.0, 1000.0 / hot_rows)
-    sampled = df.select(*keys) if share == 1.0 else df.select(*keys).sample(share, seed=7)
-    sizes = sampled.groupBy(*keys).agg(F.count("*").alias("_size"))
-    threshold = hot_rows if share == 1.0 else 500
-    return materialise(sizes.where(F.col("_size") >= threshold).select(*keys), "hot-groups")
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    same = F.lit(True)
-    for key in keys:
-        same = same & left[key].eqNullSafe(right[key])
-    return same
-
-
-def median_by(df: DataFrame, keys: list[str], bands: list[str], hot_rows: int | None = 1_000_000) -> DataFrame:
-    """Exact median of each band per group, NULLs ignored; an even count averages the two middle values.
-
-    Rows are placed by group, because a median cannot be combined from partial results that are smaller than the
-    values. Groups too large for one task are set aside and solved by ``_median_of_hot``; ``hot_rows=None`` skips
-    the search for them.
+    The table is range-partitioned on the whole sort key, which splits a large key as well; end ``order`` with a column that
+    tells rows apart, since equal sort keys stay together. Rows are numbered inside the sorted pieces, and only the
+    run that crosses a piece's lower edge is corrected, by one number per piece. The pieces are written down, because
+    their bounds come from a sample and all later stages must see the same ones.
     """
-    needed = df.select(*keys, *bands)
-    if hot_rows is None:
-        return _median_in_place(needed, keys, bands)
-    hot = hot_groups(needed, keys, hot_rows)
-    if hot.isEmpty():
-        return _median_in_place(needed, keys, bands)
-    cold_rows = needed.join(hot, _null_safe(needed, hot, keys), "left_anti")
-    hot_values = needed.join(hot, _null_safe(needed, hot, keys), "left_semi")
-    return _median_in_place(cold_rows, keys, bands).unionByName(_median_of_hot(hot_values, hot, keys, bands))
-
-
-def _median_in_place(df: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
-    """Medians of groups that fit a task: one shuffle and one sort by group, shared by all bands.
-
-    A window is used because the plain aggregate would build and serialise every group's values twice.
-    """
-    group = Window.partitionBy(*keys)
-    return df.select(*keys, *[F.median(band).over(group).alias(band) for band in bands]).dropDuplicates(keys)
-
-
-def _median_of_hot(df: DataFrame, groups: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
-    """Exact medians of large groups without bringing a group together.
-
-    Equal values are counted, which spreads a group over tasks by value. A quantile sketch cuts the distinct
-    values of a group into ranges, and only the ranges that hold the two middle ranks are ordered.
-    """
-    group = [*keys, "_band"]
-    pairs = [F.struct(F.lit(b).alias("_band"), F.col(b).cast("double").alias("_value")) for b in bands]
-    values = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("_value").isNotNull())
-    counted = materialise(values.groupBy(*group, "_value").agg(F.count("*").alias("_n")), "value-counts")
-    # As many ranges as each then holds values: both grow with the root of the distinct values.
-    pieces = max(64, math.isqrt(counted.count()))
-    # One literal, whatever the number of shares.
-    shares = F.split(F.lit(" ".join(str(i / pieces) for i in range(1, pieces))), " ").cast("array<double>")
-    sketch = F.percentile_approx("_value", shares, 10 * pieces).alias("_cuts")
-    cuts = materialise(counted.groupBy(*group).agg(sketch), "value-cuts")
-    piece = F.size(F.filter("_cuts", lambda cut: cut < F.col("_value"))).alias("_piece")
-    pieced = counted.join(cuts, _null_safe(counted, cuts, group)).select(
-        *[counted[name] for name in [*group, "_value", "_n"]], piece
-    )
-    middle = materialise(_middle_pieces(pieced, group), "middle-pieces")
-    near = pieced.join(middle, _null_safe(pieced, middle, [*group, "_piece"])).select(
-        *[pieced[name] for name in [*group, "_piece", "_value", "_n"]], "_before", "_low", "_high"
-    )
-    within = F.coalesce(F.sum("_n").over(_cumulative_before([*group, "_piece"], "_value")), F.lit(0))
-    placed = near.withColumn("_first", F.col("_before") + within).withColumn("_last", F.col("_first") + F.col("_n"))
-
-    def at(rank: str) -> Column:
-        hit = (F.col("_first") < F.col(rank)) & (F.col("_last") >= F.col(rank))
-        return F.max(F.when(hit, F.col("_value")))
-
-    # The same form as the built-in median: equal ends as they are, else half of each.
-    middle_values = placed.groupBy(*group).agg(at("_low").alias("_a"), at("_high").alias("_b"))
-    mean = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") * 0.5 + F.col("_b") * 0.5)
-    medians = middle_values.select(*group, mean.alias("_median"))
-    return _bands_wide(medians, groups, keys, bands)
-
-
-def _middle_pieces(pieced: DataFrame, group: list[str]) -> DataFrame:
-    """Pieces that hold the two middle ranks of their group, with the ranks and the number of rows before."""
-    sizes = pieced.groupBy(*group, "_piece").agg(F.sum("_n").alias("_size"))
-    total = F.sum("_size").over(Window.partitionBy(*group))
-    before = F.coalesce(F.sum("_size").over(_cumulative_before(group, "_piece")), F.lit(0))
-    ranked = sizes.withColumn("_total", total).withColumns(
-        {
-            "_before": before,
-            "_low": F.floor((F.col("_total") + 1) / 2),
-            "_high": F.floor(F.col("_total") / 2) + 1,
-        }
-    )
-    holds = (F.col("_before") < F.col("_high")) & (F.col("_before") + F.col("_size") >= F.col("_low"))
-    return ranked.where(holds).drop("_size", "_total")
-
-
-def _bands_wide(medians: DataFrame, groups: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
-    """One row per group with a column per band; a band without values stays NULL."""
-    bare = groups.select(*keys, F.lit(None).cast("string").alias("_band"), F.lit(None).cast("double").alias("_median"))
-    both = medians.unionByName(bare)
-    return both.groupBy(*keys).agg(*[F.max(F.when(F.col("_band") == b, F.col("_median"))).alias(b) for b in bands])
+    names = [f"_key_{n}" for n in range(len(keys))]
+    flat = [F.to_json(F.struct(k)) if df.schema[k].dataType.simpleString().startswith(("struct", "array", "map")) else F.col(k) for k in keys]
+    keyed = df.select(*df.columns, *[c.alias(n) for c, n in zip(flat, names)])
+    ordered = keyed.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    schema = keyed.schema.add("_piece", "long").add("_place", "long").add("_number", "long").add("_first", "boolean")
+    pieces = materialise(ordered.mapInArrow(_numbered(names), schema), "ordered")
+    key = F.struct(F.lit(0).alias("_"), *names)
+    ends = pieces.groupBy("_piece").agg(
+        F.min_by(key, "_place").alias("_head"), F.max_by(key, "_place").alias("_tail"),
+        F.max_by("_number", "_place").alias("_rows"), F.max_by("_first", "_place").alias("_whole"),
+    )
+    shifts = materialise(carries(ends), "piece-carries")
+    joined = pieces.join(shifts, "_piece")
+    number: Column = F.col("_number") + F.when(F.col("_first"), F.col("_carry")).otherwise(0)
+    return joined.select(*df.columns, number.alias(out))

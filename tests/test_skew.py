@@ -3,10 +3,13 @@
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators.skew import hot_groups, median_by, row_number_by
+from gridloom.operators import skew
+from gridloom.operators.medians import key_values, median_by, ordered_keys
+from gridloom.operators.skew import row_number_by
 from gridloom.operators.tasks import latest_status, retry_ladder
 
 
@@ -34,11 +37,11 @@ def _flat(rows, bands):
     return {(r.k1, r.k2, band): r[band] for r in rows for band in bands}
 
 
-@pytest.mark.parametrize("hot_rows", [None, 10**9, 500, 20, 1])
+@pytest.mark.parametrize("task_rows", [10**9, 500, 0])
 @pytest.mark.parametrize("rows", [3000, 3001])
-def test_median_is_exact_on_every_path(spark, rows, hot_rows):
+def test_median_is_exact_on_every_path(spark, rows, task_rows):
     df, data = _pixels(spark, rows)
-    medians = median_by(df, ["k1", "k2"], ["u", "v", "w"], hot_rows).collect()
+    medians = median_by(df, ["k1", "k2"], ["u", "v", "w"], task_rows).collect()
     assert _flat(medians, "uvw") == pytest.approx(_brute(data))
     assert 3 * len(medians) == len(_brute(data))
 
@@ -54,9 +57,58 @@ def test_hot_median_of_few_distinct_values(spark):
     assert median_by(df, ["k"], ["v"], 100).first().v == 1.5
 
 
-def test_hot_groups_on_a_sample(spark):
-    df = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-    assert [r.k for r in hot_groups(df, ["k"], 50_000).collect()] == [0]
+def test_radix_selection_of_odd_values_equals_the_built_in_median(spark):
+    nan, inf = float("nan"), float("inf")
+    rng = random.Random(8)
+    pool = [nan, inf, -inf, 0.0, -0.0, 1.0, 1.0 + 2**-52, -1.0, 5e-324, -5e-324, 1e308, -1e308, 3.5, None]
+    groups = [[nan], [nan, 1.0], [inf, -inf], [inf, inf], [-0.0, 0.0], [None], [None, 2.0], [1e308, 1e308], [5e-324, -5e-324], [nan, nan, 1.0], []]
+    groups += [[rng.choice(pool) for _ in range(n)] for n in (2, 3, 10, 11, 200, 201)] + [[rng.uniform(-1, 1) for _ in range(501)]]
+    rows = [(k, v) for k, values in enumerate(groups) for v in values]
+    df = spark.createDataFrame(rows, "k int, v double")
+    told = lambda task_rows: {r.k: repr(r.v if r.v is None else r.v + 0.0) for r in median_by(df, ["k"], ["v"], task_rows).collect()}
+    assert told(0) == told(10**9)
+
+
+def test_keys_keep_the_order_of_values():
+    values = np.array([-np.inf, -1e308, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0 + 2**-52, 1e308, np.inf, np.nan])
+    keys = ordered_keys(values)
+    assert (np.diff(keys.astype(object)) >= 0).all() and keys[4] == keys[5] and len(set(keys.tolist())) == len(values) - 1
+    assert repr(key_values(keys).tolist()) == repr([0.0 if v == 0 else v for v in values.tolist()])
+
+
+def _pieces_of(monkeypatch):
+    """Corrections that row numbers take: rows of the table of carries."""
+    seen = []
+    carries = skew.carries
+    monkeypatch.setattr(skew, "carries", lambda edges: seen.append(carries(edges)) or seen[-1])
+    return seen
+
+
+def test_corrections_are_one_per_piece_however_many_keys(spark, monkeypatch):
+    seen = _pieces_of(monkeypatch)
+    df = spark.range(200_000).select((F.col("id") * 7919 % 100_003).alias("k"), F.col("id"))
+    numbered = row_number_by(df, ["k"], ["id"], "n")
+    assert numbered.where("n > 2 OR n < 1").count() == 0
+    assert numbered.where("n = 1").count() == 100_003
+    assert seen[0].count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_carries_go_through_whole_pieces(spark):
+    edges = [(0, "a", "b", 3, False), (1, "b", "b", 5, True), (2, "b", "b", 4, True), (3, "b", "c", 2, False), (4, "d", "d", 6, True), (5, "d", "e", 1, False), (6, None, None, 2, True), (7, None, None, 2, True)]
+    table = spark.createDataFrame([(p, (0, h), (0, t), n, w) for p, h, t, n, w in edges], "_piece long, _head struct<z: int, k: string>, _tail struct<z: int, k: string>, _rows long, _whole boolean")
+    assert [r._carry for r in skew.carries(table).orderBy("_piece").collect()] == [0, 3, 8, 12, 0, 6, 0, 2]
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "array<int>", "timestamp", "decimal(9,2)"])
+def test_row_numbers_by_keys_of_any_kind(spark, kind):
+    values = {"double": "CASE id % 4 WHEN 0 THEN double('NaN') WHEN 1 THEN NULL WHEN 2 THEN -0.5D ELSE 2D END", "string": "nullif(concat('k', id % 3), 'k1')",
+              "array<int>": "array(int(id % 3))", "timestamp": "timestamp_seconds(id % 3)", "decimal(9,2)": "CAST(id % 3 AS DECIMAL(9,2))"}
+    df = spark.range(600).selectExpr("id", f"CAST({values[kind]} AS {kind}) AS k")
+    rows = row_number_by(df, ["k"], ["id"], "n").collect()
+    groups = {}
+    for r in sorted(rows, key=lambda r: r.id):
+        groups.setdefault(repr(r.k), []).append(r.n)
+    assert len(groups) in (3, 4) and all(numbers == list(range(1, len(numbers) + 1)) for numbers in groups.values())
 
 
 def test_row_number_of_a_hot_key(spark):
