@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.attrs import CONVENTIONS, REQUIRED_ATTRS
 from gridloom.operators.sets import missing_attrs
 from gridloom.operators.skew import row_number_by
+from gridloom.shared import materialise
 
 # Expected items per document and reported errors.
 EXPECTED_ITEMS = 12
@@ -50,6 +52,62 @@ def token_rules(documents: DataFrame, rules: list[TokenRule], text: str = "text"
     return documents.select("doc_id", F.explode(_violations(checks)).alias("rule"))
 
 
+def _matched(tokens: list[str], required: list[bool], text: str):
+    """Task function: numbers of the rules each text violates, from one pass over it."""
+
+    def work(batches):
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        by_token: dict[str, list[int]] = {}
+        for number, token in enumerate(tokens):
+            by_token.setdefault(token, []).append(number)
+        for token, numbers in by_token.items():
+            if token:
+                machine.add_word(token, numbers)
+        machine.make_automaton()
+        # Every text that is there holds the empty token.
+        always = by_token.get("", [])
+        needed = {number for number, must in enumerate(required) if must}
+        for batch in batches:
+            rows, found = [], []
+            for row, value in enumerate(batch.column(text).to_pylist()):
+                held = set(always if value is not None else ())
+                if value and len(machine):
+                    for _, numbers in machine.iter(value):
+                        held.update(numbers)
+                violated = sorted((needed - held) | (held - needed))
+                rows += [row] * len(violated)
+                found += violated
+            at = pa.array(rows, pa.int64())
+            kept = [c for c in batch.schema.names if c != text]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in kept], pa.array(found, pa.int32())], [*kept, "_rule"])
+
+    return work
+
+
+def token_table_rules(documents: DataFrame, rules: DataFrame, text: str = "text", at_once: int = 100_000) -> DataFrame:
+    """One row per document and violated rule of a table ``rules(rule, token, required)``, however many these are.
+
+    The tokens of up to ``at_once`` rules become an automaton that finds all of them in one pass over each whole text, so
+    5000 rules cost about what five do; more rules take several passes. A NULL text holds no token, any other the empty
+    one; rules with a NULL token or ``required`` are left out. The rows of one automaton are what reaches the driver at a time.
+    """
+    listed = rules.where("token IS NOT NULL AND required IS NOT NULL").select("rule", F.col("token").cast("string").alias("token"), F.col("required").cast("boolean").alias("required"))
+    placed = materialise(row_number_by(listed, [], ["rule", "token", "required"], "_number"), "token-rules")
+    passes = -(-placed.count() // at_once)
+    narrow = documents.select("doc_id", F.col(text).cast("string").alias("_text"))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    found = None
+    for n in range(max(passes, 1)):
+        own = placed.where(F.col("_number").between(n * at_once + 1, (n + 1) * at_once))
+        part = sorted(own.collect(), key=lambda r: r["_number"])
+        hits = narrow.mapInArrow(_matched([r["token"] for r in part], [r["required"] for r in part], "_text"), f"doc_id {kind}, _rule int")
+        named = hits.join(own.select("rule", (F.col("_number") - 1 - n * at_once).cast("int").alias("_rule")), "_rule").select("doc_id", "rule")
+        found = named if found is None else found.unionByName(named)
+    return found
+
+
 def structure_rules(
     items: DataFrame, document: str, position: str, kind: str, has_key: Column, first_kind: str, n_items: int = EXPECTED_ITEMS
 ) -> DataFrame:

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.attrs import CONVENTIONS
+from gridloom.sources.chunks import read_chunks, write_chunks
 
 
 def write_grid(grid: DataFrame, attrs: DataFrame, var_attrs: DataFrame, path: str) -> None:
-    """Grid rows and the two attribute tables, compressed, as sibling tables."""
-    for name, table in {"grid": grid, "attrs": attrs, "var_attrs": var_attrs}.items():
+    """A grid as chunked arrays and the two attribute tables, compressed, as sibling tables."""
+    write_chunks(grid, f"{path}/grid")
+    for name, table in {"attrs": attrs, "var_attrs": var_attrs}.items():
         table.write.parquet(f"{path}/{name}", compression="gzip")
 
 
-def read_grid(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("grid", "attrs", "var_attrs")}
+def read_grid(spark: SparkSession, path: str, **window: tuple) -> dict[str, DataFrame]:
+    """The three tables; of the grid the cells in ``window``, (least, greatest) per axis, if one is given."""
+    attributes = {name: spark.read.parquet(f"{path}/{name}") for name in ("attrs", "var_attrs")}
+    return {"grid": read_chunks(spark, f"{path}/grid", **window), **attributes}
 
 
 def manifest(files: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.projection import EPSG_5070, project, snap, unproject
 from gridloom.functions.status import days_since_epoch
 from gridloom.functions.values import from_fill, palette_class, palette_colour, quicklook_byte, to_fill
-from gridloom.operators import axes, clip, composites, filters, quality, regrid
+from gridloom.operators import axes, clip, composites, filters, quality, regrid, scenes
 from gridloom.plans import chunks, composite
 from gridloom.sources import boundary, pixels
 from gridloom.workload.registered import Inputs, query
@@ -227,7 +228,7 @@ def period_mean(inputs: Inputs) -> DataFrame:
 
 @query("time_mean_grid", f"WITH {GRID_SQL} SELECT dataset_id, part, var, y, x, avg(value) AS value FROM grid GROUP BY ALL")
 def time_mean_grid(inputs: Inputs) -> DataFrame:
-    return composites.time_mean(composites.to_grid(inputs.px_obs, BANDS))
+    return composites.time_mean_wide(inputs.px_obs, BANDS)
 
 
 @query("quicklook", f"""WITH {GRID_SQL},
@@ -237,7 +238,7 @@ def time_mean_grid(inputs: Inputs) -> DataFrame:
         THEN floor(greatest(0, least(1, (value - low) / (high - low))) * 255) END AS INT) AS grey
     FROM image JOIN extremes USING (dataset_id, part, var)""")
 def quicklook(inputs: Inputs) -> DataFrame:
-    return quality.quicklook(composites.to_grid(inputs.px_obs, BANDS))
+    return quality.quicklook(composites.time_mean_wide(inputs.px_obs, BANDS))
 
 
 PX_PLAN_SQL = """
@@ -335,18 +336,34 @@ def _scale_bands(px: DataFrame, factor: float) -> DataFrame:
     return px.withColumns({"band_a": F.col("band_a") * factor, "band_b": F.col("band_b") * factor})
 
 
-@query("map_scenes", f"""WITH {INSIDE_AOI}
-    SELECT scene_id, p.row, p.col, band_a * 0.5::DOUBLE AS band_a, band_b * 0.5::DOUBLE AS band_b,
-           CASE WHEN qa % 2 = 1 THEN band_b * 0.5::DOUBLE ELSE 0 END AS masked
-    FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col""")
+@query("map_scenes", f"""WITH {INSIDE_AOI},
+    image AS (SELECT dataset_id, part, scene_id, p.row, p.col, avg(band_a * 0.5::DOUBLE) AS band_a, avg(band_b * 0.5::DOUBLE) AS band_b
+        FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col GROUP BY ALL),
+    focal AS (SELECT a.dataset_id, a.part, a.scene_id, a.row, a.col, avg(b.band_b) AS smooth, count(*) AS around
+        FROM image a JOIN image b ON a.dataset_id = b.dataset_id AND a.part = b.part AND a.scene_id = b.scene_id
+            AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL)
+    SELECT dataset_id, part, scene_id, row, col, round(image.band_a, 6) AS band_a, round(image.band_b, 6) AS band_b,
+        round(smooth, 6) AS smooth, around::DOUBLE AS around
+    FROM image JOIN focal USING (dataset_id, part, scene_id, row, col)""")
 def map_scenes(inputs: Inputs) -> DataFrame:
     scaled = composites.map_scenes(inputs.px_obs, _scale_bands, 0.5)
     clipped = composites.map_scenes(scaled, clip.clip, inputs.aoi)
-    needed = clipped.select("scene_id", "row", "col", "band_a", "band_b", "qa")
+    smooth = scenes.map_arrays(clipped, ["band_a", "band_b"], _focal_mean, ["band_a", "band_b", "smooth", "around"], halo=1, block=8)
+    return smooth.select(
+        *scenes.SCENE, "row", "col", *[F.round(name, 6).alias(name) for name in ("band_a", "band_b", "smooth")], "around"
+    )
 
-    def keep_odd(batch):
-        return batch.assign(masked=batch["band_b"].where(batch["qa"] % 2 == 1, 0.0)).drop(columns="qa")
 
-    return composites.map_pixels(
-        needed, keep_odd, "scene_id BIGINT, row BIGINT, col BIGINT, band_a DOUBLE, band_b DOUBLE, masked DOUBLE"
-    )
+def _focal_mean(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Mean and number of the pixels in the 3 x 3 window around each one."""
+    there = ~np.isnan(arrays["band_b"])
+    total, count = np.zeros(there.shape), np.zeros(there.shape)
+    wide = [(0, 0), (1, 1), (1, 1)]
+    values, held = np.pad(np.where(there, arrays["band_b"], 0.0), wide), np.pad(there, wide)
+    rows, cols = there.shape[1:]
+    for down in range(3):
+        for right in range(3):
+            total += values[:, down : down + rows, right : right + cols]
+            count += held[:, down : down + rows, right : right + cols]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return {**arrays, "smooth": total / count, "around": count}

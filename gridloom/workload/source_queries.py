@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from gridloom.functions.attrs import coordinate_attrs, global_attrs
 from gridloom.functions.paths import url_path
 from gridloom.functions.status import format_iso, parse_iso
+from gridloom.operators.clip import clip
 from gridloom.operators.composites import to_grid
 from gridloom.operators.quality import qc_stats, qc_stats_wide
 from gridloom.shared import fresh_path
-from gridloom.sources import boundary, catalog, payloads, pixels, registry, sinks
+from gridloom.sources import boundary, catalog, chunks, payloads, pixels, registry, sinks
 from gridloom.workload.registered import Inputs, query
 from gridloom.workload.views import RINGS
 
@@ -229,6 +230,17 @@ def grid_sink(inputs: Inputs) -> DataFrame:
     )
 
 
+@query("grid_window", f"""WITH {GRID_SQL}
+    SELECT dataset_id, part, var, CAST(time AS VARCHAR) AS time, y, x, value FROM grid
+    WHERE y BETWEEN 32.01 AND 36.01 AND x BETWEEN -101.01 AND -99.01 AND time BETWEEN DATE '1995-02-03' AND DATE '1996-06-30'""")
+def grid_window(inputs: Inputs) -> DataFrame:
+    path = fresh_path(inputs.spark, "grid")
+    chunks.write_chunks(to_grid(inputs.px_obs, BANDS), path)
+    days = tuple(F.lit(day).cast("date") for day in ("1995-02-03", "1996-06-30"))
+    cells = chunks.read_chunks(inputs.spark, path, y=(32.01, 36.01), x=(-101.01, -99.01), time=days)
+    return cells.withColumn("time", F.col("time").cast("string"))
+
+
 @query("file_inventory", """
     SELECT 'external' AS family, 'pages' AS folder, TRUE AS has_bytes
     FROM (SELECT count(*) AS n FROM {pages}) WHERE n > 0

@@ -319,6 +319,12 @@ def token_rules(inputs: Inputs) -> DataFrame:
     return rules.token_rules(inputs.documents, TOKEN_RULES)
 
 
+@query("token_table_rules", """
+    SELECT d.doc_id, t.rule FROM {documents} d JOIN {token_table} t ON contains(d.text, t.token) <> t.required""")
+def token_table_rules(inputs: Inputs) -> DataFrame:
+    return rules.token_table_rules(inputs.documents, inputs.token_table)
+
+
 STRUCTURE_SQL = """
     shape AS (SELECT conv_id, count(*) AS n, min_by(role, turn) AS first_role,
         count(*) FILTER (WHERE NOT contains(text, '.')) AS bare FROM {conversations} GROUP BY conv_id),
@@ -457,14 +463,14 @@ def stream_status_counts(inputs: Inputs) -> DataFrame:
 
 @query("stream_latest_state", LATEST_SQL)
 def stream_latest_state(inputs: Inputs) -> DataFrame:
-    return monitor.stream_latest_state(_event_stream(inputs), "task_id", ["timestamp_", "event_id"])
+    return monitor.stream_latest_state(_event_stream(inputs), "task_id", ["timestamp_", "event_id"], status="state")
 
 
 @query("stream_drain", f"""
     SELECT count(*) AS n_tasks, count(*) FILTER (WHERE state IN ('STARTED', 'RUNNING')) AS n_active,
            count(*) FILTER (WHERE state IN ('STARTED', 'RUNNING')) = 0 AS finished FROM ({LATEST_SQL})""")
 def stream_drain(inputs: Inputs) -> DataFrame:
-    latest = monitor.stream_latest_state(_event_stream(inputs), "task_id", ["timestamp_", "event_id"])
+    latest = monitor.stream_latest_state(_event_stream(inputs), "task_id", ["timestamp_", "event_id"], status="state")
     return monitor.drain_report(latest, "state")
 
 

@@ -64,6 +64,10 @@ VIEWS: dict[str, str] = {
     "grid_scales": """
         SELECT dataset_id, CAST(scale AS INT) AS scale
         FROM (VALUES ('01a', 20000), ('01e', 20000), ('01x', 10)) AS s(dataset_id, scale)""",
+    "token_table": """
+        SELECT 'r' || CAST(item_id AS VARCHAR(20)) AS rule,
+               substr(text, CAST(1 + item_id % 20 AS INT), CAST(3 + item_id % 4 AS INT)) AS token, item_id % 3 = 0 AS required
+        FROM {benchmark}""",
     "px_raw": """
         SELECT l_partkey % 50 AS col, l_orderkey AS scene_id,
                CASE WHEN l_linenumber = 7 THEN CAST('NaN' AS DOUBLE)

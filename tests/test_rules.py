@@ -149,3 +149,19 @@ def test_time_axis_names_its_calendar(spark):
     rows = coordinate_attrs(datasets).where("var = 'time'").collect()
     assert sorted(r.dataset_id for r in rows) == ["a", "b"]
     assert all((r.attrs["long_name"], r.attrs["calendar"]) == ("time", "proleptic_gregorian") for r in rows)
+
+
+def test_a_table_of_many_rules_is_one_pass(spark):
+    words = [f"w{k}" for k in range(5000)]
+    listed = [(f"r{k}", w, k % 50 == 0) for k, w in enumerate(words)] + [("empty", "", True), ("not empty", "", False), ("none", None, True), ("same", "w7", False), ("é", "日本", False)]
+    table = spark.createDataFrame(listed, "rule string, token string, required boolean")
+    texts = [(1, " ".join(words)), (2, ""), (3, None), (4, "w12 日本 w4999"), (5, "w1" * 3)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    want = {
+        (doc, rule) for doc, text in texts for rule, token, required in listed
+        if token is not None and (text is not None and token in text) != required
+    }
+    for at_once in (100_000, 1200):
+        got = [(r.doc_id, r.rule) for r in rules.token_table_rules(docs, table, at_once=at_once).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert rules.token_table_rules(docs, table.limit(0)).count() == 0
