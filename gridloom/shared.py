@@ -30,9 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder."""
+    return f"{shared_folder(spark)}/gridloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no earlier run used."""
-    return f"{shared_folder(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
+    """A path in the work folder that no earlier run used."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it is; one that is not there is fine."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_work_tables(spark: SparkSession) -> None:
+    """Delete what the application has kept in the shared folder; results not yet read are lost with it."""
+    remove(spark, work_folder(spark))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

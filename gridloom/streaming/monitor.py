@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.status import is_active
+from gridloom.functions.status import is_active, is_terminal
 from gridloom.operators.tasks import latest_status, status_counts
-from gridloom.shared import fresh_path
+from gridloom.shared import fresh_path, remove
 
 
 def event_stream(spark: SparkSession, path: str, files_per_poll: int = 1000) -> DataFrame:
@@ -61,14 +61,43 @@ def last_counts(polls: DataFrame) -> DataFrame:
     return polls.where(F.col("batch") == latest).drop("batch")
 
 
-def stream_latest_state(events: DataFrame, task: str, order: list[str], folder: str | None = None) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def stream_latest_state(events: DataFrame, task: str, order: list[str], folder: str | None = None, status: str = "status") -> DataFrame:
     """One current row per task, folded over the polls.
 
-    The state per task is one row; a poll writes only the tasks it changed, and the newest row of a task wins.
+    A poll combines its events per task before anything is sent and folds them into the state of the open tasks, the
+    only one it reads. Tasks that a poll leaves in a terminal state are written once, as finished, and are no part of the
+    state from then on; of the state itself the last two polls' copies are kept, the older one in case the newer is
+    written again. So neither state nor files grow with the polls. A late event of a finished task opens it anew, and the newest
+    row of a task by ``order`` wins in the result.
     """
-    folder = folder or fresh_path(events.sparkSession, "latest-state")
-    changes = _polls(latest_status(events, task, order), "update", folder)
-    return latest_status(changes, task, ["batch"]).drop("batch")
+    spark, columns = events.sparkSession, events.columns
+    folder = folder or fresh_path(spark, "latest-state")
+    path = f"{folder}/polls"
+
+    def open_rows(batch_id: int) -> str:
+        return f"{path}/batch={batch_id}/finished=false"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        own = latest_status(batch, task, order)
+        if _exists(batch.sparkSession, open_rows(batch_id - 1)):
+            before = batch.sparkSession.read.schema(events.schema).parquet(open_rows(batch_id - 1))
+            own = latest_status(own.unionByName(before), task, order)
+        told = own.withColumn("finished", F.coalesce(is_terminal(F.col(status)), F.lit(False)))
+        told.hint("rebalance", "finished").write.mode("overwrite").partitionBy("finished").parquet(f"{path}/batch={batch_id}")
+        # A folder of open rows only goes as a whole.
+        finished = f"{path}/batch={batch_id - 2}/finished=true"
+        remove(batch.sparkSession, open_rows(batch_id - 2) if _exists(batch.sparkSession, finished) else f"{path}/batch={batch_id - 2}")
+
+    _drain(events, "append", keep, f"{folder}/checkpoint")
+    if not _exists(spark, path):
+        return spark.createDataFrame([], events.schema)
+    kept = spark.read.schema(events.schema).option("recursiveFileLookup", "true").parquet(path)
+    return latest_status(kept, task, order).select(*columns)
 
 
 def drain_report(latest: DataFrame, status: str = "status") -> DataFrame:

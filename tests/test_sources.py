@@ -285,6 +285,6 @@ def test_work_folder_comes_from_the_session(spark, tmp_path):
     spark.sparkContext._conf.set("spark.checkpoint.dir", named)
     try:
         assert shared_folder(spark) == named
-        assert fresh_path(spark, "x").startswith(f"{named}/gridloom/x-")
+        assert fresh_path(spark, "x").startswith(f"{named}/gridloom/{spark.sparkContext.applicationId}/x-")
     finally:
         spark.sparkContext._conf._jconf.remove("spark.checkpoint.dir")

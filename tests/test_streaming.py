@@ -55,7 +55,46 @@ def test_second_drain_reads_only_new_files(spark):
     assert folded.count() == batch.count() and folded.select(*batch.columns).exceptAll(batch).count() == 0
     polls = spark.read.parquet(f"{folder}/state/polls")
     assert sorted(r.batch for r in polls.select("batch").distinct().collect()) == [0, 1]
-    assert polls.where("batch = 1 AND task = 'hot'").isEmpty()
+    # The second poll read what was open after the first, and its own events.
+    tasks = lambda df: {r.task for r in df.select("task").distinct().collect()}
+    assert tasks(polls.where("batch = 1")) == tasks(late) | tasks(polls.where("batch = 0 AND NOT finished"))
+
+
+def test_state_falls_with_completion_and_files_are_bounded_by_tasks(spark):
+    path, folder = fresh_path(spark, "test-events"), fresh_path(spark, "test-monitor")
+    schema = "event_id long, task string, t long, status string"
+    open_rows, events, n = [], [], 0
+    for poll in range(10):
+        # Every poll starts two tasks and completes those of two polls before; one task reports in all of them.
+        new = [(f"t{poll}{c}", "STARTED") for c in "ab"] + [(f"t{poll - 2}{c}", "COMPLETED" if c == "a" else "FAILED") for c in "ab" if poll > 1] + [("busy", "RUNNING")]
+        rows = [(n + k, task, poll, status) for k, (task, status) in enumerate(new)]
+        n, events = n + len(rows), events + rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        folded = monitor.stream_latest_state(monitor.event_stream(spark, path), "task", ["t", "event_id"], folder)
+        batch = latest_status(spark.createDataFrame(events, schema), "task", ["t", "event_id"])
+        assert folded.exceptAll(batch).count() == 0 and folded.count() == batch.count()
+        polls = spark.read.parquet(f"{folder}/polls")
+        last = polls.agg(F.max("batch")).first()[0]
+        open_rows.append(polls.where(f"batch = {last} AND NOT finished").count())
+        assert polls.where("NOT finished").select("batch").distinct().count() <= 2
+        assert polls.count() <= 2 * batch.count() + 10 and len(polls.inputFiles()) <= batch.count() + 10
+    assert open_rows == [3, 5, 5, 5, 5, 5, 5, 5, 5, 5]
+    # A drain without news changes nothing, and a late event of a finished task does not bring it back.
+    spark.createDataFrame([(n, "t0a", -1, "RUNNING")], schema).coalesce(1).write.mode("append").parquet(path)
+    folded = monitor.stream_latest_state(monitor.event_stream(spark, path), "task", ["t", "event_id"], folder)
+    assert folded.where("task = 't0a'").first().status == "COMPLETED" and folded.count() == 21
+    assert monitor.stream_latest_state(monitor.event_stream(spark, path), "task", ["t", "event_id"], folder).exceptAll(folded).isEmpty()
+
+
+def test_work_tables_can_be_cleared(spark, monkeypatch, tmp_path):
+    from gridloom import shared
+
+    monkeypatch.setattr(shared, "work_folder", lambda session: str(tmp_path / "app"))
+    shared.materialise(spark.range(3).toDF("id"), "table")
+    assert (tmp_path / "app").exists()
+    shared.clear_work_tables(spark)
+    shared.clear_work_tables(spark)
+    assert not (tmp_path / "app").exists()
 
 
 def test_counts_go_on_and_a_drain_without_news_adds_nothing(spark):
