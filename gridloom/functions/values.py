@@ -47,3 +47,19 @@ def palette_colour(value: Column, colours: tuple[str, ...] = PALETTE, span: tupl
 def quicklook_byte(value: Column, low: Column, high: Column) -> Column:
     """Grey value 0-255 of a min-max scaled pixel."""
     return F.floor(stretch(value, low, high) * 255).cast("int")
+
+
+def _spread(number: Column) -> Column:
+    """The low 21 bits of a number with a zero bit after each; masks halve the distance between bits step by step."""
+    spread = number.cast("long").bitwiseAND(F.lit((1 << 21) - 1).cast("long"))
+    for gap in (16, 8, 4, 2, 1):
+        run = (1 << gap) - 1
+        mask = sum(run << (2 * gap * k) for k in range(64 // (2 * gap))) & ((1 << 62) - 1)
+        spread = spread.bitwiseOR(F.shiftleft(spread, gap)).bitwiseAND(F.lit(mask).cast("long"))
+    return spread
+
+
+def z_order(row: Column, col: Column) -> Column:
+    """Z-order number of a cell: the bits of its row and column in turn. Cells 2 ** 20 from the origin or less keep their order."""
+    offset = 1 << 20
+    return F.shiftleft(_spread(row + offset), 1).bitwiseOR(_spread(col + offset))

@@ -11,7 +11,8 @@ from gridloom.functions.status import days_since_epoch
 from gridloom.functions.values import from_fill, palette_class, palette_colour, quicklook_byte, to_fill
 from gridloom.operators import axes, clip, composites, filters, quality, regrid, scenes
 from gridloom.plans import chunks, composite
-from gridloom.sources import boundary, pixels
+from gridloom.shared import fresh_path
+from gridloom.sources import boundary, clustered, pixels
 from gridloom.workload.registered import Inputs, query
 from gridloom.workload.source_queries import BANDS, GRID_SQL, INSIDE_AOI, stored_boundary
 
@@ -275,7 +276,7 @@ def plan_chunk_join(inputs: Inputs) -> DataFrame:
     return chunks.chunk_sizes(inputs.px_obs, plan)
 
 
-@query("planned_composite", f"""WITH {INSIDE_AOI},
+PLANNED_SQL = f"""WITH {INSIDE_AOI},
     periods AS (SELECT dataset_id, max(part) + 1 AS n_parts,
         CAST(CAST(min(year(ts)) AS VARCHAR) || '-06-01' AS TIMESTAMP) AS t0,
         CAST(CAST(max(year(ts)) AS VARCHAR) || '-06-30' AS TIMESTAMP) AS t1 FROM {{px_obs}} GROUP BY dataset_id)
@@ -284,11 +285,22 @@ def plan_chunk_join(inputs: Inputs) -> DataFrame:
            || '_' || CAST(year(ts) AS VARCHAR) || '-01-01_' || CAST(year(ts) AS VARCHAR) || '-12-31_1000m' AS out_name,
            {MEDIANS}
     FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col
-        JOIN periods d ON p.dataset_id = d.dataset_id AND ts >= t0 AND ts < t1 GROUP BY ALL""")
+        JOIN periods d ON p.dataset_id = d.dataset_id AND ts >= t0 AND ts < t1 GROUP BY ALL"""
+
+
+@query("planned_composite", PLANNED_SQL)
 def planned_composite(inputs: Inputs) -> DataFrame:
     return composite.named_composite(inputs.px_obs, px_catalog(inputs.px_obs, wider=0), inputs.aoi)
 
 
+@query("clustered_composite", PLANNED_SQL)
+def clustered_composite(inputs: Inputs) -> DataFrame:
+    path = fresh_path(inputs.spark, "clustered")
+    clustered.write_clustered(inputs.px_obs, path, buckets=4)
+    px = clustered.clustered(inputs.spark, path)
+    return composite.named_composite(px, px_catalog(px, wider=0), inputs.aoi)
+
+
 @query("days_since_epoch", """
     SELECT scene_id, row, col, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS days FROM {px_obs}""")
 def days_since_epoch_query(inputs: Inputs) -> DataFrame:
