@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Convention, fill value, attribute defaults and the keys a dataset must carry.
+# Convention, fill value, attribute defaults, the keys a dataset must carry, and the attributes of the
+# grid mapping and the axes.
 CONVENTIONS = "CF-1.8"
 FILL_VALUE = -9999.0
 GLOBAL_DEFAULTS = {

@@ -14,9 +14,13 @@ from gridloom.operators.sets import missing_attrs
 from gridloom.operators.skew import row_number_by
 from gridloom.shared import materialise
 
-# Expected items per document and reported errors.
+# Expected items per document, reported errors, and the texts of the checks.
 EXPECTED_ITEMS = 12
 REPORTED_ERRORS = 20
+NO_ASSET = "dataset missing asset_id"
+NO_NAME = "independent dataset missing name"
+WRONG_COUNT = "expected {} items, got %d"
+MISSING_ATTRS = ": missing CF attrs ["
 
 
 @dataclass(frozen=True)
@@ -37,8 +41,8 @@ def catalog_checks(catalog: DataFrame) -> DataFrame:
     """Raster records without an asset and external records without a name."""
     raster, external = F.col("family") == "raster", F.col("family") == "external"
     checks = [
-        (raster & (F.size("assets") == 0), F.lit("dataset missing asset_id")),
-        (external & (F.coalesce(F.col("name"), F.lit("")) == ""), F.lit("independent dataset missing name")),
+        (raster & (F.size("assets") == 0), F.lit(NO_ASSET)),
+        (external & (F.coalesce(F.col("name"), F.lit("")) == ""), F.lit(NO_NAME)),
     ]
     return catalog.select("dataset_id", F.explode(_violations(checks)).alias("error"))
 
@@ -117,7 +121,7 @@ def structure_rules(
         F.min_by(kind, position).alias("first_kind"),
         F.count_if(~F.coalesce(has_key, F.lit(False))).alias("n_bare"),
     )
-    counted = F.format_string(f"expected {n_items} items, got %d", F.col("n_items"))
+    counted = F.format_string(WRONG_COUNT.format(n_items), F.col("n_items"))
     bare = F.format_string("%d items lack the key", F.col("n_bare"))
     checks = [
         (F.col("n_items") != n_items, counted),
@@ -132,7 +136,7 @@ def attr_contract(datasets: DataFrame, required: tuple[str, ...] = REQUIRED_ATTR
     missing = missing_attrs(F.col("attrs"), required)
     convention = F.try_element_at(F.col("attrs"), F.lit("Conventions"))
     wrong = ~convention.eqNullSafe(F.lit(CONVENTIONS)) | (F.size(missing) > 0)
-    text = F.concat(F.col("path"), F.lit(": missing CF attrs ["), F.array_join(missing, ", "), F.lit("]"))
+    text = F.concat(F.col("path"), F.lit(MISSING_ATTRS), F.array_join(missing, ", "), F.lit("]"))
     return datasets.where(wrong).select("path", text.alias("failure"))
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.status import format_iso
 from gridloom.operators.filters import failed_messages
 from gridloom.operators.rules import attr_contract, failure_rollup, run_passed
 from gridloom.operators.tasks import status_counts
@@ -31,5 +32,5 @@ def validate(files: DataFrame, datasets: DataFrame, registry: DataFrame, index_p
     failures = materialise(failure_rollup(attr_contract(datasets), failed_messages(registry)), "failures")
     verdict = run_passed(failures)
     n_failures = failures.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint"))).scalar()
-    write_index(index_lines(files, n_failures, title), index_path)
+    write_index(index_lines(files, n_failures, title, format_iso(F.current_timestamp())), index_path)
     return Validation(failures, verdict, status_counts(registry))

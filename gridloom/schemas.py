@@ -25,6 +25,7 @@ REGISTRY_COLUMNS = (
 REGISTRY_TIMES = ("timestamp", "start_time", "end_time")
 REGISTRY_TEXT = T.StructType([T.StructField(name, T.StringType()) for name in REGISTRY_COLUMNS])
 
+# Field names of the catalog and of GeoJSON.
 CATALOG_RECORD = T.StructType(
     [
         T.StructField("name", T.StringType()),

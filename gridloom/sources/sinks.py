@@ -41,15 +41,20 @@ def write_qc(stats: DataFrame, path: str) -> None:
     stats.select(F.to_json(F.struct(*stats.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
-def index_lines(files: DataFrame, n_failures: Column, title: str) -> DataFrame:
-    """Lines of the output index: title, one bullet per file, counts; ``section, line`` give their order."""
-    headings = {0: f"# {title}", 1: "", 2: "## Files", 4: "", 5: "## Validation"}
+def index_lines(files: DataFrame, n_failures: Column, title: str, written_at: Column | None = None) -> DataFrame:
+    """Lines of the output index: title, when it was written, one bullet per file, counts; ``section, line`` give their order.
+
+    Without ``written_at`` the line that tells the time is left out.
+    """
+    headings = {0: F.lit(f"# {title}"), 10: F.lit(""), 40: F.lit("## Files"), 60: F.lit(""), 70: F.lit("## Validation")}
+    if written_at is not None:
+        headings |= {20: F.concat(F.lit("Generated: "), written_at), 30: F.lit("")}
     bullet = F.format_string("- `%s` (%d bytes)", F.col("path"), F.col("length"))
-    bullets = files.select(F.lit(3).alias("section"), bullet.alias("line"))
-    fixed = [F.struct(F.lit(at).alias("section"), F.lit(text).alias("line")) for at, text in headings.items()]
+    bullets = files.select(F.lit(50).alias("section"), bullet.alias("line"))
+    fixed = [F.struct(F.lit(at).alias("section"), text.alias("line")) for at, text in headings.items()]
     counted = {
-        6: F.format_string("- Files checked: %d", F.col("n_files")),
-        7: F.format_string("- Failures: %d", n_failures),
+        80: F.format_string("- Files checked: %d", F.col("n_files")),
+        90: F.format_string("- Failures: %d", n_failures),
     }
     counts = [F.struct(F.lit(at).alias("section"), text.alias("line")) for at, text in counted.items()]
     framing = files.agg(F.count("*").alias("n_files")).select(F.inline(F.array(*fixed, *counts)))

@@ -234,6 +234,8 @@ def test_index_text_is_in_order(spark, tmp_path):
     assert text == (
         "# out\n\n## Files\n- `a.nc` (1 bytes)\n- `b.nc` (2 bytes)\n\n## Validation\n- Files checked: 2\n- Failures: 3\n"
     )
+    timed = sinks.index_lines(files, F.lit(3), "out", F.lit("2024-01-01T00:00:00+00:00")).orderBy("section", "line")
+    assert [r.line for r in timed.collect()][:5] == ["# out", "", "Generated: 2024-01-01T00:00:00+00:00", "", "## Files"]
 
 
 def test_quality_of_empty_and_infinite_values(spark):
