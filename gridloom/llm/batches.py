@@ -39,9 +39,9 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE
             first = last
 
 
-def longs(batch: pa.RecordBatch, name: str) -> np.ndarray:
+def longs(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     """A non-null integer column as int64."""
-    return batch.column(batch.schema.get_field_index(name)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return np.asarray(batch.column(batch.schema.get_field_index(name)).cast(pa.int64()))
 
 
 def list_column(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -76,6 +76,44 @@ def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def _changes(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows at which a key begins; the first one counts."""
+    change = np.zeros(batch.num_rows, bool)
+    change[:1] = True
+    for name in keys:
+        column = np.asarray(batch.column(name).cast(pa.int64()))
+        change[1:] |= column[1:] != column[:-1]
+    return change
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches sorted by integer ``keys`` as tables of about ``rows`` rows or a key's, with the bounds of the keys in them.
+
+    No key is parted, and one that is longer than ``rows`` is a table of its own length.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        return table, np.append(np.flatnonzero(_changes(table, keys)), table.num_rows)
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            table, bounds = whole(held)
+            last = int(bounds[-2])
+            if last:
+                yield table.slice(0, last), bounds[:-1]
+            held = table.slice(last).to_batches()
+            size = table.num_rows - last
+    if held:
+        yield whole(held)
+
+
 def per_key(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``work`` to the rows of every key, one key at a time, streaming through a sorted partition."""
 

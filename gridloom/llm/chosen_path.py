@@ -130,10 +130,11 @@ def _sketch_similar(similarity: float):
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         counts = np.asarray(table.column("n_shingles"))
 
-        def similar(i: int, others: np.ndarray) -> np.ndarray:
+        def similar(i: int | np.ndarray, others: np.ndarray) -> np.ndarray:
             n, m = counts[i], counts[others]
-            near = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
-            near[near] = (sketch[others[near]] == sketch[i]).mean(axis=1) >= least
+            near = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
+            own = sketch[i] if np.ndim(i) == 0 else sketch[i[near]]
+            near[near] = (sketch[others[near]] == own).mean(axis=1) >= least
             return near
 
         return similar

@@ -135,8 +135,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, hits: int = HIT
         # Most that rounding can have moved a vector.
         off = step * (0.5 * math.sqrt(wide)) + 1e-6
 
-        def similar(i: int, others: np.ndarray) -> np.ndarray:
-            return matrix[others] @ matrix[i] >= threshold - off[i] - off[others] - off[i] * off[others]
+        def similar(i: int | np.ndarray, others: np.ndarray) -> np.ndarray:
+            cosine = matrix[others] @ matrix[i] if np.ndim(i) == 0 else np.einsum("ij,ij->i", matrix[others], matrix[i])
+            return cosine >= threshold - off[i] - off[others] - off[i] * off[others]
 
         return similar
 

@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.batches import longs, per_key
+from gridloom.llm.batches import longs, per_key, whole_runs
 
 #: Rows of a bucket or component that one task compares at once; a pair of blocks holds twice as many.
 BLOCK = 1024
+#: Rows of a bucket whose pairs are compared along with those of other buckets, and rows compared together.
+SMALL, TOGETHER = 12, 1 << 15
 
 
 def block_pairs(rows: DataFrame, key: str, member: str, block: int = BLOCK, own: bool = False) -> DataFrame:
@@ -54,18 +56,41 @@ def spanning(n: int, similar: Callable[[int, np.ndarray], np.ndarray]) -> list[t
     return edges
 
 
-def forests(rows: DataFrame, bucket: str, member: str, prepare: Callable[[pa.Table], Callable[[int, np.ndarray], np.ndarray]]) -> DataFrame:
-    """Edges ``(u, v)`` that connect what is linked within the buckets; ``prepare(table)`` gives ``similar``."""
+def _forest(ids: np.ndarray, starts: np.ndarray, similar: Callable[[int | np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Edges of many buckets: all links of the small ones, a spanning forest of each larger one.
 
-    def work(table: pa.Table):
-        if table.num_rows < 2:
-            return None
-        ids = longs(table.combine_chunks(), member)
-        edges = np.array(spanning(len(ids), prepare(table)), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(ids[edges[:, 0]]), pa.array(ids[edges[:, 1]])], ["u", "v"])
+    Bucket k is the rows from ``starts[k]`` to ``starts[k + 1]``. Rows of small buckets are compared with the first, second and
+    so on after them, all buckets at once.
+    """
+    sizes = np.diff(starts)
+    bucket_end = np.repeat(starts[1:], sizes)
+    small = np.repeat(sizes <= SMALL, sizes)
+    rows, edges = np.arange(len(ids)), []
+    for step in range(1, min(SMALL, int(sizes.max(initial=0)))):
+        first = rows[small & (rows + step < bucket_end)]
+        first = first[similar(first, first + step)]
+        edges.append(np.stack([ids[first], ids[first + step]], axis=1))
+    for begin, size in zip(starts[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        found = spanning(size, lambda k, others: similar(begin + k, begin + others))  # noqa: B023
+        edges.append(ids[begin + np.array(found, np.int64).reshape(-1, 2)])
+    return np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+
+
+def forests(rows: DataFrame, bucket: str, member: str, prepare: Callable[[pa.Table], Callable[[int | np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """Edges ``(u, v)`` that connect what is linked within the buckets; ``prepare(table)`` gives ``similar``.
+
+    ``similar(i, others)`` compares row ``i`` with each of the others, or rows pairwise if ``i`` is an array of them.
+    """
+    keys = [bucket, "_i", "_j"]
+
+    def work(batches):
+        for table, starts in whole_runs(batches, keys, TOGETHER):
+            edges = _forest(longs(table, member), starts, prepare(table))
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
 
-    paired = block_pairs(rows, bucket, member)
-    return per_key(paired, [bucket, "_i", "_j"], work, "u long, v long").where("u <> v").distinct()
+    paired = block_pairs(rows, bucket, member).repartition(*keys).sortWithinPartitions(*keys)
+    return paired.mapInArrow(work, "u long, v long").where("u <> v").distinct()
 
 
 def degrees(rows: DataFrame, key: str, member: str, weight: str, linked: Callable[[pa.Table], np.ndarray], block: int = BLOCK) -> DataFrame:

@@ -442,3 +442,30 @@ def test_packing_a_long_text(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.packed(docs, path, 2).selectExpr("*", "crc32(ids) AS ids_crc32").collect()
     check_packed(got, library_ids("word_bpe_49k.json", texts(docs), 2))
+
+
+def test_many_buckets_at_once(monkeypatch):
+    """Buckets of all sizes, cut into batches anywhere: the edges connect what a plain search of each bucket connects."""
+    import pyarrow as pa
+
+    from gridloom.llm import batches, links
+
+    rng = np.random.default_rng(6)
+    sizes = [1, 2, 3, 12, 13, 40, 1, 200, 5] * 6
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    ids, value = rng.permutation(len(key)), rng.integers(0, 30, len(key))
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(value)], ["k", "id", "v"])
+    cuts = [0, *sorted(rng.integers(0, len(key), 25).tolist()), len(key)]
+    parts = [whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    got = []
+    for table, starts in batches.whole_runs(parts, ["k"], 50):
+        v = np.asarray(table["v"])
+        assert starts[0] == 0 and starts[-1] == table.num_rows
+        got += links._forest(batches.longs(table, "id"), starts, lambda i, others, v=v: v[others] == v[i]).tolist()
+    # Rows of one bucket with equal values form a group.
+    want = {frozenset(ids[(key == k) & (value == v)].tolist()) for k in range(len(sizes)) for v in set(value[key == k].tolist())}
+    comp = components_of(len(ids), got, list(range(len(ids))))
+    groups = defaultdict(set)
+    for k, c in enumerate(comp):
+        groups[c].add(k)
+    assert {frozenset(g) for g in groups.values()} == want
