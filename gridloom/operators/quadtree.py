@@ -16,7 +16,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.shared import materialise
@@ -69,13 +69,12 @@ class _Extent:
 
 
 def _extent(sides: DataFrame, margin: float = 0.0) -> _Extent:
-    """Extent of the sides with ``margin`` around them and room to spare; found while they are written."""
-    seen = Observation()
+    """Extent of the sides with ``margin`` around them and room to spare."""
+    written = materialise(sides, "quadtree-sides")
     bounds = [(F.min, F.least, "x", "west"), (F.min, F.least, "y", "south"), (F.max, F.greatest, "x", "east"), (F.max, F.greatest, "y", "north")]
     told = [fold(pick(f"{axis}1", f"{axis}2")).alias(name) for fold, pick, axis, name in bounds]
-    written = materialise(sides.observe(seen, F.count("*").alias("n"), F.sum(F.abs(F.col("y2") - F.col("y1"))).alias("heights"), *told), "quadtree-sides")
-    box = seen.get
-    if not box.get("n") or box["west"] is None:
+    box = written.agg(F.count("*").alias("n"), F.sum(F.abs(F.col("y2") - F.col("y1"))).alias("heights"), *told).first()
+    if box["west"] is None:
         return _Extent(written, 0, 0.0, None)
     extent = max(box["east"] - box["west"], box["north"] - box["south"], 1e-6) + 2 * margin
     size = 2.0 ** math.ceil(math.log2(extent * 1.2))
@@ -100,6 +99,11 @@ def _beyond(edge: Column) -> Column:
     return F.when((x1 > edge) & (x2 <= edge), y1).when((x2 > edge) & (x1 <= edge), y2)
 
 
+def _counts(edge: Column) -> Column:
+    """Whether a side counts in a tile: one that is all beyond the right edge is crossed on the way there or not at all."""
+    return (F.col("x1") <= edge) | (F.col("x2") <= edge)
+
+
 def _turned(x: Column, y: Column, beyond: Column, at: Column | None = None) -> Column:
     """Whether a side changes the parity between (x, y) and the path's end."""
     return crossed(x, y, at) != F.coalesce(beyond > y, F.lit(False))
@@ -229,9 +233,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def build(sides: DataFrame, leaf: int = LEAF) -> Quadtree | None:
     """Quadtree of the features ``sides(fid, x1, y1, x2, y2)``, whose rings are closed; None without sides.
 
-    A row per tile and feature: ``covered`` where the feature holds the whole tile; else the parity ``odd`` at the path's end,
-    and the feature's sides there, ``side_0`` and so on, with ``more`` for what they cannot hold. All features share the tiles. The rounds grow with the logarithm of the sides, and no round brings the sides of a feature
-    or of a tile that is still to be cut together: sides are dealt to tiles, parities are sums over sides.
+    A row per tile and feature: ``covered`` where the feature holds the whole tile; else the parity ``odd`` at the path's end
+    and the feature's sides there, ``side_0`` and so on, with ``more`` for what these cannot hold. All features share the
+    tiles. The rounds grow with the logarithm of the sides, and no round brings the sides of a feature or of a tile that
+    is still to be cut together: sides are dealt to tiles, parities are sums over sides.
     """
     extent = _extent(sides.select(F.col("fid").cast("long").alias("fid"), *SIDE))
     square, rows = extent.square, extent.count
@@ -244,17 +249,18 @@ def build(sides: DataFrame, leaf: int = LEAF) -> Quadtree | None:
         # Each part of a crowded tile: the parity at its corner from all sides of the tile, and the sides that pass it.
         if current is None:
             todo, level = _first_parts(extent)
-            parts = todo.withColumns({"odd": F.lit(0).cast("long"), "_beyond": F.lit(None).cast("double")})
+            parts = todo.withColumns({"odd": F.lit(0).cast("long"), "_beyond": F.lit(None).cast("double"), "_counts": F.lit(True)})
         else:
             todo = current.join(crowded, ["ix", "iy"], "left_semi")
             edge = F.lit(square.x0) + (F.col("ix") + 1) * F.lit(square.cell(level))
-            parts, level = _quartered(todo.withColumn("_beyond", _beyond(edge)), STEP), level + STEP
+            parts, level = _quartered(todo.withColumns({"_beyond": _beyond(edge), "_counts": _counts(edge)}), STEP), level + STEP
         dealt = _boxed(parts, square, level)
         east, south = F.col("_east"), F.col("_south")
         passes = _near_box(F.col("_west"), south, east, F.col("_north"), slack)
         outer = _beyond(east)
         start = F.coalesce(passes & (crossed(east, south) != (outer > south)), F.lit(False))
-        turns = _turned(east, south, F.col("_beyond")).cast("long") + start.cast("long")
+        turned = F.col("_counts") & _turned(east, south, F.col("_beyond"))
+        turns = turned.cast("long") + start.cast("long")
         dealt = dealt.select("ix", "iy", "fid", "odd", passes.alias("_passes"), turns.alias("_turns"), *SIDE)
         parity = dealt.groupBy("ix", "iy", "fid").agg(((F.max("odd") + F.sum("_turns")) % 2).alias("odd"), F.sum(F.col("_passes").cast("long")).alias("_n"))
         parity = materialise(parity.where("_n > 0 OR odd = 1"), "quadtree-parity")
@@ -269,10 +275,8 @@ def build(sides: DataFrame, leaf: int = LEAF) -> Quadtree | None:
         elif rows:
             current = materialise(current, "quadtree-sides")
             rest = current.join(crowded, ["ix", "iy"], "left_anti")
-        # A side that is all beyond the right edge counts nowhere.
         edge = F.lit(square.x0) + (F.col("ix") + 1) * F.lit(square.cell(level))
-        counts = (F.col("x1") <= edge) | (F.col("x2") <= edge)
-        side = F.when(counts, F.struct(*SIDE, _beyond(edge).alias("beyond")))
+        side = F.when(_counts(edge), F.struct(*SIDE, _beyond(edge).alias("beyond")))
         decided = rest.groupBy("ix", "iy", "fid").agg((F.max("odd") % 2 == 1).alias("odd"), F.collect_list(side).alias("_sides"))
         slots = [F.get("_sides", F.lit(k)).alias(f"side_{k}") for k in range(SLOTS)]
         more = F.when(F.size("_sides") > SLOTS, F.slice("_sides", SLOTS + 1, F.size("_sides"))).alias("more")
