@@ -16,10 +16,14 @@ def yearly_median(
     bands: list[str] | None = None,
     keys: tuple[str, ...] = CHUNK + CELL,
     task_rows: int = TASK_ROWS,
+    keep: bool = False,
 ) -> DataFrame:
-    """Median of every band per dataset, part, calendar year and pixel; masked values are ignored."""
+    """Median of every band per dataset, part, calendar year and pixel; masked values are ignored.
+
+    ``keep`` is for a filtered or clipped input: it is written down narrowed, and read once (see ``median_by``).
+    """
     dated = px if "year" in px.columns else px.withColumn("year", F.year("ts"))
-    return median_by(dated, list(keys), bands or value_bands(px), task_rows)
+    return median_by(dated, list(keys), bands or value_bands(px), task_rows, keep)
 
 
 def period_mean(px: DataFrame, start: str, end: str, bands: list[str], keys: tuple[str, ...] = ("dataset_id",) + CELL) -> DataFrame:

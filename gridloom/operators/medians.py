@@ -24,14 +24,16 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return same
 
 
-def median_by(df: DataFrame, keys: list[str], bands: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+def median_by(df: DataFrame, keys: list[str], bands: list[str], task_rows: int = TASK_ROWS, keep: bool = False) -> DataFrame:
     """Exact median of each band per group, NULLs ignored; an even count averages the two middle values.
 
     Rows are counted per group first, which combines before anything is sent. Groups of up to ``task_rows`` rows are placed
     by group, because a median cannot be combined from partial results that are smaller than the values; the larger
-    ones are solved by ``_radix_medians``, which never brings a group together. Both ways are exact.
+    ones are solved by ``_radix_medians``, which never brings a group together. Both ways are exact. ``keep`` writes the
+    needed columns down first, so that a selective input is read and filtered once; without it the count reads the keys.
     """
     needed = df.select(*keys, *bands)
+    needed = materialise(needed, "median-rows") if keep else needed
     sizes = needed.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > task_rows)
     large = materialise(sizes.select(*keys), "large-groups")
     if large.isEmpty():

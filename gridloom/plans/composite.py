@@ -21,7 +21,7 @@ from gridloom.sources.pixels import read_partitioned, value_bands, write_composi
 
 def composite(px: DataFrame, sides: DataFrame, start: str, end: str) -> DataFrame:
     """Period filter, clip, yearly median: all datasets, parts and years in one plan."""
-    return yearly_median(clip(filter_date(px, start, end), sides))
+    return yearly_median(clip(filter_date(px, start, end), sides), keep=True)
 
 
 def chunk_plan(catalog: DataFrame) -> DataFrame:
@@ -30,21 +30,22 @@ def chunk_plan(catalog: DataFrame) -> DataFrame:
     return chunks.withColumn("part", F.col("part").cast("bigint")).select(*CHUNK, "out_name", "scale", "start", "end")
 
 
-def _planned(px: DataFrame, plan: DataFrame, mask: Quadtree) -> DataFrame:
+def _planned(px: DataFrame, plan: DataFrame, mask: Quadtree | None, keep: bool = True) -> DataFrame:
     time_type = px.schema["ts"].dataType
     planned = join_plan(px, plan.drop("scale")).where(
         (F.col("ts") >= F.col("start").cast(time_type)) & (F.col("ts") < F.col("end").cast(time_type))
     )
     clipped = apply_mask(planned.drop("start", "end"), mask)
-    return yearly_median(clipped, value_bands(px), (*CHUNK, "out_name", *CELL))
+    return yearly_median(clipped, value_bands(px), (*CHUNK, "out_name", *CELL), keep=keep)
 
 
-def named_composite(px: DataFrame, catalog: DataFrame, sides: DataFrame) -> DataFrame:
+def named_composite(px: DataFrame, catalog: DataFrame, sides: DataFrame, keep: bool = True) -> DataFrame:
     """Composite of every planned chunk, on its native grid, with its output name.
 
-    Dataset periods apply before the calendar years, so first and last years may be partial.
+    Dataset periods apply before the calendar years, so first and last years may be partial. The planned and clipped
+    pixels are written down and the input is read once; without ``keep`` a clustered table keeps its layout up to the median.
     """
-    return _planned(px, chunk_plan(catalog), build_mask(sides))
+    return _planned(px, chunk_plan(catalog), build_mask(sides), keep)
 
 
 def named_static(images: DataFrame, catalog: DataFrame, sides: DataFrame) -> DataFrame:

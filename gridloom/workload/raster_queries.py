@@ -28,7 +28,7 @@ MEDIANS = "median(band_a) AS band_a, median(band_b) AS band_b, CAST(median(qa) A
     FROM {{px_obs}} p JOIN inside i ON p.row = i.row AND p.col = i.col WHERE {IN_PERIOD} GROUP BY ALL""")
 def yearly_median(inputs: Inputs) -> DataFrame:
     kept = clip.clip(filters.filter_date(inputs.px_obs, START, END), inputs.aoi)
-    return composites.yearly_median(kept, BANDS)
+    return composites.yearly_median(kept, BANDS, keep=True)
 
 
 @query("all_bands_composite", f"""
@@ -298,7 +298,7 @@ def clustered_composite(inputs: Inputs) -> DataFrame:
     path = fresh_path(inputs.spark, "clustered")
     clustered.write_clustered(inputs.px_obs, path, buckets=4)
     px = clustered.clustered(inputs.spark, path)
-    return composite.named_composite(px, px_catalog(px, wider=0), inputs.aoi)
+    return composite.named_composite(px, px_catalog(px, wider=0), inputs.aoi, keep=False)
 
 
 @query("days_since_epoch", """

@@ -36,7 +36,7 @@ def test_rows_come_back(spark, px, stored):
 def test_a_composite_of_clustered_pixels_has_no_shuffle(spark, px, stored):
     sides = spark.createDataFrame([(0, 0, 1.0, 1.0, 8.0, 1.5), (0, 0, 8.0, 1.5, 5.0, 9.0), (0, 0, 5.0, 9.0, 1.0, 1.0)], "fid long, ring int, x1 double, y1 double, x2 double, y2 double")
     catalog = spark.createDataFrame([(d, "v", ["x"], 1000, "collection", "2001-02-01", "2003-12-31") for d in ("a", "01b")], "dataset_id string, vars string, assets array<string>, scale int, kind string, start string, end string")
-    with_layout = composite.named_composite(clustered.clustered(spark, stored), catalog, sides)
+    with_layout = composite.named_composite(clustered.clustered(spark, stored), catalog, sides, keep=False)
     plan = with_layout._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "Bucketed: true" in plan
     assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan

@@ -37,15 +37,32 @@ def _flat(rows, bands):
     return {(r.k1, r.k2, band): r[band] for r in rows for band in bands}
 
 
-@pytest.mark.parametrize("task_rows", [10**9, 500, 0])
+@pytest.mark.parametrize(("task_rows", "keep"), [(10**9, False), (10**9, True), (500, True), (0, False)])
 @pytest.mark.parametrize("rows", [3000, 3001])
-def test_median_is_exact_on_every_path(spark, rows, task_rows):
+def test_median_is_exact_on_every_path(spark, rows, task_rows, keep):
     df, data = _pixels(spark, rows)
-    medians = median_by(df, ["k1", "k2"], ["u", "v", "w"], task_rows).collect()
+    medians = median_by(df, ["k1", "k2"], ["u", "v", "w"], task_rows, keep).collect()
     assert _flat(medians, "uvw") == pytest.approx(_brute(data))
     assert 3 * len(medians) == len(_brute(data))
 
 
+def test_a_kept_input_is_read_once(spark, tmp_path):
+    """Records that the scan of the input gives, counted by the input's own task metrics."""
+    spark.range(5000).selectExpr("id % 7 AS k", "CAST(id AS DOUBLE) AS v").write.parquet(str(tmp_path / "px"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    for keep, times in ((True, 1), (False, 2)):
+        before = seen.value
+        df = spark.read.parquet(str(tmp_path / "px")).mapInArrow(counted, "k long, v double")
+        assert len(median_by(df, ["k"], ["v"], keep=keep).collect()) == 7
+        assert seen.value - before == 5000 * times
+
+
 def test_hot_median_without_broadcast(spark, no_broadcast):
     df, data = _pixels(spark, 2000, seed=9)
     medians = median_by(df, ["k1", "k2"], ["u"], 100).collect()
