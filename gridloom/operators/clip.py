@@ -18,7 +18,7 @@ from gridloom.sources.boundary import total_bounds
 
 
 def build_mask(sides: DataFrame) -> Quadtree | None:
-    """Tiles of the features, written once for reuse; None without any."""
+    """Tiles of the features' union, written once for reuse; None without any."""
     return quadtree.build(sides)
 
 
@@ -42,7 +42,7 @@ def clip(px: DataFrame, sides: DataFrame, x: str = "lon", y: str = "lat") -> Dat
 
 def inside_features(points: DataFrame, sides: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """One row per point and feature that holds it."""
-    mask = build_mask(sides)
+    mask = quadtree.build(sides)
     if mask is None:
         return points.where(F.lit(False)).withColumn("fid", F.lit(None).cast("long"))
     return mask.with_features(_within(points, mask, x, y), x, y)
@@ -79,7 +79,7 @@ def filter_bounds(scenes: DataFrame, sides: DataFrame) -> DataFrame:
     footprint is tested once; boxes and sides of any size meet through the tiles they share.
     """
     corners = ["west", "south", "east", "north"]
-    mask = build_mask(sides)
+    mask = quadtree.build(sides)
     if mask is None:
         return scenes.where(F.lit(False))
     near = _overlapping(scenes, total_bounds(sides).first())

@@ -16,7 +16,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.shared import materialise
@@ -27,6 +27,8 @@ LEAF, SLOTS = 32, 2
 ROUND_ROWS, STEP = 1 << 20, 2
 #: Levels at most; the tiles of the last one keep all their sides, such as many that share a corner.
 DEPTH = 24
+#: Rounds of cutting that do not part the sides of a tile before it stays as it is.
+STUCK = 4
 #: Where the square begins, in parts of its size, so that tile edges do not run along round coordinates.
 _OFFSET = 0.0437208171
 #: Slack of the test whether a side passes a tile, in parts of the square: far above rounding, far below a tile.
@@ -215,12 +217,21 @@ def _first_parts(extent: _Extent) -> tuple[DataFrame, int]:
 
 
 def _crowded(sizes: DataFrame, leaf: int) -> tuple[DataFrame, int]:
-    """Tiles ``(ix, iy)`` that hold too many sides, and the number of these.
+    """Tiles ``(ix, iy)`` that hold too many sides, of ``sizes(ix, iy, _n)``, and the number of these."""
+    crowded = sizes.where(F.col("_n") > leaf)
+    return crowded.select("ix", "iy"), crowded.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
 
-    ``sizes(ix, iy, _n, _most)`` are the sides of a tile, and of one feature in it.
+def _cut(sizes: DataFrame, keys: list[str], crowded: Column, level: int) -> DataFrame:
+    """``sizes(ix, iy, *keys, _n, _within, _stuck)`` with ``_stuck`` counted on and whether ``_cut`` applies to a row.
+
+    Sides that lie on each other fill ever more tiles without ever parting. A tile in which most of its parent's sides
+    are left, among others that hold more together than the parent did, is stuck; one is not cut after ``STUCK`` such rounds.
     """
-    crowded = sizes.where((F.col("_n") > leaf) | (F.col("_most") > SLOTS))
-    return crowded.select("ix", "iy"), crowded.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    family = Window.partitionBy(*keys, F.floor(F.col("ix") / (1 << STEP)), F.floor(F.col("iy") / (1 << STEP)))
+    spread = (F.sum(F.when(crowded, F.col("_n"))).over(family) > 2 * F.col("_within")) & (2 * F.col("_n") > F.col("_within"))
+    stuck = sizes.withColumn("_stuck", F.when(spread, F.col("_stuck") + 1).otherwise(0))
+    return stuck.withColumn("_cut", crowded & (F.col("_stuck") < STUCK) & F.lit(level + STEP <= DEPTH))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -230,30 +241,64 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return rows
 
 
-def build(sides: DataFrame, leaf: int = LEAF) -> Quadtree | None:
+def _told(sizes: DataFrame, own: str) -> tuple[int, bool]:
+    """Sides still to be cut, and whether a tile that stays has more sides of a feature than there are columns."""
+    told = sizes.agg(F.sum(F.when(F.col("_cut"), F.col("_n"))).alias("rows"), F.max(F.when(~F.col("_cut"), F.col(own))).alias("most")).first()
+    return told["rows"] or 0, (told["most"] or 0) > SLOTS
+
+
+def _own_tiles(parity: DataFrame, kept: DataFrame, level: int) -> tuple[DataFrame, DataFrame, int, bool]:
+    """Sides ``kept`` of the tiles with whether these are cut, covered tiles, and what ``_told`` says: each feature by itself."""
+    parity = materialise(_cut(parity, ["fid"], F.col("_n") > SLOTS, level), "quadtree-parity")
+    rows, wide = _told(parity, "_n")
+    of = parity.where("_n > 0").select("ix", "iy", "fid", "odd", F.col("_n").alias("_within"), "_stuck", "_cut")
+    current = kept.join(of, ["ix", "iy", "fid"])
+    return materialise(current, "quadtree-sides") if rows else current, parity.where("_n = 0"), rows, wide
+
+
+def _shared_tiles(parity: DataFrame, kept: DataFrame, leaf: int, level: int) -> tuple[DataFrame, DataFrame, int, bool]:
+    """As ``_own_tiles``, for the union of the features: no other rows where one covers a tile, one of those that are alike in it."""
+    parity = materialise(parity, "quadtree-parity")
+    covers = materialise(parity.where("_n = 0").groupBy("ix", "iy").agg(F.min("fid").alias("fid")), "quadtree-covered")
+    open_ = parity.where("_n > 0").join(covers.select("ix", "iy"), ["ix", "iy"], "left_anti").withColumnRenamed("_n", "_own")
+    sided = kept.join(open_, ["ix", "iy", "fid"])
+    once = [F.max(c).alias(c) for c in ("_own", "_within", "_stuck")]
+    few = sided.where(F.col("_own") <= leaf).groupBy("ix", "iy", "fid", "odd").agg(F.sort_array(F.collect_list(F.struct(*SIDE))).alias("_all"), *once)
+    few = few.groupBy("ix", "iy", "odd", "_all").agg(F.min("fid").alias("fid"), *once).select("*", F.inline("_all")).select(*sided.columns)
+    sided = materialise(few.unionByName(sided.where(F.col("_own") > leaf)), "quadtree-sides")
+    sizes = sided.groupBy("ix", "iy").agg(F.count("*").alias("_n"), *once)
+    sizes = materialise(_cut(sizes, [], (F.col("_n") > leaf) | (F.col("_own") > SLOTS), level), "quadtree-sizes")
+    rows, wide = _told(sizes, "_own")
+    of = sizes.select("ix", "iy", F.col("_n").alias("_within"), "_stuck", "_cut")
+    return sided.drop("_own", "_within", "_stuck").join(of, ["ix", "iy"]), covers, rows, wide
+
+
+def build(sides: DataFrame, leaf: int = LEAF, merged: bool = False) -> Quadtree | None:
     """Quadtree of the features ``sides(fid, x1, y1, x2, y2)``, whose rings are closed; None without sides.
 
     A row per tile and feature: ``covered`` where the feature holds the whole tile; else the parity ``odd`` at the path's end
-    and the feature's sides there, ``side_0`` and so on, with ``more`` for what these cannot hold. All features share the
-    tiles. The rounds grow with the logarithm of the sides, and no round brings the sides of a feature or of a tile that
-    is still to be cut together: sides are dealt to tiles, parities are sums over sides.
+    and the feature's sides there, ``side_0`` and so on, with ``more`` for what these cannot hold. Each feature is cut by its
+    own sides alone, so that features that overlap or repeat each other cost their own tiles and no more. ``merged`` tells
+    only whether any feature holds a point: features share the tiles, which keep up to ``leaf`` sides; where one covers a tile
+    or several are alike in it, one row stands for all. The rounds grow with the logarithm of the sides, and no round brings
+    the sides of a feature or of a tile that is still to be cut together: sides are dealt to tiles, parities are sums over sides.
     """
     extent = _extent(sides.select(F.col("fid").cast("long").alias("fid"), *SIDE))
     square, rows = extent.square, extent.count
     if square is None:
         return None
     slack = square.size * _SLACK
-    current, crowded, level = None, None, 0
+    current, level, wide = None, 0, False
     done, levels = [], []
     while rows:
         # Each part of a crowded tile: the parity at its corner from all sides of the tile, and the sides that pass it.
         if current is None:
             todo, level = _first_parts(extent)
             parts = todo.withColumns({"odd": F.lit(0).cast("long"), "_beyond": F.lit(None).cast("double"), "_counts": F.lit(True)})
+            parts = parts.withColumns({"_within": F.lit(None).cast("long"), "_stuck": F.lit(0)})
         else:
-            todo = current.join(crowded, ["ix", "iy"], "left_semi")
             edge = F.lit(square.x0) + (F.col("ix") + 1) * F.lit(square.cell(level))
-            parts, level = _quartered(todo.withColumns({"_beyond": _beyond(edge), "_counts": _counts(edge)}), STEP), level + STEP
+            parts, level = _quartered(current.where("_cut").withColumns({"_beyond": _beyond(edge), "_counts": _counts(edge)}), STEP), level + STEP
         dealt = _boxed(parts, square, level)
         east, south = F.col("_east"), F.col("_south")
         passes = _near_box(F.col("_west"), south, east, F.col("_north"), slack)
@@ -261,29 +306,22 @@ def build(sides: DataFrame, leaf: int = LEAF) -> Quadtree | None:
         start = F.coalesce(passes & (crossed(east, south) != (outer > south)), F.lit(False))
         turned = F.col("_counts") & _turned(east, south, F.col("_beyond"))
         turns = turned.cast("long") + start.cast("long")
-        dealt = dealt.select("ix", "iy", "fid", "odd", passes.alias("_passes"), turns.alias("_turns"), *SIDE)
-        parity = dealt.groupBy("ix", "iy", "fid").agg(((F.max("odd") + F.sum("_turns")) % 2).alias("odd"), F.sum(F.col("_passes").cast("long")).alias("_n"))
-        parity = materialise(parity.where("_n > 0 OR odd = 1"), "quadtree-parity")
-        kept = dealt.where("_passes").select("ix", "iy", "fid", *SIDE)
-        current = kept.join(parity.where("_n > 0").select("ix", "iy", "fid", "odd"), ["ix", "iy", "fid"])
-        sizes = parity.where("_n > 0").groupBy("ix", "iy").agg(F.sum("_n").alias("_n"), F.max("_n").alias("_most"))
-        crowded, rows = _crowded(sizes, leaf)
-        wide = rows > 0 and level + STEP > DEPTH
-        rest = current
-        if wide:
-            rows = 0
-        elif rows:
-            current = materialise(current, "quadtree-sides")
-            rest = current.join(crowded, ["ix", "iy"], "left_anti")
+        dealt = dealt.select("ix", "iy", "fid", "odd", "_within", "_stuck", passes.alias("_passes"), turns.alias("_turns"), *SIDE)
+        parity = dealt.groupBy("ix", "iy", "fid").agg(
+            ((F.max("odd") + F.sum("_turns")) % 2).alias("odd"), F.sum(F.col("_passes").cast("long")).alias("_n"),
+            F.max("_within").alias("_within"), F.max("_stuck").alias("_stuck"),
+        )
+        parity, kept = parity.where("_n > 0 OR odd = 1"), dealt.where("_passes").select("ix", "iy", "fid", *SIDE)
+        current, covers, rows, more_sides = _shared_tiles(parity, kept, leaf, level) if merged else _own_tiles(parity, kept, level)
+        wide = wide or more_sides
         edge = F.lit(square.x0) + (F.col("ix") + 1) * F.lit(square.cell(level))
         side = F.when(_counts(edge), F.struct(*SIDE, _beyond(edge).alias("beyond")))
-        decided = rest.groupBy("ix", "iy", "fid").agg((F.max("odd") % 2 == 1).alias("odd"), F.collect_list(side).alias("_sides"))
+        decided = current.where("NOT _cut").groupBy("ix", "iy", "fid").agg((F.max("odd") % 2 == 1).alias("odd"), F.collect_list(side).alias("_sides"))
         slots = [F.get("_sides", F.lit(k)).alias(f"side_{k}") for k in range(SLOTS)]
         more = F.when(F.size("_sides") > SLOTS, F.slice("_sides", SLOTS + 1, F.size("_sides"))).alias("more")
         tiles = decided.select("ix", "iy", "fid", F.lit(False).alias("covered"), "odd", *slots, more)
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in tiles.schema.fields[4:]]
-        covers = parity.where("_n = 0").select("ix", "iy", "fid", F.lit(True).alias("covered"), *none)
-        tiles = tiles.unionByName(covers)
+        tiles = tiles.unionByName(covers.select("ix", "iy", "fid", F.lit(True).alias("covered"), *none))
         done.append(tiles.withColumn("level", F.lit(level)))
         levels.append(level)
     tiles = _union(done).withColumn("key", tile_key(F.col("level"), F.col("ix"), F.col("iy")))
@@ -327,7 +365,7 @@ def build_near(sides: DataFrame, distance: float, leaf: int = LEAF) -> Quadtree
         whole = reached.where("covered").dropDuplicates(["ix", "iy"])
         current = reached.join(whole.select("ix", "iy"), ["ix", "iy"], "left_anti").unionByName(whole)
         sizes = current.where("NOT covered").groupBy("ix", "iy").agg(F.count("*").alias("_n"))
-        crowded, rows = _crowded(sizes.withColumn("_most", zero), leaf)
+        crowded, rows = _crowded(sizes, leaf)
         rest = current
         if level + STEP > DEPTH:
             rows = 0

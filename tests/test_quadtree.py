@@ -162,3 +162,21 @@ def test_near_tree_decides_whole_tiles(spark):
         return math.hypot(px - x1 - t * dx, py - y1 - t * dy)
 
     assert got == {k for k, p in enumerate(points) if min(away(*p, *r[2:]) for r in rows) <= 9.0}
+
+
+def test_features_that_repeat_each_other_are_not_cut_finer(spark):
+    """More copies than a tile keeps sides, and sides that lie on others in part: tiles grow with the features, not without end."""
+    rng = random.Random(8)
+    shapes = [_star(rng, k, k, 6, 1.5) for k in range(3)]
+    rows = [side for fid in range(120) for side in _ring(shapes[fid % 3], fid)]
+    rows += [side for k in range(40) for side in _ring([(6, 0), (6.5 + k / 64, 0), (6.5 + k / 64, 1), (6, 1)], 200 + k)]
+    points = [(rng.uniform(-2, 8), rng.uniform(-2, 5)) for _ in range(500)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "id INT, x DOUBLE, y DOUBLE")
+    each, union = quadtree.build(_table(spark, rows)), quadtree.build(_table(spark, rows), merged=True)
+    assert each.tiles.count() < 60 * 160
+    found = sorted((r["id"], r["fid"]) for r in each.with_features(df, "x", "y").collect())
+    assert found == sorted((k, fid) for k, p in enumerate(points) for fid in _holders(rows, *p))
+    copies = quadtree.build(_table(spark, rows).where("fid < 120"), merged=True)
+    assert 0 < copies.tiles.where("NOT covered").agg(F.max("fid")).first()[0] < 3 and copies.tiles.count() < 2000
+    kept = sorted(r["id"] for r in clip.apply_mask(df, union, "x", "y").collect())
+    assert kept == [k for k, p in enumerate(points) if _holders(rows, *p)]
