@@ -19,7 +19,7 @@ from gridloom.sources.boundary import total_bounds
 
 def build_mask(sides: DataFrame) -> Quadtree | None:
     """Tiles of the features' union, written once for reuse; None without any."""
-    return quadtree.build(sides)
+    return quadtree.build(sides, merged=True)
 
 
 def _within(px: DataFrame, mask: Quadtree, x: str, y: str) -> DataFrame:

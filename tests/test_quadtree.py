@@ -180,3 +180,9 @@ def test_features_that_repeat_each_other_are_not_cut_finer(spark):
     assert 0 < copies.tiles.where("NOT covered").agg(F.max("fid")).first()[0] < 3 and copies.tiles.count() < 2000
     kept = sorted(r["id"] for r in clip.apply_mask(df, union, "x", "y").collect())
     assert kept == [k for k, p in enumerate(points) if _holders(rows, *p)]
+
+
+def test_a_clip_keeps_one_row_where_features_are_alike(spark):
+    rows = [side for fid in range(80) for side in _ring([(0, 0), (5, 0.5), (4, 4), (1, 3)], fid)]
+    mask = clip.build_mask(_table(spark, rows))
+    assert mask.tiles.count() == mask.tiles.select("key").distinct().count() < 500
