@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.shared import materialise
 
 
-def _differs(now: pa.Array, before: pa.Array) -> np.ndarray:
+def differs(now: pa.Array, before: pa.Array) -> np.ndarray:
     """Whether neighbours differ; NULL equals NULL and NaN equals NaN."""
     other = pc.fill_null(pc.not_equal(now, before), False)
     if pa.types.is_floating(now.type):
@@ -32,9 +32,9 @@ def _numbered(keys: list[str]):
             fresh = np.zeros(n, bool)
             for k in keys:
                 column = batch.column(k)
-                fresh[1:] |= _differs(column.slice(1), column.slice(0, n - 1))
+                fresh[1:] |= differs(column.slice(1), column.slice(0, n - 1))
                 if last is not None:
-                    fresh[0] |= bool(_differs(column.slice(0, 1), last[k])[0])
+                    fresh[0] |= bool(differs(column.slice(0, 1), last[k])[0])
             at = np.arange(n)
             starts = np.where(fresh, at, -1)
             starts = np.maximum.accumulate(starts)

@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from gridloom.operators.axes import CHUNK_SIDE
 from gridloom.operators.composites import grid_keys
 from gridloom.operators.medians import null_safe
+from gridloom.operators.skew import differs
 from gridloom.shared import materialise
 
 AXES = ("time", "y", "x")
 #: Repeated cells in one list.
 LIST = 1 << 16
 _CHUNK = ", ".join(f"c_{a} int, n_{a} int" for a in AXES)
-_STORED = f"var string, {_CHUNK}, dense boolean, cells binary, state binary, data binary"
+_ENCODED = f"_series long, {_CHUNK}, dense boolean, cells binary, state binary, data binary"
+#: Bits of a chunk's extent along an axis, of three in one number.
+_BITS = 20
 ABSENT, MASKED, VALUE = 0, 1, 2
 
 
@@ -38,15 +41,21 @@ def axis_tables(grid: DataFrame, side: int = CHUNK_SIDE) -> dict[str, DataFrame]
     return tables
 
 
-def _encoded(keys: list[str], names: list[str]):
-    """Task function: sorted cells of chunks to a row with the array of each, and rows of what comes more than once."""
+def _encoded():
+    """Task function: cells, chunk after chunk, to a row with the array of each, and rows of what comes more than once.
+
+    A chunk that comes in several parts, as one with many cells does, has several such rows.
+    """
     extents = [f"n_{a}" for a in AXES]
-    chunk = [*keys, "var", *[f"c_{a}" for a in AXES]]
+    chunk = ["_series", *[f"c_{a}" for a in AXES]]
+    names = [part.split()[0] for part in _ENCODED.split(", ")]
 
     def rows_of(head: dict, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         shape = tuple(head[e] for e in extents)
         cell = np.concatenate([p[0] for p in parts])
-        value, null = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        value, null = np.concatenate([p[1] for p in parts])[order], np.concatenate([p[2] for p in parts])[order]
         state = np.where(null, MASKED, VALUE).astype(np.uint8)
         first = np.concatenate([[True], cell[1:] != cell[:-1]])
         states, data = np.zeros(int(np.prod(shape)), np.uint8), np.zeros(int(np.prod(shape)))
@@ -66,18 +75,24 @@ def _encoded(keys: list[str], names: list[str]):
             if batch.num_rows == 0:
                 continue
             if schema is None:
-                fields = [batch.schema.field(c) for c in [*chunk, *extents]]
+                fields = [*[batch.schema.field(c) for c in chunk], *[pa.field(e, pa.int32()) for e in extents]]
                 kinds = [("dense", pa.bool_()), ("cells", pa.binary()), ("state", pa.binary()), ("data", pa.binary())]
                 by_name = {f.name: f for f in [*fields, *[pa.field(*k) for k in kinds]]}
                 schema = pa.schema([by_name[c] for c in names])
-            told = [batch.column(c).to_pylist() for c in [*chunk, *extents]]
-            heads = list(zip(*told))
-            starts = [k for k in range(len(heads)) if k == 0 or heads[k] != heads[k - 1]]
+            fresh = np.zeros(batch.num_rows, bool)
+            fresh[0] = True
+            for c in chunk:
+                column = batch.column(c)
+                fresh[1:] |= differs(column.slice(1), column.slice(0, batch.num_rows - 1))
+            starts = np.flatnonzero(fresh)
+            heads = batch.select([*chunk, "_extent"]).take(pa.array(starts)).to_pylist()
+            for told in heads:
+                packed = told.pop("_extent")
+                told.update({e: packed >> _BITS * k & (1 << _BITS) - 1 for k, e in enumerate(extents)})
             cell = np.asarray(batch.column("_cell"))
             value = batch.column("value")
             number, null = value.to_numpy(zero_copy_only=False).astype(np.float64), np.asarray(value.is_null())
-            for a, b in zip(starts, [*starts[1:], len(heads)]):
-                now = dict(zip([*chunk, *extents], heads[a]))
+            for now, a, b in zip(heads, starts, [*starts[1:], batch.num_rows]):
                 # A very often repeated cell does not hold up a chunk: what is held is written when it is enough.
                 if head is not None and (now != head or size >= LIST):
                     out += rows_of(head, parts) if parts else []
@@ -103,17 +118,24 @@ def write_chunks(grid: DataFrame, path: str, side: int = CHUNK_SIDE) -> None:
     """
     keys = grid_keys(grid)
     rows = grid if "time" in grid.columns else grid.withColumn("time", F.lit(None).cast("date"))
+    # One number stands for dataset and variable while cells are dealt and encoded.
+    series = materialise(grid.select(*keys, "var").distinct().withColumn("_series", F.monotonically_increasing_id()), "grid-series")
+    rows = rows.join(series, null_safe(rows, series, [*keys, "var"])).select(*[rows[c] for c in rows.columns], "_series")
     tables = axis_tables(grid, side)
     for axis, table in tables.items():
         sized = table.withColumn(f"n_{axis}", F.count("*").over(Window.partitionBy(*keys, f"c_{axis}")).cast("int"))
         rows = rows.join(sized, null_safe(rows, sized, [*keys, axis])).select(*[rows[c] for c in rows.columns], *[sized[f"{k}_{axis}"] for k in ("c", "p", "n")])
     cell = (F.col("p_time") * F.col("n_y") + F.col("p_y")) * F.col("n_x") + F.col("p_x")
-    chunk = [*keys, "var", *[f"c_{a}" for a in AXES]]
-    placed = rows.select(*chunk, *[f"n_{a}" for a in AXES], cell.cast("int").alias("_cell"), F.col("value").cast("double").alias("value"))
-    ordered = placed.repartitionByRange(*chunk).sortWithinPartitions(*chunk, "_cell")
-    kinds = ", ".join([*[f"{k} {grid.schema[k].dataType.simpleString()}" for k in keys], _STORED])
-    names = [part.split()[0] for part in kinds.split(", ")]
-    encoded = materialise(ordered.mapInArrow(_encoded(keys, names), kinds), "grid-chunks")
+    numbers = [f"c_{a}" for a in AXES]
+    extent = F.lit(0).cast("long")
+    for k, axis in enumerate(AXES):
+        extent = extent + F.shiftleft(F.col(f"n_{axis}").cast("long"), _BITS * k)
+    placed = rows.select("_series", *numbers, extent.alias("_extent"), cell.cast("int").alias("_cell"), F.col("value").cast("double").alias("value"))
+    # Dealt and sorted by one number per chunk: no pass to find ranges, and cells are put in order by the array's task.
+    ordered = placed.withColumn("_chunk", F.xxhash64("_series", *numbers)).repartition("_chunk").sortWithinPartitions("_chunk").drop("_chunk")
+    encoded = materialise(ordered.mapInArrow(_encoded(), _ENCODED), "grid-chunks")
+    encoded = encoded.join(series, "_series").select(*keys, "var", *[c for c in encoded.columns if c != "_series"])
+    chunk = [*keys, "var", *numbers]
     for axis, table in tables.items():
         spans = table.groupBy(*keys, f"c_{axis}").agg(
             F.transform(F.sort_array(F.collect_list(F.struct(f"p_{axis}", axis))), lambda s: s[axis]).alias(f"at_{axis}"),

@@ -120,3 +120,14 @@ def test_an_empty_grid(spark, tmp_path):
     grid = _grid(spark).limit(0)
     chunks.write_chunks(grid, str(tmp_path / "g"))
     assert chunks.read_chunks(spark, str(tmp_path / "g")).count() == 0
+
+
+def test_cells_are_dealt_once_and_by_number(spark, tmp_path, monkeypatch):
+    """No pass to find ranges of the cells: only the encoded chunks are ranged over files."""
+    grid, seen = _grid(spark), []
+    plain = chunks.materialise
+    monkeypatch.setattr(chunks, "materialise", lambda df, name: (seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())), plain(df, name))[1])
+    chunks.write_chunks(grid, str(tmp_path / "g"), 5)
+    plan = dict(seen)["grid-chunks"]
+    assert "RepartitionByExpression [_chunk" in plan and "ASC" in plan and plan.count("ASC") == 1
+    assert _rows_of(chunks.read_chunks(spark, str(tmp_path / "g"))) == _rows_of(grid)
