@@ -16,6 +16,8 @@ from gridloom.functions.values import z_order
 
 #: Folder beside the rows that tells the number of buckets and the columns.
 _LAYOUT = "_layout"
+#: Rows of a bucket where their number is not given, about, and fewest buckets.
+BUCKET_ROWS, FEWEST = 1 << 20, 4
 
 
 def place_key(row: str = "row", col: str = "col") -> Column:
@@ -23,12 +25,19 @@ def place_key(row: str = "row", col: str = "col") -> Column:
     return z_order(F.col(row), F.col(col))
 
 
-def write_clustered(px: DataFrame, path: str, buckets: int, rows_in_group: int = 100_000) -> None:
+def buckets_for(rows: int) -> int:
+    """Buckets, ``FEWEST`` at least, that hold some ``BUCKET_ROWS`` of so many rows each."""
+    return max(FEWEST, -(-rows // BUCKET_ROWS))
+
+
+def write_clustered(px: DataFrame, path: str, buckets: int | None = None, rows_in_group: int = 100_000) -> None:
     """Store observations by dataset and year in ``buckets`` buckets of ``row, col``, sorted along the Z-order curve.
 
-    Choose ``buckets`` so that one of a year fits a task; readers have as many partitions. Rows are placed once, by bucket.
+    A bucket of all years is one task's work, here and for readers, which have as many partitions. Without ``buckets`` the
+    rows are counted first and their number grows with them, so a bucket does not. Rows are placed once, by bucket.
     """
     spark = px.sparkSession
+    buckets = buckets or buckets_for(px.count())
     dated = px if "year" in px.columns else px.withColumn("year", F.year("ts"))
     sort = ["dataset_id", "year", "place"]
     placed = dated.withColumn("place", place_key()).repartition(buckets, "row", "col").sortWithinPartitions(*sort)

@@ -296,7 +296,7 @@ def planned_composite(inputs: Inputs) -> DataFrame:
 @query("clustered_composite", PLANNED_SQL)
 def clustered_composite(inputs: Inputs) -> DataFrame:
     path = fresh_path(inputs.spark, "clustered")
-    clustered.write_clustered(inputs.px_obs, path, buckets=4)
+    clustered.write_clustered(inputs.px_obs, path)
     px = clustered.clustered(inputs.spark, path)
     return composite.named_composite(px, px_catalog(px, wider=0), inputs.aoi, keep=False)
 

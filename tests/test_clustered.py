@@ -67,3 +67,13 @@ def test_z_order_is_the_bits_in_turn(spark):
     got = {(r.r, r.c): r.z for r in df.withColumn("z", z_order(F.col("r"), F.col("c"))).collect()}
     bits = lambda n: [(n + (1 << 20)) >> k & 1 for k in range(21)]
     assert all(z == sum(a << 2 * k + 1 | b << 2 * k for k, (a, b) in enumerate(zip(bits(r), bits(c)))) for (r, c), z in got.items())
+
+
+def test_buckets_grow_with_the_rows(spark, px, tmp_path, monkeypatch):
+    assert [clustered.buckets_for(n) for n in (0, 4 * clustered.BUCKET_ROWS, 216_000_000)] == [4, 4, 206]
+    monkeypatch.setattr(clustered, "BUCKET_ROWS", 20_000)
+    path = str(tmp_path / "px")
+    clustered.write_clustered(px, path)
+    back = clustered.clustered(spark, path)
+    assert spark.read.parquet(f"{path}/_layout").first()["buckets"] == 6
+    assert back.count() == px.count()
