@@ -267,6 +267,8 @@ class Decoder:
     def __init__(self, vocabulary: Vocabulary, readable: bool = False) -> None:
         self.readable, self.names = readable, vocabulary.names
         self.begun = False
+        #: Whether some id below the last has no name; such ids are left out.
+        self.gaps = not all(self.names)
         if readable:
             byte = {c: b for b, c in enumerate(vocabulary.symbols)}
             end = vocabulary.end
@@ -276,12 +278,13 @@ class Decoder:
             self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> str:
-        ids = [i for i in ids if i < len(self.names) and self.names[i]]
+        if self.gaps or max(ids, default=0) >= len(self.names):
+            ids = [i for i in ids if i < len(self.names) and self.names[i]]
         if self.readable:
             return self.machine.decode(b"".join([self.bytes[i] for i in ids]))
         if not ids:
             return ""
-        text = " ".join([self.names[i] for i in ids])
+        text = " ".join(map(self.names.__getitem__, ids))
         text, self.begun = " " + text if self.begun else text, True
         return text
 
@@ -378,7 +381,7 @@ def digests(tokens: DataFrame, vocabulary: str) -> DataFrame:
 
         for doc, _, last, ids in _parts(batches):
             if ids:
-                told.update(((" " if n else "") + " ".join([decimals[i] for i in ids])).encode())
+                told.update(((" " if n else "") + " ".join(map(decimals.__getitem__, ids))).encode())
                 text.update(machine.feed(ids).encode())
                 n += len(ids)
             if last:

@@ -145,3 +145,14 @@ def test_thirty_megabytes_without_a_space_stay_small(ours):
     n = sum(len(part) for part in ours.encode(text)) // 4
     assert n > 3_000_000
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+
+
+def test_a_decoder_leaves_out_ids_without_a_name():
+    from types import SimpleNamespace
+
+    from gridloom.llm import bpe_stream
+
+    for names in (["a", "", "c"], ["a", "b", "c"]):
+        machine = bpe_stream.Decoder(SimpleNamespace(names=names))
+        assert machine.gaps == ("" in names)
+        assert [machine.feed(part) for part in ([0, 1], [], [7, 2])] == [" ".join(filter(None, names[:2])), "", " c"]
