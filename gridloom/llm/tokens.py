@@ -2,13 +2,15 @@
 
 Both vocabularies used here split a text before they merge: around white space, and between letters and the punctuation
 after them. A text is cut at such places only, so the ids of its cuts in a row are the ids of the text; cuts repeat, and
-what a worker has seen is looked up. A cut that is a plain Latin word goes straight to the merges of the library's model,
-any other one through the whole tokenizer. Texts with characters that the two regular expression engines class
-differently are encoded whole.
+what a worker has seen is looked up. Commas and full stops that close a word are cuts of their own, so a word is merged and
+remembered once, not again for each sign after it. A cut that is a plain Latin word goes straight to the merges of the
+library's model, any other one through the whole tokenizer. Texts with characters that the two regular expression engines
+class differently are encoded whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import sys
@@ -28,8 +30,12 @@ _UNSAFE = re.compile(f"[{_UNSAFE}]")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CUT = re.compile(r"\s*\S+|\s+")
 _BREAK = re.compile(r"\S(?=\s)")
-#: A word after a space, and what closes it.
-_WORD = re.compile(rf"([{_LETTERS}]+)([,.!?]*(?:\n\S+)?)\Z")
+#: A word after a space, and what closes it: symbols other than an apostrophe, which may begin a suffix.
+_WORD = re.compile(rf"([{_LETTERS}]+)([!-&(-/:-@\[-`{{-~]*(?:\n\S+)?)\Z")
+#: Latin-1 bytes by their part in a text: letters and digits, spaces and line ends, signs that close a word, others; tab: any other white space.
+_SHAPE = bytes(ord("\t" if _RARE.match(c) or not b else " " if c in " \n" else "," if c in ",." else "a" if re.match(f"[{_LETTERS}0-9]", c) else "*") for b, c in enumerate(map(chr, range(256))))
+#: What Python needs for an ASCII string, bytes and their entry besides the characters; a dictionary's own share is some hundred bytes.
+_ENTRY = sys.getsizeof("") + sys.getsizeof(b"") + 100
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,7 +63,9 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         #: Lower-cased words without the space before them.
         self.folds = self.tokenizer.normalizer is not None
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.letters = "".join(letters[b] for b in range(256))
+        self.space = letters[ord(" ")]
         self.ids = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(True))]
 
     def whole(self, text: str) -> bytes:
@@ -65,23 +73,27 @@ class Encoder(dict):
         return b"".join([ids[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _merged(self, word: str) -> bytes:
-        word = word.lower() if self.folds else " " + word
+        """Ids of one word, given in the letters of the vocabulary."""
         ids = self.ids
-        return b"".join([ids[t.id] for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        return b"".join([ids[t.id] for t in self.model.tokenize(word)])
 
     def __missing__(self, cut: str) -> bytes:
-        parts = _WORD.match(cut)
-        if cut[:1] == "\0":
-            found = self.whole(cut[1:])
-        elif parts is None:
+        if cut.isascii() and cut.isalpha():
+            # Such letters stand for themselves in the vocabulary.
+            found = self._merged(cut.lower() if self.folds else self.space + cut)
+        elif cut[:1] == "\0":
+            rest = cut[1:]
+            plain = rest.isascii() and rest.isalpha()
+            found = self._merged(rest.lower() if self.folds else rest) if plain else self.whole(rest)
+        elif (parts := _WORD.match(cut)) is None:
             found = self.whole(" " + cut)
         elif not parts[2]:
-            found = self._merged(cut)
+            word = cut.lower() if self.folds else " " + cut
+            found = self._merged(codecs.charmap_decode(word.encode(), "strict", self.letters)[0])
         else:
             found = self[parts[1]] + self["\0" + parts[2]]
         if len(cut) <= SHORT:
-            # A dictionary's own share of an entry is some hundred bytes.
-            self.used += sys.getsizeof(cut) + sys.getsizeof(found) + 100
+            self.used += len(cut) + len(found) + _ENTRY if cut.isascii() else sys.getsizeof(cut) + sys.getsizeof(found) + 100
             if self.used > self.room:
                 self.clear()
                 self.used = 0
@@ -101,12 +113,17 @@ class Encoder(dict):
         return b"".join(parts)
 
     def _encode(self, text: str) -> bytes:
-        if _RARE.search(text) or "\0" in text:
-            if _UNSAFE.search(text) or "\0" in text:
-                return self.whole(text)
-            return b"".join([self["\0" + cut] for cut in _CUT.findall(text)])
-        if "  " in text or "\n " in text or " \n" in text or text[-1:] == " " or text[:1] == " ":
+        try:
+            shape = text.encode("latin-1").translate(_SHAPE)
+        except UnicodeEncodeError:
+            shape = b"\t" if _RARE.search(text) else text.encode("latin-1", "replace").translate(_SHAPE)
+        if b"\t" in shape and (_UNSAFE.search(text) or "\0" in text):
+            return self.whole(text)
+        if b"\t" in shape or b"  " in shape or shape[:1] == b" " or shape[-1:] == b" ":
             return b"".join([self["\0" + cut] for cut in _CUT.findall(text)])
+        if not (b"*, " in shape or b" , " in shape or b",, " in shape):
+            # Every sign before a space or line end closes a word.
+            text = text.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n \0")
         cuts = text.split(" ")
         cuts[0] = "\0" + cuts[0]
         return b"".join(map(self.__getitem__, cuts))

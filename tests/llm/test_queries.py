@@ -405,6 +405,24 @@ def test_caches_are_bounded_by_bytes():
     assert max(map(len, counter)) <= bpe_count.SHORT
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_merged_once_whatever_closes_it(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    words = [f"{a}{b}{c}ward" for a in "bcdf" for b in "aeiouéü" for c in "lmnr"]
+    text = " ".join(f"{w} {w}, {w}. {w}.\nThen" for w in words) + " end"
+    encoder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(encoder) < len(words) + 10
+    # Signs that are part of what stands before them, other white space, characters beyond Latin-1, NUL.
+    rng = np.random.default_rng(4)
+    parts = np.array(["the", "Wörd", "ß", "42", " ", " ", " ", "\n", ", ", ". ", ".\n", ",", ".", "..", "%%%", "\n\n", "'s", "!", "µ", "½", "\u0301", "“", "œ", "日本", "\u2003", "\x85", "\0", "\t"])
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)).tolist())
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_tiles_change_nothing(monkeypatch):
     import sentencepiece
     from tokenizers import Tokenizer
